@@ -184,7 +184,7 @@ CATALOGUE: dict[str, tuple[Callable[..., Column], int, int | None]] = {
     "CURRENT_TIMESTAMP": (lambda: F.current_timestamp(), 0, 0),
     "EXTRACT": (extract, 2, 2),
     "DATE_PART": (extract, 2, 2),
-    "DATE_TRUNC": (lambda unit, ts: F.date_trunc(str(plain(unit)), column(ts)), 2, 2),
+    "DATE_TRUNC": (lambda unit, ts: F.date_trunc(str(plain(unit)), column(ts)).cast("timestamp_ntz"), 2, 2),
     "TO_DATE": (to_date, 2, 2),
     "TO_CHAR": (to_char, 2, 2),
     "TO_NUMBER": (to_number, 1, 2),
