@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.ingest import cleaning, inference
+from tablemill.ingest.moments import DATE_FORMATS
 
 
 @query("cln_empty_rows", r"""SELECT * FROM (SELECT event_id AS row_number, CASE WHEN value < 5 THEN NULL ELSE event_type END AS kind,
@@ -52,11 +53,11 @@ def text_orders(t: Tables) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", F.lit("x")).otherwise(F.date_format(moment, "yyyy-MM-dd")).alias("rough"), F.concat(who, F.lit(".0")).alias("whole"))
 
 
-FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%Y/%m/%d", "%Y%m%d", "%d.%m.%Y", "%Y-%m-%d %H:%M:%S")
+HITS = ", ".join(f"count(*) FILTER (try_strptime(value, '{f}') IS NOT NULL AND length(value) >= 8)" for f in DATE_FORMATS)
+NAMES = ", ".join(f"'{f}'" for f in DATE_FORMATS)
 CELLS = f"""WITH w AS ({TEXT_SQL}), c AS (UNPIVOT w ON COLUMNS(*) INTO NAME column_name VALUE value),
-    f AS (SELECT unnest([{', '.join(f"'{f}'" for f in FORMATS)}]) AS fmt, unnest(range({len(FORMATS)})) AS pos),
-    h AS (SELECT column_name, fmt, pos, count(*) AS n, count(*) FILTER (try_strptime(value, fmt) IS NOT NULL AND length(value) >= 8) AS hits FROM c, f GROUP BY ALL),
-    d AS (SELECT column_name, arg_min(fmt, pos) FILTER (hits = best AND hits > 0.6 * n) AS date_format FROM (SELECT *, max(hits) OVER (PARTITION BY column_name) AS best FROM h) GROUP BY ALL)"""
+    h AS (SELECT column_name, count(*) AS n, [{HITS}] AS hits FROM c GROUP BY column_name),
+    d AS (SELECT column_name, CASE WHEN list_max(hits) > 0.6 * n THEN [{NAMES}][list_position(hits, list_max(hits))] END AS date_format FROM h)"""
 
 
 @query("inf_date_format", CELLS + " SELECT column_name, date_format FROM d")

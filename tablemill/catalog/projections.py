@@ -41,10 +41,10 @@ def mapped(t: Tables) -> DataFrame:
     return rename_map(t.supplier, {"s_suppkey": "id", "s_name": "supplier"})
 
 
-@query("cal_column", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge,
+@query("cal_column", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
     CAST(l_quantity AS BIGINT) AS quantity FROM lineitem""")
 def calculated(t: Tables) -> DataFrame:
-    spec = {"calculatedColumns": [{"name": "charge", "expression": "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2)"},
+    spec = {"calculatedColumns": [{"name": "charge", "expression": "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6)"},
                                   {"name": "quantity", "expression": "l_quantity", "dataType": "BIGINT"},
                                   {"name": "l_orderkey", "expression": "0"}],
             "selectedColumns": ["l_orderkey", "l_linenumber"]}

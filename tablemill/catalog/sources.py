@@ -188,7 +188,7 @@ def export_tsv(t: Tables) -> DataFrame:
     return files.read_csv(t.spark, path, sep="\t", missing=())
 
 
-@query("fmt_dates", """SELECT event_id, strftime(ts, CASE WHEN date_trunc('second', ts) = date_trunc('day', ts) THEN '%m-%d-%Y' ELSE '%m-%d-%Y %H:%M:%S' END) AS ts,
+@query("fmt_dates", """SELECT event_id, CASE WHEN date_trunc('second', ts) = date_trunc('day', ts) THEN strftime(ts, '%m-%d-%Y') ELSE strftime(ts, '%m-%d-%Y %H:%M:%S') END AS ts,
     strftime(ts, '%m-%d-%Y') AS day, strftime(ts, '%m-%d-%Y') AS midnight FROM events""")
 def format_dates(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "ts", F.col("ts").cast("date").alias("day"), F.date_trunc("DAY", "ts").alias("midnight"))

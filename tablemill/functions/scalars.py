@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.patterns import java_date_pattern
 from tablemill.types import as_text, is_integral, spark_type
 
 
@@ -43,10 +44,8 @@ CURRENT_VALUES = ("NOW", "CURRENT_DATE", "CURRENT_TIMESTAMP")
 
 
 def java_pattern(pattern: str) -> str:
-    """Java date pattern for a ``YYYY-MM-DD HH24:MI:SS`` pattern; other letters become quoted literals."""
-    tokens = "|".join(sorted(PATTERN_TOKENS, key=len, reverse=True))
-    parts = re.findall(rf"{tokens}|[A-Za-z]+|[^A-Za-z]", pattern)
-    return "".join(PATTERN_TOKENS.get(p) or (f"'{p}'" if p.isalpha() else p) for p in parts)
+    """Java date pattern for a ``YYYY-MM-DD HH24:MI:SS`` pattern."""
+    return java_date_pattern(pattern, PATTERN_TOKENS)
 
 
 def plain(value: Any) -> Any:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablemill.patterns import java_date_pattern
+
 # Formats tried in order; an earlier one wins a tie.
 DATE_FORMATS = (
     "%Y-%m-%d",
@@ -65,8 +67,7 @@ def shape(fmt: str) -> str:
 def java(fmt: str) -> str:
     if fmt in COMPACT:
         return COMPACT[fmt][1]
-    parts = re.findall(r"%.|[^%]", fmt)
-    return "".join(TOKENS[p][1] if p in TOKENS else (f"'{p}'" if p.isalpha() else p) for p in parts)
+    return java_date_pattern(fmt, {token: pattern for token, (_, pattern) in TOKENS.items()})
 
 
 def parse(text: Column, fmt: str) -> Column:

@@ -49,13 +49,13 @@ def _side_name(name: str, df: DataFrame, prefix: str) -> str:
 
 
 def join(left: DataFrame, right: DataFrame, conditions: Sequence[Mapping[str, str]] = (), join_type: str = "INNER",
-         output_columns: Sequence[Mapping[str, Any]] = (), where: Any = None, split_hot: bool = False,
+         output_columns: Sequence[Mapping[str, Any]] = (), where: Any = None, split_hot: bool | None = None,
          hot_rows: int = GROUP_ROWS) -> DataFrame:
     """Join by ``conditions`` (``leftColumn``, ``rightColumn``, ``operator`` = by default), all of them ANDed.
 
     An unknown join type means INNER; without conditions the join is a cross join. ``where`` filters the joined rows and
-    stays above the join, so outer joins keep their meaning; Catalyst moves it down where that is legal.
-    ``split_hot`` first counts the keys and treats those with more than ``hot_rows`` rows apart, see ``split_join``.
+    stays above the join, so outer joins keep their meaning; Catalyst moves it down where that is legal. For
+    ``split_hot`` see ``equi_join``.
     """
     kind = JOIN_TYPES.get(join_type.upper(), "inner")
     left, right = with_prefixes(left, right)
@@ -66,8 +66,8 @@ def join(left: DataFrame, right: DataFrame, conditions: Sequence[Mapping[str, st
         raise JoinError(f"unknown join operators: {unknown}")
     if kind == "cross" or not pairs:
         joined = cross(left, right)
-    elif split_hot and all(op == "=" for _, _, op in pairs):
-        joined = split_join(left, right, [(a, b) for a, b, _ in pairs], kind, hot_rows)
+    elif all(op == "=" for _, _, op in pairs):
+        joined = equi_join(left, right, [(a, b) for a, b, _ in pairs], kind, split_hot, hot_rows)
     else:
         joined = left.join(right, conjunction([COMPARISONS[op](F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b, op in pairs]), kind)
     if where:
@@ -99,20 +99,30 @@ def choose_output(joined: DataFrame, outputs: Sequence[Mapping[str, Any]]) -> Da
     return joined.select(chosen)
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], kind: str, hot_rows: int = GROUP_ROWS) -> DataFrame:
+def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], kind: str, split_hot: bool | None = None,
+              hot_rows: int = GROUP_ROWS) -> DataFrame:
     """Equi join that no key can overload.
 
-    Matches are found by an inner join in which rows of hot keys carry a salt; an outer join is that inner join plus the
-    rows of the outer side whose key the other side lacks, found against the other side's distinct keys.
+    Adaptive execution splits a hot key of an inner join, and one on the outer side of an outer join. It cannot split
+    one on the other side, so that side's keys are counted first (``split_hot=None``); True counts both sides always,
+    False never. Only if some key holds more than ``hot_rows`` rows is the join taken apart: matches come from an inner
+    join in which hot keys carry a salt, and an outer join adds the rows whose key the other side lacks, found against
+    the other side's distinct keys.
     """
-    matched = _salted_inner(left, right, keys, hot_rows)
-    columns = matched.columns
+    look_left = kind in ("right_outer", "full_outer") if split_hot is None else split_hot
+    look_right = kind in ("left_outer", "full_outer") if split_hot is None else split_hot
+    left_keys, right_keys = [a for a, _ in keys], [b for _, b in keys]
+    hot_left = hot_groups(left.dropna(subset=left_keys), left_keys, hot_rows) if look_left else None
+    hot_right = hot_groups(right.dropna(subset=right_keys), right_keys, hot_rows) if look_right else None
+    on = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]
+    if hot_left is None and hot_right is None:
+        return left.join(right, conjunction(on), kind)
+    joined = _salted_inner(left, right, keys, hot_left, hot_right, hot_rows)
     if kind in ("left_outer", "full_outer"):
-        matched = matched.unionByName(_unmatched(left, right, keys).select(_columns_or_null(left, matched)))
+        joined = joined.unionByName(_unmatched(left, right, keys).select(_columns_or_null(left, joined)))
     if kind in ("right_outer", "full_outer"):
-        flipped = [(b, a) for a, b in keys]
-        matched = matched.unionByName(_unmatched(right, left, flipped).select(_columns_or_null(right, matched)))
-    return matched.select(columns)
+        joined = joined.unionByName(_unmatched(right, left, [(b, a) for a, b in keys]).select(_columns_or_null(right, joined)))
+    return joined
 
 
 def _columns_or_null(side: DataFrame, shape: DataFrame) -> list[Column]:
@@ -126,12 +136,12 @@ def _unmatched(side: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]
     return side.join(known, conjunction([F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]), "left_anti")
 
 
-def _salted_inner(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], hot_rows: int) -> DataFrame:
+def _salted_inner(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], hot_left: DataFrame | None,
+                  hot_right: DataFrame | None, hot_rows: int) -> DataFrame:
     left_keys, right_keys = [a for a, _ in keys], [b for _, b in keys]
-    left, right = left.dropna(subset=left_keys), right.dropna(subset=right_keys)
     columns = [*left.columns, *right.columns]
+    left, right = left.dropna(subset=left_keys), right.dropna(subset=right_keys)
     on = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]
-    hot_left, hot_right = hot_groups(left, left_keys, hot_rows), hot_groups(right, right_keys, hot_rows)
     if hot_left is not None:
         left, right = (_salt(left, left_keys, hot_left, hot_rows, "__l_salt", False),
                        _salt(right, right_keys, hot_left, hot_rows, "__l_copy", True))

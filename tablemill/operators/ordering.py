@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from tablemill.operators.windows import with_position
 PREVIEW_ROWS, PREVIEW_LIMIT = 50, 100
 PAGE_LIMIT = 1000
 # Up to here a page is cut by a top-n heap per task; pages further down are found by position.
-NEAR_ROWS = 100_000
+NEAR_ROWS = 10_000
 
 
 def order_column(column: str, direction: str = "asc") -> Column:
@@ -26,12 +25,14 @@ def order_columns(keys: Sequence[Mapping[str, str] | str]) -> list[Column]:
 
 
 def sort(df: DataFrame, keys: Sequence[Mapping[str, str] | str]) -> DataFrame:
-    """Total sort by one or more ``{"column", "direction"}`` keys."""
-    return df.orderBy(*order_columns(keys))
+    """Total sort by one or more ``{"column", "direction"}`` keys. Equal keys are ordered by input partition, so that
+    the range partitioning can cut a run of equal keys that would not fit one task."""
+    return df.withColumn("__tie", F.spark_partition_id()).orderBy(*order_columns(keys), "__tie").drop("__tie")
 
 
 def top_k(df: DataFrame, keys: Sequence[Mapping[str, str] | str], k: int) -> DataFrame:
-    return sort(df, keys).limit(k)
+    """First ``k`` rows of the sort; a heap per task, so the rows are never sorted as a whole."""
+    return df.orderBy(*order_columns(keys)).limit(k)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -49,9 +50,9 @@ def page(df: DataFrame, keys: Sequence[Mapping[str, str] | str], number: int, si
         raise ValueError(f"page starts at 1 and page size is 1 to {PAGE_LIMIT}")
     skip = (number - 1) * size
     if skip + size <= NEAR_ROWS:
-        return sort(df, keys).offset(skip).limit(size)
+        return df.orderBy(*order_columns(keys)).offset(skip).limit(size)
     placed = with_position(df, order_columns(keys), "__place")
-    return sort(placed.filter(F.col("__place").between(skip + 1, skip + size)), keys).drop("__place")
+    return placed.filter(F.col("__place").between(skip + 1, skip + size)).orderBy("__place").drop("__place")
 
 
 def page_summary(df: DataFrame, number: int, size: int) -> DataFrame:
@@ -86,7 +87,7 @@ def distinct_rows(df: DataFrame, row_number: str | None = None) -> DataFrame:
 
 def union(frames: Sequence[DataFrame], distinct: bool = False) -> DataFrame:
     """All rows of all frames, matched by name; a column that a frame lacks is null there."""
-    result: Any = frames[0]
+    result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
     return result.distinct() if distinct else result

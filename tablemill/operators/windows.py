@@ -39,16 +39,19 @@ def _order(spec: Mapping[str, Any]) -> list[Column]:
     return [F.col(f"`{c}`").desc_nulls_first() if d == "DESC" else F.col(f"`{c}`").asc_nulls_last() for c, d in keys]
 
 
-def window(df: DataFrame, spec: Mapping[str, Any], hot_rows: int = GROUP_ROWS) -> DataFrame:
+def window(df: DataFrame, spec: Mapping[str, Any], hot_rows: int | None = GROUP_ROWS) -> DataFrame:
     """Add ``alias`` for ``{"function", "partition_by", "order_by": [{"column", "direction"}], "alias"}``.
 
     LAG and LEAD also take ``column``, ``offset`` and ``default``; NTILE takes ``buckets``; aggregates take ``column`` and,
-    when ordered, run up to the current row and its peers.
+    when ordered, run up to the current row and its peers. ``hot_rows=None`` skips the count of the groups; it is for
+    inputs whose groups are known to be small.
     """
     function, keys = str(spec["function"]).upper(), list(spec.get("partition_by", []))
     order, alias = _order(spec), spec.get("alias", "window_result")
     if not order and function not in AGGREGATES:
         raise WindowError(f"{function} needs order_by")
+    if hot_rows is None:
+        return df.withColumn(alias, _plain(spec, function, keys, order))
     if not keys:
         return _split(df, spec, function, keys, order, alias, df.count(), hot_rows)
     hot = hot_groups(df, keys, hot_rows)
@@ -120,7 +123,7 @@ def _places(ranged: DataFrame, keys: list[str]) -> DataFrame:
     rows = staged.select(*columns, piece.alias(PIECE), local.alias("__local"))
     sizes = rows.groupBy(*_named(keys), PIECE).agg(F.count(F.lit(1)).alias("__n"), F.min("__local").alias("__first"))
     before = F.coalesce(F.sum("__n").over(_earlier_pieces(keys)), F.lit(0))
-    carry = broadcast_if_small(sizes.withColumn("__before", before).drop("__n"))
+    carry = broadcast_if_small(stage(sizes.withColumn("__before", before).drop("__n"), "carry"))
     place = (F.col("__before") + F.col("__local") - F.col("__first") + 1).alias(PLACE)
     return join_null_safe(rows, carry, [*keys, PIECE], "inner").select(*columns, place)
 
@@ -142,7 +145,7 @@ def with_read_order(df: DataFrame, name: str) -> DataFrame:
 
 def _ntile(placed: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     sizes = placed.groupBy(*_named(keys)).agg(F.count(F.lit(1)).alias("__size"))
-    sized = join_null_safe(placed, broadcast_if_small(sizes), keys, "inner") if keys else placed.crossJoin(F.broadcast(sizes))
+    sized = join_null_safe(placed, broadcast_if_small(stage(sizes, "sizes")), keys, "inner") if keys else placed.crossJoin(F.broadcast(sizes))
     small, extra = F.expr(f"__size div {buckets}"), F.col("__size") % buckets
     in_larger = F.col(PLACE) <= extra * (small + 1)
     tile = F.when(in_larger, F.ceil(F.col(PLACE) / (small + 1))).otherwise(
@@ -164,7 +167,9 @@ def _shifted(placed: DataFrame, spec: Mapping[str, Any], function: str, keys: li
 def _whole_group(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str], alias: str) -> DataFrame:
     """Aggregate over the whole group: aggregated partially, then joined to the rows."""
     result = df.groupBy(*_named(keys)).agg(_measure(spec, function).alias(alias))
-    return join_null_safe(df, broadcast_if_small(result), keys, "inner") if keys else df.crossJoin(F.broadcast(result))
+    if not keys:
+        return df.crossJoin(F.broadcast(result))
+    return join_null_safe(df, broadcast_if_small(stage(result, "groups")), keys, "inner")
 
 
 def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str], order: list[Column], alias: str,
@@ -189,7 +194,7 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
     def carried(measure: str, how: Callable[[Column], Column]) -> DataFrame:
         totals = pieces.agg(how(F.col(measure)).alias(measure))
         before = how(F.col(measure)).over(_earlier_pieces(keys))
-        return broadcast_if_small(totals.select(*_named(keys), PIECE, before.alias(f"__before{measure}")))
+        return broadcast_if_small(stage(totals.select(*_named(keys), PIECE, before.alias(f"__before{measure}")), "carry"))
 
     def plus(a: Column, b: Column) -> Column:
         return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(a + b)

@@ -93,7 +93,7 @@ def fits_type(text: Column, type_name: str) -> Column:
     if kind == "time":
         return value.rlike(TIME_24) | value.rlike(TIME_12)
     if kind == "uuid":
-        bare = F.regexp_replace(F.lower(value), r"^(urn:)?(uuid:)?|[{}-]", "")
+        bare = F.regexp_replace(F.lower(value), r"[{}-]|^(urn:uuid:|urn:|uuid:)", "")
         return bare.rlike(r"^[0-9a-f]{32}$")
     if kind in ("json", "jsonb"):
         return F.when(value.isNotNull(), F.try_parse_json(value).isNotNull())

@@ -76,12 +76,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = GROUP_ROWS) -> DataFrame | None:
     """Groups of ``keys`` with more than ``rows`` rows as (keys, n_rows), or None when there are none.
 
-    One partially aggregated count over the key columns. There are at most total/rows such groups, so the staged
-    result is small whatever the key cardinality.
+    One partially aggregated count over the key columns; where nothing is hot, that is all. There are at most total/rows
+    such groups, so the staged result is small whatever the number of keys.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > rows)
-    found = stage(counts, "hot")
-    return None if found.isEmpty() else found
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"))
+    largest = counts.agg(F.max("n_rows")).first()[0]
+    if largest is None or largest <= rows:
+        return None
+    return stage(counts.filter(F.col("n_rows") > rows), "hot")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

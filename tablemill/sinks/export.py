@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablemill.operators.filters import apply_filter
 from tablemill.operators.ordering import sort
+from tablemill.patterns import java_date_pattern
 from tablemill.types import is_moment
 
 # User date pattern -> Java pattern; lower-case mm are minutes.
@@ -19,13 +20,7 @@ NULL_TEXT = "None"
 
 
 def date_pattern(user_format: str) -> str:
-    pattern, i = "", 0
-    while i < len(user_format):
-        token = next((t for t in DATE_TOKENS if user_format.startswith(t, i)), None)
-        char = user_format[i]
-        pattern += DATE_TOKENS[token] if token else (f"'{char}'" if char.isalpha() else char)
-        i += len(token) if token else 1
-    return pattern
+    return java_date_pattern(user_format, DATE_TOKENS)
 
 
 def formatted_date(column: Column, kind: T.DataType, user_format: str) -> Column:
