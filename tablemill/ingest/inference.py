@@ -1,7 +1,7 @@
 """Column types of raw text tables, found in one aggregation over all columns and all rows.
 
-The table is unpivoted to (column_name, value) in the map tasks and aggregated by column name; every measure aggregates
-partially, so the shuffle carries one row per column and task.
+The table is unpivoted to (column_name, value) in the map tasks and aggregated by column name and by how a value reads as a
+date, of which there are a few dozen ways; every measure aggregates partially, so the shuffles carry few rows per task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.ingest.moments import DATE_FORMATS, has_time, parse
+from tablemill.ingest.moments import DATE_FORMATS, day_first, has_time, layout, with_reading
 
 # Fixed values.
 DATE_SHARE = 0.6
@@ -39,8 +39,11 @@ def first_rows(df: DataFrame, columns: Sequence[str], row_key: str, rows: int) -
     return result
 
 
-def _hits(fmt: str) -> Column:
-    return F.count(parse(F.col("value"), fmt))
+def _hits(i: int, only_timed: bool = False) -> Column:
+    """Values that format i reads, summed over the counted readings."""
+    fmt = DATE_FORMATS[i]
+    read = (F.col("reading.layout") == layout(fmt)) & F.col("reading.second" if day_first(fmt) else "reading.first")
+    return F.sum(F.when(read & F.col("reading.timed") if only_timed else read, F.col("n")).otherwise(0))
 
 
 def _best_format() -> Column:
@@ -59,15 +62,11 @@ def date_formats(df: DataFrame, columns: Sequence[str] = (), row_key: str | None
     """
     names = [c for c in (columns or df.columns) if c != row_key]
     cells = first_rows(df, names, row_key, first) if first and row_key else unpivot(df, names)
-    scored = cells.groupBy("column_name").agg(F.count("value").alias("n"), *[_hits(f).alias(f"h{i}") for i, f in enumerate(DATE_FORMATS)])
+    counted = with_reading(cells, "value").groupBy("column_name", "reading").agg(F.count("value").alias("n"))
+    scored = counted.groupBy("column_name").agg(F.sum("n").alias("n"), *[_hits(i).alias(f"h{i}") for i in range(len(DATE_FORMATS))])
     return scored.select("column_name", _best_format().alias("date_format"))
 
 
-def _timed(fmt: str) -> Column:
-    moment = parse(F.col("value"), fmt)
-    return F.count(F.when(moment != F.date_trunc("DAY", moment).cast("timestamp_ntz"), F.lit(1)))
-
-
 def infer_types(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Type per column as (column_name, date_format, max_length, inferred_type).
 
@@ -76,18 +75,28 @@ def infer_types(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     leaves room for fifty characters more than the longest value.
     """
     value = F.col("value")
-    number = value.try_cast("decimal(38,10)")
+    cells = unpivot(df, columns).withColumn("decimal", value.rlike(r"^(\d+\.?\d*|\.\d+)$")).withColumn(
+        "number", F.when(F.col("decimal"), value.try_cast("double")))
     clock = [(i, f) for i, f in enumerate(DATE_FORMATS) if has_time(f)]
-    measured = unpivot(df, columns).groupBy("column_name").agg(
+    counted = with_reading(cells, "value").groupBy("column_name", "reading").agg(
         F.count(value).alias("n"),
         F.max(F.length(value)).alias("longest"),
-        F.coalesce(F.bool_or(value.contains("+")), F.lit(False)).alias("plus"),
-        F.coalesce(F.bool_and(value.rlike(r"^\d+$")), F.lit(True)).alias("digits"),
-        F.coalesce(F.bool_and(value.rlike(r"^(\d+\.?\d*|\.\d+)$")), F.lit(True)).alias("decimals"),
-        F.coalesce(F.bool_and(number == F.floor(number)), F.lit(True)).alias("whole"),
-        F.coalesce(F.max(number), F.lit(0)).alias("largest"),
-        *[_hits(f).alias(f"h{i}") for i, f in enumerate(DATE_FORMATS)],
-        *[_timed(f).alias(f"t{i}") for i, f in clock],
+        F.bool_or(value.contains("+")).alias("plus"),
+        F.bool_and(F.col("decimal") & ~value.contains(".")).alias("digits"),
+        F.bool_and("decimal").alias("decimals"),
+        F.bool_and(F.col("number") == F.rint("number")).alias("whole"),
+        F.max("number").alias("largest"),
+    )
+    measured = counted.groupBy("column_name").agg(
+        F.sum("n").alias("n"),
+        F.max("longest").alias("longest"),
+        F.coalesce(F.bool_or("plus"), F.lit(False)).alias("plus"),
+        F.coalesce(F.bool_and("digits"), F.lit(True)).alias("digits"),
+        F.coalesce(F.bool_and("decimals"), F.lit(True)).alias("decimals"),
+        F.coalesce(F.bool_and("whole"), F.lit(True)).alias("whole"),
+        F.coalesce(F.max("largest"), F.lit(0)).alias("largest"),
+        *[_hits(i).alias(f"h{i}") for i in range(len(DATE_FORMATS))],
+        *[_hits(i, True).alias(f"t{i}") for i, _ in clock],
     )
     found = measured.withColumn("date_format", _best_format())
     timed = F.lit(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.patterns import java_date_pattern
@@ -53,6 +53,12 @@ TOKENS = {
 COMPACT = {"%Y%m%d": (r"\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])", "yyyyMMdd")}
 
 
+# What any of the formats above looks like; one test that keeps other text away from all of them.
+DATE_LIKE = r"^(\d{4}[-/]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}$)"
+CLOCK = r"([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(\.\d{1,6})?"
+READABLE = rf"^(\d{{4}}([-/])\d{{1,2}}\2\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\3\d{{4}}|\d{{8}})( {CLOCK})?$"
+
+
 def has_time(fmt: str) -> bool:
     return "%H" in fmt
 
@@ -76,6 +82,50 @@ def parse(text: Column, fmt: str) -> Column:
     return F.when(text.rlike(shape(fmt)), F.try_to_timestamp(text, F.lit(java(fmt)))).cast("timestamp_ntz")
 
 
+def layout(fmt: str) -> str:
+    """Separators and part order of a format, as ``with_reading`` reports them: Y when the year comes first, D otherwise."""
+    return ("Y" if fmt.startswith("%Y") else "D") + re.sub(r"(%.)+", "9", fmt)
+
+
+def day_first(fmt: str) -> bool:
+    return fmt.startswith("%d")
+
+
+def with_reading(df: DataFrame, text: str) -> DataFrame:
+    """Add ``reading``, how a text column reads as a date: a struct of (layout, first, second, timed), null where it does
+    not read as one.
+
+    ``first`` says whether year-month-day, or else month-day-year, is a day of the calendar, ``second`` the same for
+    day-month-year, and ``timed`` whether the time is other than midnight. Few distinct values come out, so a column's
+    formats can be scored by counting them instead of parsing every value in every format. The steps are columns of
+    their own because Spark evaluates a column once, but an expression wherever it is repeated.
+    """
+    column = F.col(f"`{text}`")
+    dated = df.withColumn("__date", F.when(column.rlike(READABLE), column))
+    day = dated.withColumns({
+        "__day": F.translate(F.substring_index("__date", " ", 1), "/.", "--"),
+        "__layout": F.regexp_replace("__date", r"\d+", "9"),
+        "__timed": F.contains("__date", F.lit(":")) & F.substring_index("__date", " ", -1).rlike("[1-9]"),
+    })
+    compact = ~F.contains("__day", F.lit("-"))
+    split = day.withColumn("__parts", F.when(compact, F.array(F.substring("__day", 1, 4), F.substring("__day", 5, 2), F.substring("__day", 7, 2)))
+                           .otherwise(F.split("__day", "-")))
+    numbers = split.withColumns({f"__{i}": F.get("__parts", F.lit(i)).cast("int") for i in range(3)}).withColumn(
+        "__year_first", F.length(F.get("__parts", F.lit(0))) == 4)
+    a, b, c, year_first = F.col("__0"), F.col("__1"), F.col("__2"), F.col("__year_first")
+    read = F.when(F.col("__date").isNotNull(), F.struct(
+        F.concat(F.when(year_first, "Y").otherwise("D"), F.col("__layout")).alias("layout"),
+        _on_calendar(F.when(year_first, a).otherwise(c), F.when(year_first, b).otherwise(a), F.when(year_first, c).otherwise(b)).alias("first"),
+        (~year_first & _on_calendar(c, b, a)).alias("second"),
+        F.col("__timed").alias("timed")))
+    return numbers.select(*[F.col(f"`{n}`") for n in df.columns], read.alias("reading"))
+
+
+def _on_calendar(year: Column, month: Column, day: Column) -> Column:
+    in_range = (year >= 1) & month.between(1, 12) & (day >= 1)
+    return F.when(in_range, day <= F.day(F.last_day(F.make_date(year, month, F.lit(1))))).otherwise(F.lit(False))
+
+
 def parse_any(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Timestamp by the first format that fits."""
-    return F.coalesce(*[parse(text, fmt) for fmt in formats])
+    return F.when(text.rlike(DATE_LIKE), F.coalesce(*[parse(text, fmt) for fmt in formats]))

@@ -45,14 +45,16 @@ def compute_grouped(df: DataFrame, keys: Sequence[str], step: PandasStep, schema
 
     Groups are counted first. With ``merge``, a group above ``max_rows`` is cut into parts of about that size, ``step``
     runs on each part and ``merge`` combines the parts' results (output columns in, output columns out). Without
-    ``merge`` such a group is an error, because one task would have to hold it whole.
+    ``merge`` such a group is an error, because one task would have to hold it whole. The number of tasks is fixed, because
+    adaptive execution would merge them by bytes while pandas code takes its time by groups.
     """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _checked(step(group))
 
     hot = hot_groups(df, keys, max_rows)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if hot is None:
-        return df.groupBy(*keys).applyInPandas(run, schema)
+        return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema)
     if merge is None:
         raise ComputeError(f"groups of {list(keys)} exceed {max_rows} rows; give a merge function")
 
@@ -67,7 +69,7 @@ def compute_grouped(df: DataFrame, keys: Sequence[str], step: PandasStep, schema
     sized = join_null_safe(salted, broadcast_if_small(hot.withColumn("n_rows", parts)), list(keys), "left_outer")
     part = F.pmod(F.col("__row"), F.coalesce(F.col("n_rows"), F.lit(1))).cast("int")
     cut = sized.withColumn("__part", part).drop("__row", "n_rows")
-    partial = cut.groupBy(*keys, "__part").applyInPandas(run_part, schema)
+    partial = cut.repartition(tasks, *keys, "__part").groupBy(*keys, "__part").applyInPandas(run_part, schema)
     return partial.groupBy(*keys).applyInPandas(combine, schema)
 
 

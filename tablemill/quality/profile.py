@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.ingest.moments import DATE_FORMATS, parse_any
-from tablemill.session import broadcast_if_small
+from tablemill.session import broadcast_if_small, stage
 
 Normaliser = Callable[[Column], Column]
 
@@ -159,7 +159,9 @@ def _pair_counts(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def _pairs(pairs: DataFrame, group: str, value: str, match: Normaliser) -> DataFrame:
-    return pairs.select(match(F.col(f"`{group}`").cast("string")).alias("__group"), match(F.col(f"`{value}`").cast("string")).alias("__value")).distinct()
+    """Distinct normalised pairs, staged because they are counted and joined several times."""
+    named = pairs.select(match(F.col(f"`{group}`").cast("string")).alias("__group"), match(F.col(f"`{value}`").cast("string")).alias("__value"))
+    return stage(named.distinct(), "pairs")
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:

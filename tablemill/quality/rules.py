@@ -18,6 +18,7 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f")
 TIME_24 = r"^([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d)?$"
 TIME_12 = r"^(0?[1-9]|1[0-2]):[0-5]?\d(:[0-5]?\d)?\s+(AM|PM|am|pm)$"
+JSON_START = r"^[\[{\"0-9tfn-]"
 INTEGER_TYPES = ("integer", "bigint", "smallint", "serial", "bigserial", "int")
 NUMBER_TYPES = ("numeric", "decimal", "real", "double precision", "float", "double")
 TIMESTAMP_TYPES = ("timestamp", "timestamp without time zone", "timestamp with time zone")
@@ -96,7 +97,7 @@ def fits_type(text: Column, type_name: str) -> Column:
         bare = F.regexp_replace(F.lower(value), r"[{}-]|^(urn:uuid:|urn:|uuid:)", "")
         return bare.rlike(r"^[0-9a-f]{32}$")
     if kind in ("json", "jsonb"):
-        return F.when(value.isNotNull(), F.try_parse_json(value).isNotNull())
+        return F.when(value.isNotNull(), F.coalesce(F.when(value.rlike(JSON_START), F.try_parse_json(value).isNotNull()), F.lit(False)))
     return F.when(text.isNotNull(), F.lit(True))
 
 
