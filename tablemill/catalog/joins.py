@@ -63,10 +63,13 @@ def self_join(t: Tables) -> DataFrame:
     return pairs.select("_L_o_orderkey", "_R_o_orderkey", "_R_o_totalprice")
 
 
-@query("jn_conflict_prefix", """SELECT n.n_nationkey AS _L_n_nationkey, n.n_name AS _L_n_name, n.n_regionkey AS _L_n_regionkey, m.n_nationkey AS _R_n_nationkey,
-    m.n_name AS _R_n_name, m.n_regionkey AS _R_n_regionkey FROM nation n LEFT JOIN nation m ON n.n_nationkey = m.n_regionkey""")
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+BOTH_SIDES = ", ".join(f"{alias}.{c} AS {prefix}{c}" for alias, prefix in (("a", "_L_"), ("b", "_R_")) for c in ORDER_COLUMNS)
+
+
+@query("jn_conflict_prefix", f"SELECT {BOTH_SIDES} FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_orderkey")
 def conflict_prefix(t: Tables) -> DataFrame:
-    return join(t.nation, t.nation, [{"leftColumn": "n_nationkey", "rightColumn": "n_regionkey"}], "LEFT")
+    return join(t.orders, t.orders, [{"leftColumn": "o_custkey", "rightColumn": "o_orderkey"}], "LEFT")
 
 
 @query("jn_output_columns", """SELECT o_orderkey AS order_id, c_name AS customer, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey""")

@@ -29,11 +29,11 @@ def repeated_names(t: Tables) -> DataFrame:
     return include(t.orders, ["o_orderkey", "o_orderstatus", "o_orderkey"])
 
 
-@query("prj_join_name_map", """SELECT n.n_name AS _L_n_name, m.n_name AS _R_n_name, n.n_regionkey AS _L_n_regionkey
-    FROM nation n JOIN nation m ON n.n_nationkey = m.n_regionkey""")
+@query("prj_join_name_map", """SELECT a.c_name AS _L_c_name, b.c_name AS _R_c_name, a.c_nationkey AS _L_c_nationkey
+    FROM customer a JOIN customer b ON a.c_nationkey = b.c_custkey""")
 def joined_names(t: Tables) -> DataFrame:
-    pairs = join(t.nation, t.nation, [{"leftColumn": "n_nationkey", "rightColumn": "n_regionkey"}])
-    return include(pairs, ["n_name", "n_regionkey_l"])
+    pairs = join(t.customer, t.customer, [{"leftColumn": "c_nationkey", "rightColumn": "c_custkey"}])
+    return include(pairs, ["c_name", "c_nationkey_l"])
 
 
 @query("prj_map", "SELECT s_suppkey AS id, s_name AS supplier FROM supplier")

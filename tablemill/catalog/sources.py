@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
+from tablemill.operators.filters import apply_filter
+from tablemill.operators.projection import calculate
 from tablemill.session import new_path
 from tablemill.sinks import export, tables
 from tablemill.sources import files, jdbc
+from tablemill.streaming.copy import copy_new_files
 from tablemill.types import to_sink_types
 
 
@@ -59,6 +62,18 @@ def hana_projects(t: Tables) -> DataFrame:
     return jdbc.project_objects(projects, headers, subprojects, objects, mappings)
 
 
+@query("src_batched_copy", "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus <> 'P'")
+def batched_copy(t: Tables) -> DataFrame:
+    """The source read as a stream of files and copied with row-local steps on the way."""
+    def step(df: DataFrame) -> DataFrame:
+        kept = apply_filter(df, {"column": "o_orderstatus", "operator": "!=", "value": "P"})
+        return calculate(kept, [{"name": "doubled", "expression": "o_totalprice * 2"}]).select("o_orderkey", "doubled")
+
+    target, progress = new_path(t.spark, "copy"), new_path(t.spark, "progress")
+    copy_new_files(t.spark, t.folder, target, t.orders.schema, progress, step=step, names="orders.parquet")
+    return t.spark.read.parquet(target)
+
+
 @query("row_count", "SELECT count(*) AS row_count FROM orders WHERE o_totalprice > 100000")
 def row_count(t: Tables) -> DataFrame:
     return jdbc.row_count(t.orders, "o_totalprice > 100000")

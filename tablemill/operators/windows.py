@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.session import GROUP_ROWS, broadcast_if_small, hot_groups, join_null_safe, stage
+from tablemill.session import BROADCAST_ROWS, GROUP_ROWS, broadcast_if_small, holds_at_most, hot_groups, join_null_safe, stage
 
 PIECE, PLACE, TIE = "__piece", "__place", "__tie"
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's index within its partition in the low 33 bits
@@ -184,7 +184,7 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
         *([F.sum(value).alias("__sum")] if function in ("SUM", "AVG") else []),
         *([AGGREGATES[function](value).alias("__end")] if function in ("MIN", "MAX") else []))
     ranged = peers.repartitionByRange(_parts(df, total, hot_rows), *_named(keys), *order)
-    staged = stage(ranged.withColumn(PIECE, F.spark_partition_id()), "window")
+    staged = copy = stage(ranged.withColumn(PIECE, F.spark_partition_id()), "window")
     upto = Window.partitionBy(*_named(keys), PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = staged.groupBy(*_named(keys), PIECE)
 
@@ -219,7 +219,8 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
     else:
         how, both = (F.min, F.least) if function == "MIN" else (F.max, F.greatest)
         done = with_carry(staged, "__end", how).withColumn(alias, running("__end", how, both))
-    return join_null_safe(df, done.select(*_named(columns), F.col(f"`{alias}`")), columns, "inner")
+    ranked = done.select(*_named(columns), F.col(f"`{alias}`"))
+    return join_null_safe(df, F.broadcast(ranked) if holds_at_most(copy, BROADCAST_ROWS) else ranked, columns, "inner")
 
 
 def window_expression(df: DataFrame, expression: str, alias: str) -> DataFrame:
