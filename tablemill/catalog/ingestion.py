@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.ingest import cleaning, inference
+from tablemill.ingest.upload import upload
 from tablemill.ingest.moments import DATE_FORMATS
 
 
@@ -93,3 +94,11 @@ def convert_dates(t: Tables) -> DataFrame:
     rows = text_orders(t).select(F.col("key").cast("bigint").alias("o_orderkey"), "day", "rough")
     formats = {r.column_name: r.date_format for r in inference.date_formats(rows.select("day", "rough")).collect()}
     return cleaning.convert_dates(rows, formats)
+
+
+@query("src_upload", """SELECT row_number() OVER (ORDER BY o_orderkey) AS __id, CAST(o_orderkey AS INTEGER) AS "key", o_orderkey * 1000000 AS big, CAST(o_orderdate AS DATE) AS day,
+    o_orderdate + INTERVAL 90 MINUTE AS moment, o_totalprice AS price, o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS contact_no,
+    '+' || CAST(o_custkey AS VARCHAR) AS intl, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS rough, CAST(o_custkey AS INTEGER) AS whole,
+    true AS __active FROM orders""")
+def uploaded(t: Tables) -> DataFrame:
+    return upload(text_orders(t), {"big": ("BIGINT", None), "rough": ("DATE", "%Y-%m-%d")}, ["key"])

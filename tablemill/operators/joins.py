@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablemill.operators.filters import COMPARISONS, apply_filter, conjunction, predicate
 from tablemill.operators.projection import LEFT_PREFIX, RIGHT_PREFIX
-from tablemill.session import BROADCAST_ROWS, GROUP_ROWS, broadcast_if_small, holds_at_most, hot_groups
+from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups
 
 # Configured join type -> Spark join type.
 JOIN_TYPES = {
@@ -76,11 +76,11 @@ def join(left: DataFrame, right: DataFrame, conditions: Sequence[Mapping[str, st
 
 
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of rows. A side counted as small is broadcast, so that the larger one is read once and not shuffled;
+    """Every pair of rows. A side measured as small is broadcast, so that the larger one is read once and not shuffled;
     with two large sides Spark pairs partitions."""
-    if holds_at_most(right, BROADCAST_ROWS):
+    if fits_broadcast(right):
         return left.crossJoin(F.broadcast(right))
-    if holds_at_most(left, BROADCAST_ROWS):
+    if fits_broadcast(left):
         return F.broadcast(left).crossJoin(right)
     return left.crossJoin(right)
 

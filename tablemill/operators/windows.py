@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.session import BROADCAST_ROWS, GROUP_ROWS, broadcast_if_small, holds_at_most, hot_groups, join_null_safe, stage
+from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups, join_null_safe, stage
 
 PIECE, PLACE, TIE = "__piece", "__place", "__tie"
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's index within its partition in the low 33 bits
@@ -220,7 +220,7 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
         how, both = (F.min, F.least) if function == "MIN" else (F.max, F.greatest)
         done = with_carry(staged, "__end", how).withColumn(alias, running("__end", how, both))
     ranked = done.select(*_named(columns), F.col(f"`{alias}`"))
-    return join_null_safe(df, F.broadcast(ranked) if holds_at_most(copy, BROADCAST_ROWS) else ranked, columns, "inner")
+    return join_null_safe(df, F.broadcast(ranked) if fits_broadcast(copy) else ranked, columns, "inner")
 
 
 def window_expression(df: DataFrame, expression: str, alias: str) -> DataFrame:

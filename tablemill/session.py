@@ -8,11 +8,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# A broadcast is only asked for when a side was counted and holds no more rows than this.
+# A broadcast is only asked for when a side was measured and holds no more than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 # Rows of one group that a single task may be handed before the group is split.
 GROUP_ROWS = 2_000_000
@@ -63,14 +65,21 @@ def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ())
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def holds_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; reads no further than one row past the bound."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` was counted to have no more than ``rows`` rows and, where columns vary in width, measured to hold no
+    more than ``size`` bytes of them. The count comes first, so only a frame of few rows is measured."""
+    if df.count() > rows:
+        return False
+    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if not wide:
+        return True
+    width = F.octet_length(F.to_json(F.struct(*wide)))
+    return (df.agg(F.sum(width)).first()[0] or 0) <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted size allows it, else ``df`` as it is, which leaves a shuffle join."""
-    return F.broadcast(df) if holds_at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when the measured size allows it, else ``df`` as it is, which leaves a shuffle join."""
+    return F.broadcast(df) if fits_broadcast(df, rows, size) else df
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = GROUP_ROWS) -> DataFrame | None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tablemill.ingest import cleaning, inference
 from tablemill.ingest.moments import DATE_FORMATS, parse, parse_any, with_reading
+from tablemill.ingest.upload import upload
 from tests.conftest import rows
 
 
@@ -12,7 +13,7 @@ def kinds(df):
 
 def text(spark, **columns):
     names = list(columns)
-    return spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{n} string" for n in names))
+    return spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"`{n}` string" for n in names))
 
 
 def test_types(spark):
@@ -110,3 +111,10 @@ def test_sink_types(spark):
     df = text(spark, i=["1", "-2"], f=["1.5", "2"], b=["true", "False"], t=["2024-01-01", "2024-01-01T10:00:00"], m=["1", "x"], e=[None, None])
     assert {r.column_name: r.sink_type for r in inference.sink_types(df).collect()} == {
         "i": "BIGINT", "f": "DOUBLE PRECISION", "b": "BOOLEAN", "t": "TIMESTAMP", "m": "TEXT", "e": "TEXT"}
+
+
+def test_upload(spark):
+    df = text(spark, **{"My Day": ["31.12.2024", "01.02.2024", " "], "Amount": ["1.5", "2", ""], "n": ["2", "1", None], "tel-no": ["0123", None, "  "]})
+    table = upload(df, order_by=["n"])
+    assert table.dtypes == [("__id", "bigint"), ("my_day", "date"), ("amount", "double"), ("n", "int"), ("tel_no", "string"), ("__active", "boolean")]
+    assert [(r["__id"], str(r.my_day), r.amount, r.n, r.tel_no) for r in table.orderBy("__id").collect()] == [(1, "2024-02-01", 2.0, 1, None), (2, "2024-12-31", 1.5, 2, "0123")]

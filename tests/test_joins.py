@@ -77,3 +77,13 @@ def test_cross_and_empty(sides, spark):
 
 def test_small_side_is_broadcast_and_no_cartesian_product(sides, plan):
     assert "CartesianProduct" not in plan(join(*sides))
+
+
+def test_broadcast_needs_a_measured_bound(spark):
+    from tablemill.session import fits_broadcast
+
+    numbers = spark.range(100).toDF("n")
+    assert fits_broadcast(numbers, rows=100) and not fits_broadcast(numbers, rows=99)
+    texts = spark.range(10).selectExpr("repeat('x', 1000) as t")
+    assert fits_broadcast(texts, size=20_000) and not fits_broadcast(texts, size=5_000)
+    assert fits_broadcast(texts.limit(0))
