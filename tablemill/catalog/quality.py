@@ -177,13 +177,13 @@ def composed_pattern(t: Tables) -> DataFrame:
     json_valid(props) AS is_json, json_valid(event_type) AS word_is_json FROM events""")
 def types(t: Tables) -> DataFrame:
     ts, fits = F.col("ts"), rules.fits_type
-    return t.events.select(
-        "event_id",
-        fits(F.col("props"), "integer").alias("is_integer"), fits(F.col("value").cast("string"), "numeric").alias("is_number"), fits(F.col("event_type"), "boolean").alias("is_boolean"),
-        fits(F.date_format(ts, "MM/dd/yyyy"), "date").alias("is_date"), fits(F.date_format(ts, "MM-dd-yyyy"), "date").alias("not_date"),
-        fits(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp").alias("is_timestamp"), fits(F.date_format(ts, "h:mm:ss a"), "time").alias("is_time"),
-        fits(F.md5(F.col("props").cast("binary")), "uuid").alias("is_uuid"), fits(F.col("props"), "uuid").alias("not_uuid"),
-        fits(F.col("props"), "json").alias("is_json"), fits(F.col("event_type"), "json").alias("word_is_json"))
+    texts = t.events.select(
+        "event_id", "props", "event_type", F.col("value").cast("string").alias("value"), F.date_format(ts, "MM/dd/yyyy").alias("slashes"), F.date_format(ts, "MM-dd-yyyy").alias("dashes"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), F.date_format(ts, "h:mm:ss a").alias("clock"), F.md5(F.col("props").cast("binary")).alias("digest"))
+    checks = {"is_integer": ("props", "integer"), "is_number": ("value", "numeric"), "is_boolean": ("event_type", "boolean"), "is_date": ("slashes", "date"), "not_date": ("dashes", "date"),
+              "is_timestamp": ("moment", "timestamp"), "is_time": ("clock", "time"), "is_uuid": ("digest", "uuid"), "not_uuid": ("props", "uuid"), "is_json": ("props", "json"),
+              "word_is_json": ("event_type", "json")}
+    return texts.select("event_id", *[fits(F.col(column), kind).alias(name) for name, (column, kind) in checks.items()])
 
 
 @query("val_expression", "SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 2) AS v, upper(l_returnflag) AS w FROM lineitem")

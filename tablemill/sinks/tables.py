@@ -140,13 +140,15 @@ def check_rows(rows: DataFrame, schema: T.StructType, row_number: str) -> Checke
     missing, extra = sorted(wanted - set(given)), sorted(set(given) - wanted)
     if missing or extra:
         raise SinkError(f"columns do not match: missing in file {missing}, not in table {extra}")
-    cast = {f.name: _cast_text(F.col(f"`{given[f.name.lower()]}`"), f.dataType) for f in fields}
-    failed = [F.when(F.col(f"`{given[f.name.lower()]}`").isNotNull() & cast[f.name].isNull() & F.lit(family(f.dataType) != "DATE"),
-                     F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{given[f.name.lower()]}`").alias("value"))) for f in fields]
-    first = F.col(f"`{given[fields[0].name.lower()]}`").alias("first_column_value")
-    checked = rows.select(F.col(f"`{row_number}`").alias("row_number"), first, F.array_compact(F.array(*failed)).alias("__failed"),
-                          F.struct([cast[f.name].alias(f.name) for f in fields]).alias("__row"))
-    good = checked.filter(F.size("__failed") == 0).select("__row.*")
+    raw = {f.name: F.col(f"`{given[f.name.lower()]}`") for f in fields}
+    typed = [(f, f"__typed_{i}") for i, f in enumerate(fields)]
+    cast = rows.select(F.col(f"`{row_number}`").alias("row_number"), raw[fields[0].name].alias("first_column_value"),
+                       *[raw[f.name].alias(f"__raw_{i}") for i, f in enumerate(fields)], *[_cast_text(raw[f.name], f.dataType).alias(name) for f, name in typed])
+    failed = [F.when(F.col(f"__raw_{i}").isNotNull() & F.col(name).isNull(), F.struct(F.lit(f.name).alias("column_name"), F.col(f"__raw_{i}").alias("value")))
+              for i, (f, name) in enumerate(typed) if family(f.dataType) != "DATE"]
+    found = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<struct<column_name:string,value:string>>")
+    checked = cast.withColumn("__failed", found)
+    good = checked.filter(F.size("__failed") == 0).select([F.col(name).alias(f.name) for f, name in typed])
     rejects = checked.select("row_number", "first_column_value", F.explode("__failed").alias("f")).select("row_number", "first_column_value", "f.*")
     return CheckedRows(good, rejects)
 
