@@ -1,7 +1,6 @@
 """Bulk table changes, written to a new path and read back where content changes."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.operators import table_changes as change

@@ -23,9 +23,8 @@ INTEGER_MAX = 2147483647
 
 def unpivot(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """One (column_name, value) row per cell."""
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-             for c in columns or df.columns]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    texts = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns or df.columns])
+    return texts.unpivot([], [F.col(f"`{c}`") for c in texts.columns], "column_name", "value")
 
 
 def first_rows(df: DataFrame, columns: Sequence[str], row_key: str, rows: int) -> DataFrame:

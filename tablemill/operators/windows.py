@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups, join_null_safe, stage
 
 PIECE, PLACE, TIE = "__piece", "__place", "__tie"
+PIECE_ROWS = 50_000  # fewer rows are not worth a piece of their own
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's index within its partition in the low 33 bits
 
 RANKS = ("ROW_NUMBER", "RANK", "DENSE_RANK")
@@ -99,9 +100,9 @@ def _split(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str
 
 
 def _parts(df: DataFrame, total: int, hot_rows: int) -> int:
-    """Number of pieces: at least the session's parallelism when there is work for it, and small enough pieces."""
+    """Number of pieces: the session's parallelism where there is work for it, and more where pieces would be too large."""
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(default, total), -(-4 * total // hot_rows))
+    return max(1, min(default, -(-total // PIECE_ROWS)), -(-4 * total // hot_rows))
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], total: int, hot_rows: int) -> DataFrame:
