@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import hamming_join
+from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,84 @@ def query(name: str, oracle: str | None = None):
 @query("op5_hamming_minhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return hamming_join.near_groups(table(spark, folder, "documents"))
+
+
+@query("op3_pivot_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op4_order_minhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edit_likeness(table(spark, folder, "documents"))
+
+
+#: A conversation whose texts are control strings, added to the table.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@query("op6_chat_format", r"""
+    WITH every AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    sized AS (
+        SELECT *, CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 10 + 8 ELSE 1 + 5 END + length(text)
+            + (length(text) - length(replace(text, '\', ''))) + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) AS chars,
+            lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final
+        FROM every),
+    chats AS (
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS masked, sum(chars) AS formatted_chars,
+            bool_and(coalesce(before, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')
+                     AND (NOT final OR role <> 'system')) AS valid
+        FROM sized GROUP BY conv_id)
+    SELECT conv_id, n_turns, turns_sha256, CAST(length(masked) AS BIGINT) AS loss_chars, sha256(masked) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, valid
+    FROM chats""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", args={"said": TRICKY})
+    return chat.chat_digests(rows.union(tricky))
+
+
+@query("op2_karmarkar_karp")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op7_word_backoff_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query("op10_weak_supervision_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
+@query("op1_temperature_mixing", r"""
+    WITH RECURSIVE docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+    shares AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY source HAVING sum(n_tokens) > 0),
+    whole AS (SELECT sum(tokens) AS total, CAST(max(tokens) AS DOUBLE) AS most, count(*) AS sources FROM shares),
+    halved(n, low, high, entropy) AS (
+        SELECT -1, 1.0::DOUBLE, 1.0::DOUBLE, NULL::DOUBLE
+        UNION ALL
+        SELECT n + 1, CASE WHEN n = -1 THEN 0.0 WHEN found >= 0.95 THEN middle ELSE low END, CASE WHEN n = -1 OR found >= 0.95 THEN high ELSE middle END, found
+        FROM (SELECT n, low, high, (low + high) / 2 AS middle,
+                     (ln(sum(pow(tokens / most, (low + high) / 2))) - sum(pow(tokens / most, (low + high) / 2) * (low + high) / 2 * ln(tokens / most))
+                      / sum(pow(tokens / most, (low + high) / 2))) / ln(any_value(sources)) AS found
+              FROM halved, shares, whole WHERE n < 40 GROUP BY n, low, high)),
+    exponent AS (SELECT CASE WHEN (SELECT entropy FROM halved WHERE n = 0) >= 0.95 THEN 1.0 ELSE (SELECT round((low + high) / 2, 9) FROM halved WHERE n = 40) END AS a),
+    parts AS (SELECT source, tokens, round(pow(tokens / most, a) / sum(pow(tokens / most, a)) OVER () * total, 3) AS part FROM shares, whole, exponent),
+    readings AS (SELECT doc_id, source, n_tokens, part, epoch, md5('1:' || epoch || ':' || doc_id) AS key,
+                        CAST(epoch * tokens AS DOUBLE) AS ahead
+                 FROM docs JOIN parts USING (source), range(0, 1000) r(epoch) WHERE epoch < ceil(part / tokens)),
+    started AS (SELECT *, ahead + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                FROM readings),
+    blocks AS (SELECT greatest(1, round(sum(part) / 1000000)) AS blocks FROM parts),
+    placed AS (SELECT *, CAST(least(floor(start / part * blocks), blocks - 1) AS INTEGER) AS block FROM started, blocks WHERE start < part)
+    SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, n_tokens, block,
+           CAST(row_number() OVER (PARTITION BY block ORDER BY md5('block:' || key), doc_id, epoch) - 1 AS INTEGER) AS slot
+    FROM placed""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan(table(spark, folder, "documents"), mixing.Mix(target_entropy=0.95))
