@@ -6,14 +6,15 @@ chunk has one at most (pigeonhole), so every pair within distance 31 has a chunk
 the index enumerates, for each chunk, the four ways to leave one value out. Documents of a similarity of 0.75 are further
 apart than that once in about 100,000 pairs, more similar ones practically never.
 
-Pairs are confirmed on the full shingle sets, and not all pairs of a bucket are formed: first every document meets the
-smallest member of its buckets, then all leaders of its buckets that are not yet connected to it, and only members of
-one bucket that are still in different components meet pairwise. A group of copies therefore costs its size, not
-its square, and the components are those of all links.
+Links are confirmed on the full shingle sets, and the pairs of a bucket are never listed. First every document meets the
+smallest member of all its buckets. Buckets whose members are then still in different components chain up to families,
+and the sets of a family are compared in blocks inside tasks, which pass on a spanning forest of the links they find. So the
+components are those of all links between documents that share a bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.components import components
-from tablemill.llm.shingles import Shingler, Signer, as_sets, mix, similar
+from tablemill.llm.shingles import Shingler, Signer, as_sets, mix, shared_counts, similar
 from tablemill.session import broadcast_if_small, stage
 
 VALUES, BITS, CHUNKS = 64, 16, 16
 WIDTH, PERCENT = 5, 75
 
+#: Sets of similar size are compared in blocks: sizes grow by this ratio from class to class, and a block holds no more nodes and shingles.
+CLASS_RATIO, BLOCK_NODES, BLOCK_SHINGLES = 1.16, 1024, 400_000
+
 #: Rows of a Python batch; texts may be long.
 BATCH = 256
 
@@ -149,21 +153,64 @@ def _groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = to_leader.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
     links = _verified(first, sets, percent)
     groups = components(links)
-    apart = _apart(to_leader.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), groups)
-    links = links.union(_verified(apart, sets, percent))
-    groups = components(links)
-    placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(groups, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    placed = stage(placed.join(mixed, "key", "left_semi"), "placed")
-    one = placed.select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    other = placed.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    rest = one.join(other, "key").filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(links.union(_verified(rest, sets, percent)))
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    of_a = groups.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    of_b = groups.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    placed = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return placed.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    placed = stage(placed.join(mixed, "key", "left_semi").select("node", "leader", "component").distinct(), "placed")
+    families = components(placed.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    nodes = placed.select("node", "component").distinct().join(families.withColumnRenamed("component", "family"), "node").join(sets, "node")
+    return components(links.union(_block_links(nodes, percent)))
+
+
+def _block_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links between different components inside each family of ``nodes`` (node, component, family, shingles).
+
+    A family is cut into classes of set size and these into blocks; a task compares two blocks whose sizes can be similar. So a
+    family of any size meets in tasks of bounded size, and only the links that join components leave a task.
+    """
+    reach = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO))
+    size = F.octet_length("shingles") / 8
+    nodes = nodes.withColumn("class", F.floor(F.log(size) / math.log(CLASS_RATIO)).cast("int"))
+    nodes = stage(nodes, "families")
+    width = F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(1), F.floor(BLOCK_SHINGLES / F.pow(F.lit(CLASS_RATIO), F.col("class") + 1))))
+    blocks = nodes.groupBy("family", "class").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("blocks"))
+    own, their = blocks.select("family", "class", F.col("blocks").alias("own")), blocks.select("family", F.col("class").alias("with"), F.col("blocks").alias("their"))
+    near = nodes.drop("shingles").withColumn("with", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
+    near = near.join(own, ["family", "class"]).join(their, ["family", "with"])
+    near = near.withColumn("mine", F.pmod(F.xxhash64("node"), "own").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("their") - 1)))
+    left = (F.col("class") < F.col("with")) | ((F.col("class") == F.col("with")) & (F.col("mine") <= F.col("other")))
+    at, across = F.struct("class", "mine"), F.struct(F.col("with").alias("class"), F.col("other").alias("mine"))
+    near = near.select("node", "family", F.when(left, at).otherwise(across).alias("low"), F.when(left, across).otherwise(at).alias("high"), left.alias("left"))
+    rows = near.join(nodes.select("node", "component", "shingles"), "node")
+    return stage(rows.groupBy("family", "low", "high").applyInArrow(_comparing(percent), "a bigint, b bigint"), "block-links")
+
+
+def _comparing(percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        same = table["low"][0] == table["high"][0]
+        left = np.array(table["left"].to_pylist(), dtype=bool)
+        nodes, groups = table["node"].to_numpy(), table["component"].to_numpy()
+        sets = as_sets(table["shingles"].to_pylist())
+        sizes = np.array([len(s) for s in sets])
+        rows, columns = (np.arange(len(nodes)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        common = shared_counts([sets[i] for i in rows], [sets[j] for j in columns])
+        i, j = np.nonzero(100 * common >= percent * (sizes[rows][:, None] + sizes[columns][None, :] - common))
+        i, j = rows[i], columns[j]
+        apart = groups[i] != groups[j]
+        i, j = i[apart], j[apart]
+        forest, parent = [], {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        # one link per pair of components is enough
+        _, firsts = np.unique(np.stack([np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])]), axis=1, return_index=True)
+        for k in firsts:
+            one, other = root(groups[i[k]]), root(groups[j[k]])
+            if one != other:
+                parent[max(one, other)] = min(one, other)
+                forest.append((nodes[i[k]], nodes[j[k]]))
+        return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([x for _, x in forest], pa.int64())})
+
+    return compare

@@ -88,3 +88,34 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 def as_sets(column: Iterable[bytes]) -> list[np.ndarray]:
     """Shingle sets back from their byte form."""
     return [np.frombuffer(value, dtype=np.uint64) for value in column]
+
+
+def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each row set with each column set, by products of incidence matrices over bounded slices of the shingles."""
+    counts = np.zeros((len(rows), len(columns)), dtype=np.int64)
+    if not rows or not columns:
+        return counts
+    of_row, of_column = np.concatenate(rows), np.concatenate(columns)
+    shared = np.intersect1d(of_row, of_column)
+    at_row, at_column = (np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (rows, columns))
+
+    def entries(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``shared`` and set numbers of the shingles that are shared, in the order of the places."""
+        place = np.searchsorted(shared, values)
+        known = place < len(shared)
+        known[known] = shared[place[known]] == values[known]
+        place, at = place[known], at[known]
+        order = np.argsort(place, kind="stable")
+        return place[order], at[order]
+
+    row_place, row_at = entries(of_row, at_row)
+    column_place, column_at = entries(of_column, at_column)
+    for start in range(0, len(shared), 2048):
+        matrices = []
+        for place, at, height in ((row_place, row_at, len(rows)), (column_place, column_at, len(columns))):
+            low, high = np.searchsorted(place, [start, start + 2048])
+            matrix = np.zeros((height, 2048), dtype=np.float32)
+            matrix[at[low:high], place[low:high] - start] = 1
+            matrices.append(matrix)
+        counts += (matrices[0] @ matrices[1].T).astype(np.int64)
+    return counts
