@@ -128,16 +128,47 @@ def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "s
     """The mix as one row per reading of a document: (id_col, source, epoch, n_tokens, block, slot).
 
     Blocks are numbered from 0, ``slot`` orders a block's documents from 0. Ties of the hash go by id and number of tokens. Documents without
-    tokens (null, empty and blank texts) take part in whole epochs and in the cut one up to the document at the cut; those of a source
+    tokens (null, empty and blank texts) are read as often as whole epochs are, and in the cut one up to the cut; those of a source
     without any token are not read. A null source is a source of its own. Repeated rows are read once each. An empty table gives an
     empty plan; other columns are not read.
     """
+    chosen, shares = _chosen(docs, mix, id_col, source_col, text_col, seed, range_rows)
+    total = shares.agg(F.sum("part")).first()[0] or 0.0
+    blocks = max(1, round(total / block_tokens))
+    block = F.least(F.floor(F.col("start") / F.col("part") * blocks).cast("int"), F.lit(blocks - 1))
+    chosen = chosen.withColumn("block", block).withColumn("mixed", F.md5(F.concat(F.lit("block:"), "key")))
+    slot = F.row_number().over(W.partitionBy("block").orderBy("mixed", "id", "epoch", "source", "tokens")) - 1
+    return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("tokens").alias("n_tokens"), "block", slot.cast("int").alias("slot"))
+
+
+def realise(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``docs`` with each row as often as ``plan`` reads it, in the same columns.
+
+    Where a source's last epoch is cut is one row per source, and every row can tell on its own on which side it lies: the texts
+    are not shuffled. Edge cases are those of ``plan``.
+    """
+    chosen, _ = _chosen(docs, mix, id_col, source_col, text_col, seed, range_rows)
+    cuts = chosen.groupBy("source").agg(F.max(F.struct("epoch", "key", "id", "tokens")).alias("__cut"))
+    cuts = broadcast_if_small(stage(cuts.withColumnRenamed("source", "__of"), "cuts"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__tokens", count_tokens(F.col(f"`{text_col}`"))).join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col("__of")))
+    id_ = F.col(f"`{id_col}`")
+
+    def read(epoch: Column) -> Column:
+        here = F.struct(epoch.alias("epoch"), order_key(id_, epoch, seed).alias("key"), id_.alias("id"), F.col("__tokens").alias("tokens"))
+        return (epoch < F.col("__cut.epoch")) | (here <= F.col("__cut"))
+
+    return rows.withColumn("__epoch", F.explode(F.filter(F.sequence(F.lit(0), F.col("__cut.epoch")), read))).select(*names)
+
+
+def _chosen(docs: DataFrame, mix: Mix, id_col: str, source_col: str, text_col: str, seed: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The readings that fit the budgets (id, source, tokens, epoch, key, start, part), and the shares. ``start`` counts the tokens of the source that are read before."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), count_tokens(F.col(f"`{text_col}`")).alias("tokens"))
     rows = stage(rows, "tokens")
     shares = weights(rows, mix)
     epochs = F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)).alias("epoch")
     live = broadcast_if_small(shares.filter("part > 0").select(F.col("source").alias("of"), F.col("tokens").alias("all"), "part", "repeats"))
-    readings = rows.join(live, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "tokens", "all", "part", "repeats", epochs)
+    readings = rows.join(live, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", rows["tokens"], "all", "part", "repeats", epochs)
     ranges = max(1, -(-rows.count() // range_rows))
     readings = readings.withColumn("key", order_key(F.col("id"), F.col("epoch"), seed))
     readings = readings.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / (1 << 32)).cast("int"))
@@ -147,12 +178,6 @@ def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "s
     inside = W.partitionBy("source", "epoch", "range").orderBy("key", "id", "tokens").rowsBetween(W.unboundedPreceding, -1)
     placed = readings.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     placed = placed.join(broadcast_if_small(sums), F.col("source").eqNullSafe(F.col("of")) & (F.col("epoch") == F.col("in")) & (F.col("range") == F.col("at")))
-    start = F.col("epoch") * F.col("all") + F.col("before") + F.col("within")
-    chosen = placed.withColumn("start", start).filter("start < part")
-    total = shares.agg(F.sum("part")).first()[0] or 0.0
-    blocks = max(1, round(total / block_tokens))
-    block = F.floor(F.col("start") / F.col("part") * blocks).cast("int")
-    chosen = chosen.withColumn("block", F.least(block, F.lit(blocks - 1)))
-    slot = F.row_number().over(W.partitionBy("block").orderBy("mixed", "id", "epoch", "source", "tokens")) - 1
-    chosen = chosen.withColumn("mixed", F.md5(F.concat(F.lit("block:"), "key")))
-    return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("tokens").alias("n_tokens"), "block", slot.cast("int").alias("slot"))
+    placed = placed.withColumn("start", F.col("epoch") * F.col("all") + F.col("before") + F.col("within"))
+    fits = (F.col("start") < F.col("part")) | ((F.col("tokens") == 0) & (F.col("start") <= F.col("part")))
+    return placed.filter(fits).select("id", "source", "tokens", "epoch", "key", "start", "part"), shares

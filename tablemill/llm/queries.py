@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, sharding
+from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, sentencepieces, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,9 +105,28 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     started AS (SELECT *, ahead + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
                 FROM readings),
     blocks AS (SELECT greatest(1, round(sum(part) / 1000000)) AS blocks FROM parts),
-    placed AS (SELECT *, CAST(least(floor(start / part * blocks), blocks - 1) AS INTEGER) AS block FROM started, blocks WHERE start < part)
+    placed AS (SELECT *, CAST(least(floor(start / part * blocks), blocks - 1) AS INTEGER) AS block FROM started, blocks WHERE start < part OR (n_tokens = 0 AND start <= part))
     SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, n_tokens, block,
            CAST(row_number() OVER (PARTITION BY block ORDER BY md5('block:' || key), doc_id, epoch) - 1 AS INTEGER) AS slot
     FROM placed""")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(table(spark, folder, "documents"), mixing.Mix(target_entropy=0.95))
+
+
+#: The SentencePiece model of the installed public vocabularies.
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op8_sentencepiece_transducer")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
+#: Listed rules of the URL query.
+LISTED = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+@query("op9_association_url_filter")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rules = [url_rules.parse(rule) for rule in LISTED]
+    return url_rules.judge(table(spark, folder, "pages"), table(spark, folder, "labels"), rules)
