@@ -24,8 +24,20 @@ def batches(t: Tables) -> DataFrame:
     return compute.compute_batches(t.events.select("event_id", "props", "value"), step, "event_id bigint, k bigint, high boolean")
 
 
-@query("udf_compute_grouped", "SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY user_id")
+GROUPED = "SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY user_id"
+
+
+@query("udf_compute_grouped", GROUPED)
 def grouped(t: Tables) -> DataFrame:
+    return _grouped(t)
+
+
+@query("udf_compute_grouped_hot", GROUPED)
+def grouped_hot(t: Tables) -> DataFrame:
+    return _grouped(t, max_rows=5)
+
+
+def _grouped(t: Tables, **options: int) -> DataFrame:
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "n": [len(rows)], "low": [rows.value.min()], "high": [rows.value.max()]})
 
@@ -33,7 +45,7 @@ def grouped(t: Tables) -> DataFrame:
         return pd.DataFrame({"user_id": [parts.user_id.iloc[0]], "n": [parts.n.sum()], "low": [parts.low.min()], "high": [parts.high.max()]})
 
     schema = "user_id bigint, n bigint, low double, high double"
-    return compute.compute_grouped(t.events.select("user_id", "value"), ["user_id"], step, schema, merge)
+    return compute.compute_grouped(t.events.select("user_id", "value"), ["user_id"], step, schema, merge, **options)
 
 
 @query("udf_output_check", """SELECT * FROM (VALUES ('missing', 'risk'), ('added', 'flag'), ('removed', 'props'), ('all_null', 'flag')) v("check", column_name)

@@ -137,6 +137,14 @@ def typed_value(t: Tables) -> DataFrame:
     return apply_filter(t.lineitem, conditions).select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
+@query("flt_typed_wide", """SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem
+    WHERE l_linenumber < 3000000000 AND CAST(l_shipdate AS DATE) < TIMESTAMP '1996-03-05 12:00:00' AND CAST(l_shipdate AS DATE) > TIMESTAMP '1995-03-05 12:00:00'""")
+def typed_wide(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"))
+    return apply_filter(rows, [{"column": "l_linenumber", "operator": "<", "value": "3000000000"}, {"column": "day", "operator": "<", "value": "1996-03-05 12:00:00"},
+                               {"column": "day", "operator": ">", "value": "1995-03-05 12:00:00"}])
+
+
 @query("flt_bool_ops", "SELECT doc_id, quality, toxic = 1 AS is_toxic FROM labels WHERE (toxic = 1) = true")
 def boolean_column(t: Tables) -> DataFrame:
     flagged = t.labels.select("doc_id", "quality", (F.col("toxic") == 1).alias("is_toxic"))

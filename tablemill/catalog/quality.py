@@ -7,14 +7,23 @@ from tablemill.catalog import Tables, query
 from tablemill.quality import profile, rules
 
 
-@query("prf_numeric", """SELECT 'l_quantity' AS column_name, min(l_quantity) AS min_value, max(l_quantity) AS max_value, count(*) AS total_count,
+@query("prf_numeric", """SELECT 'l_quantity' AS column_name, min(l_quantity) AS min_value, max(l_quantity) AS max_value, CAST(NULL AS VARCHAR) AS exact_min, CAST(NULL AS VARCHAR) AS exact_max, count(*) AS total_count,
     count(*) FILTER (l_quantity = 0) AS zero_count, count(*) FILTER (l_quantity IS NULL) AS null_count FROM lineitem
-    UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount), count(*), count(*) FILTER (l_discount = 0), count(*) FILTER (l_discount IS NULL) FROM lineitem
-    UNION ALL SELECT 'l_linenumber', min(l_linenumber), max(l_linenumber), count(*), count(*) FILTER (l_linenumber = 0), count(*) FILTER (l_linenumber IS NULL) FROM lineitem""")
+    UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount), NULL, NULL, count(*), count(*) FILTER (l_discount = 0), count(*) FILTER (l_discount IS NULL) FROM lineitem
+    UNION ALL SELECT 'l_linenumber', min(l_linenumber), max(l_linenumber), CAST(min(l_linenumber) AS VARCHAR), CAST(max(l_linenumber) AS VARCHAR), count(*), count(*) FILTER (l_linenumber = 0), count(*) FILTER (l_linenumber IS NULL) FROM lineitem""")
 def numeric(t: Tables) -> DataFrame:
     return profile.numeric_profile(t.lineitem, ["l_quantity", "l_discount", "l_linenumber"])
 
 
+@query("prf_numeric_wide", """SELECT 'wide' AS column_name, CAST(min(o_orderkey + 9007199254740993) AS DOUBLE) AS min_value, CAST(max(o_orderkey + 9007199254740993) AS DOUBLE) AS max_value,
+    CAST(min(o_orderkey + 9007199254740993) AS VARCHAR) AS exact_min, CAST(max(o_orderkey + 9007199254740993) AS VARCHAR) AS exact_max, count(*) AS total_count, 0 AS zero_count, 0 AS null_count FROM orders
+    UNION ALL SELECT 'price', CAST(min(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE), CAST(max(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE), CAST(min(CAST(o_totalprice AS DECIMAL(15,2))) AS VARCHAR),
+    CAST(max(CAST(o_totalprice AS DECIMAL(15,2))) AS VARCHAR), count(*), 0, 0 FROM orders""")
+def numeric_wide(t: Tables) -> DataFrame:
+    rows = t.orders.select((F.col("o_orderkey") + 9007199254740993).alias("wide"), F.col("o_totalprice").cast("decimal(15,2)").alias("price"))
+    return profile.numeric_profile(rows, ["wide", "price"])
+
+
 @query("prf_string", """WITH v AS (SELECT CAST(quality AS VARCHAR) AS value FROM documents LEFT JOIN labels USING (doc_id))
     SELECT 'total' AS finding, NULL AS value, count(*) AS n FROM v UNION ALL SELECT 'null', NULL, count(*) FROM v WHERE value IS NULL
     UNION ALL SELECT 'value', value, count(*) FROM v WHERE value IS NOT NULL GROUP BY value""")

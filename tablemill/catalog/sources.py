@@ -119,7 +119,7 @@ def drop_reload(t: Tables) -> DataFrame:
 def schema_mismatch(t: Tables) -> DataFrame:
     path = new_path(t.spark, "mismatch")
     tables.write_table(customers(t), path)
-    tables.write_table(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), path)
+    tables.write_table(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), path, on_mismatch="recreate")
     return t.spark.read.parquet(path)
 
 
@@ -179,6 +179,40 @@ def append_accepted(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@query("snk_upsert_null_order", """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT o_custkey, 'new', CAST(min(o_custkey) AS DOUBLE) FROM orders GROUP BY o_custkey""")
+def upsert_null_order(t: Tables) -> DataFrame:
+    updates = t.orders.select(F.col("o_custkey").alias("id"), F.lit("new").alias("name"), F.col("o_custkey").cast("double").alias("balance"), F.lit(None).cast("bigint").alias("version"))
+    return tables.upserted(customers(t), updates, ["id"], "version")
+
+
+#: Days of a column that is day first: some read both ways, some do not.
+DAYS = "CAST(DATE '2024-01-01' + CAST(c_custkey % 366 AS INTEGER) AS {})"
+
+
+@query("snk_append_dates", f"""SELECT 0 AS id, DATE '2000-01-01' AS day UNION ALL
+    SELECT c_custkey, {DAYS.format('DATE')} FROM customer""")
+def append_dates(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "dates")
+    t.spark.sql("SELECT 0L AS id, DATE'2000-01-01' AS day").write.parquet(path)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 366).cast("int"))
+    rows = t.customer.select((F.col("c_custkey") + 2).alias("row_number"), F.col("c_custkey").cast("string").alias("id"), F.date_format(day, "dd/MM/yyyy").alias("day"))
+    tables.append_checked(rows, path, "row_number")
+    return t.spark.read.parquet(path)
+
+
+@query("snk_append_ids", """SELECT row_number() OVER (ORDER BY s_suppkey) AS __id, s_name AS name, true AS __active FROM supplier UNION ALL
+    SELECT (SELECT count(*) FROM supplier) + row_number() OVER (ORDER BY c_custkey), c_name, true FROM customer""")
+def append_ids(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "ids")
+    tables.with_system_columns(t.supplier.select("s_suppkey", F.col("s_name").alias("name")), ["s_suppkey"]).drop("s_suppkey").write.parquet(path)
+    names = t.customer.select((F.col("c_custkey") + 2).alias("row_number"), F.col("c_name").alias("name"))
+    blank = t.customer.select((F.col("c_custkey") + 10**9).alias("row_number"), F.lit(" ").alias("name"))
+    again = names.select((F.col("row_number") + 2 * 10**9).alias("row_number"), "name")
+    tables.append_checked(names.union(blank).union(again), path, "row_number")
+    return t.spark.read.parquet(path)
+
+
 EXPORT = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'None') AS status, strftime(o_orderdate, '%d/%m/%Y') AS o_orderdate,
     CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders WHERE o_totalprice > 50000"""
 
@@ -203,6 +237,16 @@ def export_tsv(t: Tables) -> DataFrame:
     return files.read_csv(t.spark, path, sep="\t", missing=())
 
 
+@query("snk_export_tsv_escapes", """SELECT CAST(event_id AS VARCHAR) || chr(9) || event_type AS tabbed, replace(props, ',', chr(10)) AS lines, event_type || chr(92) || 'n' AS backslash FROM events""")
+def export_tsv_escapes(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "export")
+    rows = t.events.select(F.concat_ws("\t", F.col("event_id").cast("string"), "event_type").alias("tabbed"), F.replace("props", F.lit(","), F.lit("\n")).alias("lines"),
+                           F.concat("event_type", F.lit("\\n")).alias("backslash"))
+    export.write_tsv(rows, path)
+    written = t.spark.read.text(path).filter("value not like 'tabbed%'").select(F.split("value", "\t").alias("v"))
+    return written.select(*[export.read_tsv_value(F.col("v")[i]).alias(name) for i, name in enumerate(rows.columns)])
+
+
 @query("fmt_dates", """SELECT event_id, CASE WHEN date_trunc('second', ts) = date_trunc('day', ts) THEN strftime(ts, '%m-%d-%Y') ELSE strftime(ts, '%m-%d-%Y %H:%M:%S') END AS ts,
     strftime(ts, '%m-%d-%Y') AS day, strftime(ts, '%m-%d-%Y') AS midnight FROM events""")
 def format_dates(t: Tables) -> DataFrame:

@@ -59,6 +59,20 @@ def running_sum(t: Tables) -> DataFrame:
     return result.withColumn("w", F.round("w", 2))
 
 
+@query("win_sum_decimal_hot", CUSTOMER_SQL.format("CAST(sum(CAST(o_totalprice AS DECIMAL(10,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS DECIMAL(20,2))"))
+def sum_decimal_hot(t: Tables) -> DataFrame:
+    spec = {**BY_CUSTOMER, "function": "SUM", "column": "price", "order_by": [{"column": "o_orderstatus"}]}
+    return window(t.orders.withColumn("price", F.col("o_totalprice").cast("decimal(10,2)")), spec, hot_rows=10).select("o_orderkey", "o_custkey", "w")
+
+
+@query("win_avg_bigint_hot", CUSTOMER_SQL.format("""CAST(round(CAST(sum(9000000000000000000 + CAST(o_orderkey AS HUGEINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS DOUBLE)
+    / count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) / 1e6) AS DOUBLE)"""))
+def avg_bigint_hot(t: Tables) -> DataFrame:
+    spec = {**BY_CUSTOMER, "function": "AVG", "column": "large", "order_by": [{"column": "o_orderstatus"}]}
+    rows = window(t.orders.withColumn("large", F.col("o_orderkey") + F.lit(9_000_000_000_000_000_000)), spec, hot_rows=10)
+    return rows.select("o_orderkey", "o_custkey", F.round(F.col("w") / 1e6).alias("w"))
+
+
 @query("win_agg_group", CUSTOMER_SQL.format("max(o_totalprice) OVER (PARTITION BY o_custkey)"))
 def group_maximum(t: Tables) -> DataFrame:
     return by_customer(t, function="MAX", column="o_totalprice", order_by=[])
@@ -120,7 +134,7 @@ def top_k(t: Tables) -> DataFrame:
     return ordering.top_k(t.orders.select("o_orderkey", "o_totalprice"), PRICE_ORDER, 25)
 
 
-@query("dst_values", "SELECT DISTINCT CAST(p_brand AS VARCHAR) AS value FROM part WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 1000")
+@query("dst_values", "SELECT DISTINCT CAST(p_brand AS VARCHAR) AS value FROM part WHERE p_brand IS NOT NULL ORDER BY 1 ")
 def distinct_values(t: Tables) -> DataFrame:
     return ordering.distinct_values(t.part, "p_brand")
 

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from tablemill.session import GROUP_ROWS, broadcast_if_small, hot_groups, join_null_safe
 
+#: Results of parts that one task merges in the first round.
+MERGE_PARTS = 32
+
 PandasStep = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -43,34 +46,41 @@ def compute_grouped(df: DataFrame, keys: Sequence[str], step: PandasStep, schema
                     merge: PandasStep | None = None, max_rows: int = GROUP_ROWS) -> DataFrame:
     """Pandas code per group of ``keys``.
 
-    Groups are counted first. With ``merge``, a group above ``max_rows`` is cut into parts of about that size, ``step``
-    runs on each part and ``merge`` combines the parts' results (output columns in, output columns out). Without
-    ``merge`` such a group is an error, because one task would have to hold it whole. The number of tasks is fixed, because
-    adaptive execution would merge them by bytes while pandas code takes its time by groups.
+    The call says what a step is, never the data. Without ``merge`` it gets whole groups, however large; it is for groups that
+    a task can hold. With ``merge`` every group is a set of parts (one, or several of about ``max_rows`` rows): ``step``
+    runs on each part and ``merge`` combines results, in rounds, so it takes its own results as well (output columns in, output
+    columns out) and should return few rows. The number of tasks is fixed, because adaptive execution would merge
+    them by bytes while pandas code takes its time by groups.
     """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _checked(step(group))
 
-    hot = hot_groups(df, keys, max_rows)
+    def run_whole(group: pd.DataFrame) -> pd.DataFrame:
+        return _checked(merge(run(group)))
+
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_groups(df, keys, max_rows) if merge is not None else None
     if hot is None:
-        return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema)
-    if merge is None:
-        raise ComputeError(f"groups of {list(keys)} exceed {max_rows} rows; give a merge function")
+        return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run if merge is None else run_whole, schema)
+    shape = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    with_round = T.StructType([*shape.fields, T.StructField("__round", T.IntegerType())])
 
     def run_part(part: pd.DataFrame) -> pd.DataFrame:
-        return _checked(step(part.drop(columns="__part")))
+        return run(part.drop(columns="__part")).assign(__round=int(part["__part"].iloc[0]) // MERGE_PARTS)
+
+    def combine_round(parts: pd.DataFrame) -> pd.DataFrame:
+        return _checked(merge(parts.drop(columns="__round").reset_index(drop=True)))
 
     def combine(parts: pd.DataFrame) -> pd.DataFrame:
         return _checked(merge(parts))
 
     parts = F.ceil(F.col("n_rows") / max_rows).cast("int")
-    salted = df.withColumn("__row", F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]))
+    salted = df.withColumn("__row", F.xxhash64(F.monotonically_increasing_id()))  # by row, so that equal rows spread too
     sized = join_null_safe(salted, broadcast_if_small(hot.withColumn("n_rows", parts)), list(keys), "left_outer")
     part = F.pmod(F.col("__row"), F.coalesce(F.col("n_rows"), F.lit(1))).cast("int")
     cut = sized.withColumn("__part", part).drop("__row", "n_rows")
-    partial = cut.repartition(tasks, *keys, "__part").groupBy(*keys, "__part").applyInPandas(run_part, schema)
-    return partial.groupBy(*keys).applyInPandas(combine, schema)
+    partial = cut.repartition(tasks, *keys, "__part").groupBy(*keys, "__part").applyInPandas(run_part, with_round)
+    return partial.groupBy(*keys, "__round").applyInPandas(combine_round, shape).groupBy(*keys).applyInPandas(combine, shape)
 
 
 def _checked(result: object) -> pd.DataFrame:

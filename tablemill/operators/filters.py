@@ -54,16 +54,28 @@ def typed_value(value: Any, kind: T.DataType) -> Column:
     """Literal of the column's type for a configured value; text is parsed, and text that does not parse is an error."""
     if isinstance(value, str) and not is_text(kind):
         value = _parse_text(value.strip(), kind)
-    literal = F.lit(value)
+    literal = F.lit(Decimal(value) if isinstance(value, int) and abs(value) >= 2**63 else value)
     if is_text(kind):
         return literal if isinstance(value, str) else literal.cast("string")
-    if family(kind) == "INTEGER" and isinstance(value, (float, Decimal)):
-        return literal  # 24.5 against an integer column compares as a number
+    if family(kind) == "INTEGER" and (isinstance(value, (float, Decimal)) or _beyond(value, kind)):
+        return literal  # 24.5 or 3000000000 against an int column compares as a number
+    if isinstance(kind, T.DateType) and _has_time(value):
+        return literal.cast("timestamp_ntz")
     if family(kind) == "DECIMAL" and isinstance(value, Decimal):
         return literal.cast("double") if isinstance(kind, (T.DoubleType, T.FloatType)) else literal
     return literal.cast(kind)
 
 
+def _beyond(value: Any, kind: T.DataType) -> bool:
+    """Whether an integer has no room in an integer type."""
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
+    return bits is not None and isinstance(value, int) and not -(2 ** (bits - 1)) <= value < 2 ** (bits - 1)
+
+
+def _has_time(value: Any) -> bool:
+    return isinstance(value, str) and bool(re.search("[1-9]", value.strip()[10:]))
+
+
 def _parse_text(text: str, kind: T.DataType) -> Any:
     group = family(kind)
     try:
@@ -120,6 +132,10 @@ def condition(spec: dict[str, Any], df: DataFrame) -> Column:
         return column.isNotNull()
     if value is None or value == "":
         raise FilterError(f"{operator} needs a value; use IS NULL to look for missing ones")
+    if isinstance(kind, T.DateType) and operator in ("<", "<=", ">", ">=") and _has_time(value):
+        # a day lies before a moment inside day d exactly if it is d or earlier
+        _parse_text(value.strip(), kind)
+        return COMPARISONS["<=" if operator in ("<", "<=") else ">"](column, F.lit(value.strip()[:10]).cast(kind))
     if operator in COMPARISONS:
         return COMPARISONS[operator](column, typed_value(value, kind))
     if operator in TEXT_TESTS:

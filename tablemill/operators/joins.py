@@ -159,7 +159,7 @@ def _salt(side: DataFrame, keys: Sequence[str], hot: DataFrame, hot_rows: int, n
     parts = hot.select([F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(hot.columns[:-1])]
                        + [F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("__parts")])
     on = conjunction([F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(keys)])
-    row = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in side.columns])
+    row = F.xxhash64(F.monotonically_increasing_id())  # by row, so that equal rows spread too
     known = side.withColumn("__row", row).join(broadcast_if_small(parts), on, "left_outer")
     count = F.coalesce(F.col("__parts"), F.lit(1))
     salt = F.explode(F.sequence(F.lit(0), count - 1)) if copies else F.pmod(F.col("__row"), count).cast("int")

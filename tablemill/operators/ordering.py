@@ -36,12 +36,15 @@ def top_k(df: DataFrame, keys: Sequence[Mapping[str, str] | str], k: int) -> Dat
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """At most ``rows`` rows, never more than the preview limit."""
-    return df.limit(min(rows, PREVIEW_LIMIT))
+    """At most ``rows`` rows; asking for more than the preview limit is an error."""
+    if not 0 <= rows <= PREVIEW_LIMIT:
+        raise ValueError(f"a preview has at most {PREVIEW_LIMIT} rows")
+    return df.limit(rows)
 
 
 def page(df: DataFrame, keys: Sequence[Mapping[str, str] | str], number: int, size: int) -> DataFrame:
-    """Rows of a 1-based page in the order of ``keys``, which have to order the rows totally.
+    """Rows of a 1-based page in the order of ``keys``; rows with equal keys are ordered by a hash of all columns, so that
+    pages never repeat or miss a row.
 
     A page near the top is a limit over the sort, which Spark runs as a bounded heap per task. A page far down would make
     every task and the driver keep all rows above it, so it is cut by global row position instead.
@@ -49,9 +52,10 @@ def page(df: DataFrame, keys: Sequence[Mapping[str, str] | str], number: int, si
     if number < 1 or not 1 <= size <= PAGE_LIMIT:
         raise ValueError(f"page starts at 1 and page size is 1 to {PAGE_LIMIT}")
     skip = (number - 1) * size
+    order = [*order_columns(keys), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     if skip + size <= NEAR_ROWS:
-        return df.orderBy(*order_columns(keys)).offset(skip).limit(size)
-    placed = with_position(df, order_columns(keys), "__place")
+        return df.orderBy(*order).offset(skip).limit(size)
+    placed = with_position(df, order, "__place")
     return placed.filter(F.col("__place").between(skip + 1, skip + size)).orderBy("__place").drop("__place")
 
 
@@ -69,10 +73,11 @@ def page_summary(df: DataFrame, number: int, size: int) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 1000) -> DataFrame:
-    """Sorted distinct non-null values of a column as text."""
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Sorted distinct non-null values of a column as text, the first ``limit`` of them where the caller sets one."""
     values = df.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return values.orderBy("value").limit(limit).select(F.col("value").cast("string").alias("value"))
+    ordered = values.orderBy("value") if limit is None else values.orderBy("value").limit(limit)
+    return ordered.select(F.col("value").cast("string").alias("value"))
 
 
 def distinct_rows(df: DataFrame, row_number: str | None = None) -> DataFrame:

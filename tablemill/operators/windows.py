@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups, join_null_safe, stage
 
@@ -108,9 +109,9 @@ def _parts(df: DataFrame, total: int, hot_rows: int) -> int:
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], total: int, hot_rows: int) -> DataFrame:
     """``df`` with the row number within its group as PLACE, at the cost of one range shuffle and one staged copy.
 
-    Ties are spread by a hash, so that a piece stays small even where all rows are alike.
+    Ties are spread by a hash of the row's place in the input, so that a piece stays small even where all rows are alike.
     """
-    tied = df.withColumn(TIE, F.xxhash64(F.spark_partition_id(), *_named(df.columns)))
+    tied = df.withColumn(TIE, F.xxhash64(F.monotonically_increasing_id()))
     sort_by = [*_named(keys), *order, F.col(TIE)]
     ranged = tied.repartitionByRange(_parts(df, total, hot_rows), *sort_by).sortWithinPartitions(*sort_by).drop(TIE)
     return _places(ranged, keys)
@@ -180,9 +181,11 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
     by = [o["column"] for o in spec["order_by"]]
     columns = list(dict.fromkeys([*keys, *by]))
     value = F.col(f"`{spec['column']}`") if spec.get("column") else F.lit(1)
+    kind = df.select(_plain(spec, function, keys, order).alias(alias)).schema[alias].dataType
+    summed = _sum_type(df.select(value.alias("v")).schema["v"].dataType)
     peers = df.groupBy(*_named(columns)).agg(
         F.count(F.lit(1)).alias("__rows"), F.count(value).alias("__count"),
-        *([F.sum(value).alias("__sum")] if function in ("SUM", "AVG") else []),
+        *([F.sum(value.cast(summed)).cast(summed).alias("__sum")] if function in ("SUM", "AVG") else []),
         *([AGGREGATES[function](value).alias("__end")] if function in ("MIN", "MAX") else []))
     ranged = peers.repartitionByRange(_parts(df, total, hot_rows), *_named(keys), *order)
     staged = copy = stage(ranged.withColumn(PIECE, F.spark_partition_id()), "window")
@@ -194,6 +197,8 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
 
     def carried(measure: str, how: Callable[[Column], Column]) -> DataFrame:
         totals = pieces.agg(how(F.col(measure)).alias(measure))
+        if measure == "__sum":
+            totals = totals.withColumn(measure, F.col(measure).cast(summed))
         before = how(F.col(measure)).over(_earlier_pieces(keys))
         return broadcast_if_small(stage(totals.select(*_named(keys), PIECE, before.alias(f"__before{measure}")), "carry"))
 
@@ -212,11 +217,11 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
     elif function == "COUNT":
         done = with_carry(staged, "__count", F.sum).withColumn(alias, running("__count", F.sum, plus))
     elif function == "SUM":
-        done = with_carry(staged, "__sum", F.sum).withColumn(alias, running("__sum", F.sum, plus))
+        done = with_carry(staged, "__sum", F.sum).withColumn(alias, running("__sum", F.sum, plus).cast(kind))
     elif function == "AVG":
         frame = with_carry(with_carry(staged, "__sum", F.sum), "__count", F.sum)
-        mean = F.try_divide(running("__sum", F.sum, plus), running("__count", F.sum, plus))
-        done = frame.withColumn(alias, mean)
+        total = running("__sum", F.sum, plus).cast(T.DoubleType() if isinstance(kind, T.DoubleType) else summed)
+        done = frame.withColumn(alias, F.try_divide(total, running("__count", F.sum, plus)).cast(kind))
     else:
         how, both = (F.min, F.least) if function == "MIN" else (F.max, F.greatest)
         done = with_carry(staged, "__end", how).withColumn(alias, running("__end", how, both))
@@ -224,6 +229,15 @@ def _by_peers(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[
     return join_null_safe(df, F.broadcast(ranked) if fits_broadcast(copy) else ranked, columns, "inner")
 
 
+def _sum_type(kind: T.DataType) -> T.DataType:
+    """A type in which the pieces' sums of such values are exact and have room to grow; the result is cast to the window's own type."""
+    if isinstance(kind, T.IntegralType):
+        return T.DecimalType(38, 0)
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(min(38, kind.precision + 10), kind.scale)
+    return T.DoubleType()
+
+
 def window_expression(df: DataFrame, expression: str, alias: str) -> DataFrame:
     """Add a free ``f() OVER (...)`` SQL expression; filters on it belong above. Spark evaluates one group per task here,
     so ``window`` is the form for groups without a known bound."""

@@ -1,7 +1,8 @@
 """A node-and-edge specification folded into lazily built DataFrames.
 
-``{"nodes": [{"id", "type", "config"}], "edges": [{"source", "target", "targetHandle"?}]}``. Nothing runs here: each node
-becomes a DataFrame over its parents' DataFrames and Catalyst sees the whole flow as one plan.
+``{"nodes": [{"id", "type", "config"}], "edges": [{"source", "target", "targetHandle"?}]}``. Each node becomes a DataFrame over its
+parents' DataFrames and Catalyst sees the flow as one plan. Building it runs small jobs where a side or the groups of a
+join, window or grouped step have to be measured, and writes what several branches must see alike.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def build(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "
             df = _source(config, sources)
         elif kind == "join":
             df = join(*inputs, conditions=config.get("conditions", ()), join_type=config.get("joinType", "INNER"),
-                      output_columns=config.get("outputColumns", ()), where=config.get("where"), split_hot=config.get("splitHot", False))
+                      output_columns=config.get("outputColumns", ()), where=config.get("where"), split_hot=config.get("splitHot"))
         elif kind == "union":
             df = ordering.union(inputs, config.get("distinct", False))
         else:

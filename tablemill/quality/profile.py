@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.ingest.moments import DATE_FORMATS, parse_any
 from tablemill.session import broadcast_if_small, stage
@@ -35,14 +36,19 @@ def as_is(column: Column) -> Column:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, min_value, max_value, total_count, zero_count, null_count) per column, in one pass."""
+    """(column_name, min_value, max_value, exact_min, exact_max, total_count, zero_count, null_count) per column, in one pass.
+
+    ``min_value`` and ``max_value`` are doubles; for integers and decimals, which a double may not hold, ``exact_min`` and ``exact_max`` are the
+    values as text."""
     measures, rows = [F.count(F.lit(1)).alias("__n")], []
     for i, name in enumerate(columns):
         column = F.col(f"`{name}`")
-        measures += [F.min(column).cast("double").alias(f"lo{i}"), F.max(column).cast("double").alias(f"hi{i}"),
+        exact = isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType))
+        text = lambda bound, exact=exact: bound.cast("string") if exact else F.lit(None).cast("string")
+        measures += [F.min(column).alias(f"lo{i}"), F.max(column).alias(f"hi{i}"),
                      F.count_if(column == 0).alias(f"z{i}"), F.count_if(column.isNull()).alias(f"e{i}")]
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"),
-                             F.col("__n").alias("total_count"), F.col(f"z{i}").alias("zero_count"), F.col(f"e{i}").alias("null_count")))
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.col(f"lo{i}").cast("double").alias("min_value"), F.col(f"hi{i}").cast("double").alias("max_value"),
+                             text(F.col(f"lo{i}")).alias("exact_min"), text(F.col(f"hi{i}")).alias("exact_max"), F.col("__n").alias("total_count"), F.col(f"z{i}").alias("zero_count"), F.col(f"e{i}").alias("null_count")))
     return df.agg(*measures).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -32,6 +33,7 @@ def local_session(app: str = "tablemill", cores: str = "*", **conf: str) -> Spar
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
+    settings.setdefault(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="tablemill-"))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -40,12 +42,12 @@ def local_session(app: str = "tablemill", cores: str = "*", **conf: str) -> Spar
 def work_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, as named in ``spark.checkpoint.dir``.
 
-    Only a local master may go without: it gets a fresh temporary folder, which is then set for the session.
+    Only a master inside this process may go without: it gets a fresh temporary folder, which is then set for the session.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="tablemill-")
     spark.conf.set(CHECKPOINT_CONF, folder)
@@ -67,8 +69,9 @@ def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ())
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` was counted to have no more than ``rows`` rows and, where columns vary in width, measured to hold no
-    more than ``size`` bytes of them. The count comes first, so only a frame of few rows is measured."""
-    if df.count() > rows:
+    more than ``size`` bytes of them. The count comes first and no task counts further than that, so a large side is neither
+    read whole nor measured."""
+    if df.limit(rows + 1).count() > rows:
         return False
     wide = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
     if not wide:

@@ -78,5 +78,33 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
-    """Tab-separated part files with header, values as they are."""
-    rows.write.csv(path, header=True, sep="\t", quote="", emptyValue="")
+    """Tab-separated part files with header, nothing quoted. A backslash, tab, line feed or carriage return inside a name or a value is
+    written as a backslash and one more character (``\\\\``, ``\\t``, ``\\n``, ``\\r``), so a row is a line and values read back."""
+    plain = [_one_line(F.col(f"`{c}`").cast("string")).alias(_one_line_name(c)) for c in rows.columns]
+    rows.select(plain).write.csv(path, header=True, sep="\t", quote="", emptyValue="")
+
+
+# What stands for a character that would break a line or a field.
+TSV_ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def read_tsv_value(text: Column) -> Column:
+    """A value as it was before ``write_tsv`` escaped it."""
+    # a doubled backslash steps aside first, so that what follows it is not taken for an escape
+    aside = "\x00"
+    text = F.replace(text, F.lit("\\\\"), F.lit(aside))
+    for character, written in TSV_ESCAPES[1:]:
+        text = F.replace(text, F.lit(written), F.lit(character))
+    return F.replace(text, F.lit(aside), F.lit("\\"))
+
+
+def _one_line(text: Column) -> Column:
+    for character, written in TSV_ESCAPES:
+        text = F.replace(text, F.lit(character), F.lit(written))
+    return text
+
+
+def _one_line_name(name: str) -> str:
+    for character, written in TSV_ESCAPES:
+        name = name.replace(character, written)
+    return name

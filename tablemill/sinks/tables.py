@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -14,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.ingest.moments import parse_any
 from tablemill.ingest.cleaning import plain_number
+from tablemill.ingest.inference import date_formats
+from tablemill.ingest.moments import parse, parse_any
+from tablemill.operators.ordering import distinct_rows
 from tablemill.operators.windows import with_position
 from tablemill.session import stage
 from tablemill.types import family, is_moment, to_sink_types
@@ -44,10 +48,12 @@ def columns_differ(table: DataFrame, required: DataFrame) -> bool:
     return set(table.columns) != set(required.columns)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "insert", on_mismatch: str = "recreate") -> None:
+def write_table(df: DataFrame, path: str, mode: str = "insert", on_mismatch: str = "raise") -> None:
     """Write ``df`` by load mode. ``insert`` creates or appends, ``replace`` keeps the table's types and exchanges its rows,
-    ``drop_and_reload`` creates it anew. When the columns differ the table is created anew, or with
-    ``on_mismatch="raise"`` nothing is written."""
+    ``drop_and_reload`` creates it anew. Columns that differ are an error and nothing is written; only with
+    ``on_mismatch="recreate"`` the table is created anew and its rows go."""
+    if on_mismatch not in ("raise", "recreate"):
+        raise SinkError(f"on_mismatch is raise or recreate, not {on_mismatch}")
     if mode not in LOAD_MODES:
         raise SinkError(f"unknown load mode {mode}, use one of {LOAD_MODES}; for upserts see upserted()")
     table = None if mode == "drop_and_reload" else existing(df.sparkSession, path)
@@ -69,13 +75,14 @@ def write_branches(parent: DataFrame, destinations: Mapping[str, Any]) -> None:
 
 def upserted(table: DataFrame, updates: Mapping[str, Any] | DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
     """Content after an upsert: rows of ``table`` whose key is not updated, and the updates. Several updates of a key are
-    reduced to the one with the largest ``order_by`` before the join; without it they are an error at run time."""
+    reduced to the one with the largest ``order_by`` before the join (null before all others, equal ones by a hash of the row);
+    without it they are an error at run time."""
     changes = updates.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema.fields]
                              + ([F.col(f"`{order_by}`").alias("__order")] if order_by else []))
     rest = [c for c in table.columns if c not in keys]
     row = F.struct([F.col(f"`{c}`") for c in rest])
     if order_by:
-        last = F.max_by(row, F.col("__order"))
+        last = F.max_by(row, F.struct(F.col("__order").isNotNull(), F.col("__order"), F.xxhash64(row)))
     else:
         repeated = F.raise_error(F.lit("a key is updated twice; name the column that orders the updates"))
         last = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.any_value(row))
@@ -131,8 +138,10 @@ class CheckedRows:
 def check_rows(rows: DataFrame, schema: T.StructType, row_number: str) -> CheckedRows:
     """Cast text rows to a table's types. File and table need the same columns, case and system columns aside.
 
-    Dates are read by any known format and become null when none fits; scientific notation is written out for numbers;
-    any other value that does not cast rejects its row. ``row_number`` is the row's position in the input.
+    A date column is read by the one format that most of its values have (see ``date_formats``), or by any known format where no
+    format prevails; values it does not read become null. Scientific notation is written out for numbers; any other value
+    that does not cast rejects its row. The checked rows are written once, so that what is good and what is rejected
+    come from the same reading of the source. ``row_number`` is the row's position in the input.
     """
     fields = [f for f in schema.fields if f.name not in (ID_COLUMN, ACTIVE_COLUMN)]
     given = {c.lower(): c for c in rows.columns if c != row_number}
@@ -142,20 +151,23 @@ def check_rows(rows: DataFrame, schema: T.StructType, row_number: str) -> Checke
         raise SinkError(f"columns do not match: missing in file {missing}, not in table {extra}")
     raw = {f.name: F.col(f"`{given[f.name.lower()]}`") for f in fields}
     typed = [(f, f"__typed_{i}") for i, f in enumerate(fields)]
+    dates = [given[f.name.lower()] for f in fields if family(f.dataType) == "DATE"]
+    formats = {r["column_name"]: r["date_format"] for r in date_formats(rows, dates).collect()} if dates else {}
     cast = rows.select(F.col(f"`{row_number}`").alias("row_number"), raw[fields[0].name].alias("first_column_value"),
-                       *[raw[f.name].alias(f"__raw_{i}") for i, f in enumerate(fields)], *[_cast_text(raw[f.name], f.dataType).alias(name) for f, name in typed])
+                       *[raw[f.name].alias(f"__raw_{i}") for i, f in enumerate(fields)],
+                       *[_cast_text(raw[f.name], f.dataType, formats.get(given[f.name.lower()])).alias(name) for f, name in typed])
     failed = [F.when(F.col(f"__raw_{i}").isNotNull() & F.col(name).isNull(), F.struct(F.lit(f.name).alias("column_name"), F.col(f"__raw_{i}").alias("value")))
               for i, (f, name) in enumerate(typed) if family(f.dataType) != "DATE"]
     found = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<struct<column_name:string,value:string>>")
-    checked = cast.withColumn("__failed", found)
-    good = checked.filter(F.size("__failed") == 0).select([F.col(name).alias(f.name) for f, name in typed])
+    checked = stage(cast.withColumn("__failed", found).drop(*[f"__raw_{i}" for i in range(len(fields))]), "checked")
+    good = checked.filter(F.size("__failed") == 0).select("row_number", *[F.col(name).alias(f.name) for f, name in typed])
     rejects = checked.select("row_number", "first_column_value", F.explode("__failed").alias("f")).select("row_number", "first_column_value", "f.*")
     return CheckedRows(good, rejects)
 
 
-def _cast_text(text: Column, kind: T.DataType) -> Column:
+def _cast_text(text: Column, kind: T.DataType, date_format: str | None = None) -> Column:
     if family(kind) == "DATE":
-        moment = parse_any(F.trim(text))
+        moment = parse(F.trim(text), date_format) if date_format else parse_any(F.trim(text))
         return moment.cast(kind) if is_moment(kind) else moment.cast("date")
     if family(kind) == "INTEGER":
         return plain_number(text).try_cast(kind)
@@ -164,15 +176,40 @@ def _cast_text(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def append_checked(rows: DataFrame, path: str, row_number: str) -> DataFrame:
-    """Append text rows to the table at ``path`` if every one fits, else append nothing. Returns the rejects, empty on
-    success."""
+def without_blank_and_repeated(rows: DataFrame, row_number: str) -> DataFrame:
+    """``rows`` without those that are blank in every column and without repeats of an earlier row; row numbers stay what they were."""
+    others = [c for c in rows.columns if c != row_number]
+    filled = reduce(or_, [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")) != "", F.lit(False)) for c in others])
+    return distinct_rows(rows.filter(filled), row_number)
+
+
+def append_checked(rows: DataFrame, path: str, row_number: str, log_path: str | None = None) -> DataFrame:
+    """Append text rows to the table at ``path`` if every one fits, else append nothing. Returns the rejects, empty on success.
+
+    Blank rows and repeated rows are removed first. New rows of a table with ``__id`` go on counting after its largest id, in the
+    order of ``row_number``; ``__active`` is true. With ``log_path`` one row about the append is added to the table there:
+    (logged_at, path, rows_read, rows_removed, rows_appended, rows_rejected).
+    """
     table = existing(rows.sparkSession, path)
     if table is None:
         raise SinkError(f"no table at {path}")
-    checked = check_rows(rows, table.schema, row_number)
+    source = stage(rows, "append")
+    checked = check_rows(without_blank_and_repeated(source, row_number), table.schema, row_number)
     rejects = stage(checked.rejects, "rejects")
-    if rejects.isEmpty():
-        good = checked.good.withColumn(ACTIVE_COLUMN, F.lit(True)) if ACTIVE_COLUMN in table.columns else checked.good
-        good.write.mode("append").parquet(path)
+    accepted = rejects.isEmpty()
+    if accepted:
+        good = checked.good
+        if ID_COLUMN in table.columns:
+            last = table.agg(F.max(ID_COLUMN)).first()[0] or 0
+            good = with_position(good, [F.col("row_number")], ID_COLUMN).withColumn(ID_COLUMN, (F.col(ID_COLUMN) + last).cast(table.schema[ID_COLUMN].dataType))
+        if ACTIVE_COLUMN in table.columns:
+            good = good.withColumn(ACTIVE_COLUMN, F.lit(True))
+        good.select([F.col(f"`{c}`") for c in table.columns]).write.mode("append").parquet(path)
+    if log_path:
+        read, kept, refused = source.count(), checked.good.count(), rejects.select("row_number").distinct().count()
+        entry = rows.sparkSession.range(1).select(
+            F.current_timestamp().alias("logged_at"), F.lit(path).alias("path"), F.lit(read).cast("bigint").alias("rows_read"),
+            F.lit(read - kept - refused).cast("bigint").alias("rows_removed"), F.lit(kept if accepted else 0).cast("bigint").alias("rows_appended"),
+            F.lit(refused).cast("bigint").alias("rows_rejected"))
+        entry.write.mode("append").parquet(log_path)
     return rejects

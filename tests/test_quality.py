@@ -7,8 +7,8 @@ from tests.conftest import rows
 
 def test_numeric_profile(spark):
     df = spark.createDataFrame([(0, 1.5), (None, 0.0), (5, None)], "a int, b double")
-    assert rows(profile.numeric_profile(df, ["a", "b"])) == [("a", 0.0, 5.0, 3, 1, 1), ("b", 0.0, 1.5, 3, 1, 1)]
-    assert rows(profile.numeric_profile(df.limit(0), ["a"])) == [("a", None, None, 0, 0, 0)]
+    assert rows(profile.numeric_profile(df, ["a", "b"])) == [("a", 0.0, 5.0, "0", "5", 3, 1, 1), ("b", 0.0, 1.5, None, None, 3, 1, 1)]
+    assert rows(profile.numeric_profile(df.limit(0), ["a"])) == [("a", None, None, None, None, 0, 0, 0)]
 
 
 def test_code_profiles(spark):

@@ -24,10 +24,13 @@ def test_load_modes(spark, base, tmp_path):
     assert rows(read(spark, path)) == [(1, "a"), (2, "b"), (3, "c")] and read(spark, path).schema["id"].dataType.simpleString() == "bigint"
     tables.write_table(spark.createDataFrame([("d", 4)], "v string, id int"), path, "replace")
     assert rows(read(spark, path)) == [(4, "d")] and read(spark, path).columns == ["id", "v"]
-    tables.write_table(spark.createDataFrame([("e",)], "w string"), path)
+    with pytest.raises(tables.SinkError):
+        tables.write_table(spark.createDataFrame([("e",)], "w string"), path)
+    assert rows(read(spark, path)) == [(4, "d")]
+    tables.write_table(spark.createDataFrame([("e",)], "w string"), path, on_mismatch="recreate")
     assert rows(read(spark, path)) == [("e",)]
     with pytest.raises(tables.SinkError):
-        tables.write_table(base, path, on_mismatch="raise")
+        tables.write_table(base, path, on_mismatch="replace")
     with pytest.raises(tables.SinkError):
         tables.write_table(base, path, "merge")
 
@@ -39,6 +42,18 @@ def test_upsert(spark, base):
     with pytest.raises(Exception, match="updated twice"):
         tables.upserted(base, updates, ["id"]).collect()
     assert rows(tables.upserted(base, updates.limit(0), ["id"], "n")) == [(1, "a"), (2, "b")]
+    unordered = spark.createDataFrame([(1, "new", None), (2, "old", None), (2, "last", 5)], "id int, v string, n int")
+    assert rows(tables.upserted(base, unordered, ["id"], "n")) == [(1, "new"), (2, "last")]
+
+
+def test_append_reads_one_date_format_per_column(spark, tmp_path):
+    path, log = str(tmp_path / "t"), str(tmp_path / "log")
+    spark.sql("select 7L as __id, 'x' as key, date'2024-01-01' as day").write.parquet(path)
+    days = [(2, "a", "13/04/2024"), (3, "b", "03/04/2024"), (4, " ", None), (5, "a", "13/04/2024"), (6, "c", "25/12/2024")]
+    assert tables.append_checked(spark.createDataFrame(days, "n int, key string, day string"), path, "n", log).isEmpty()
+    assert [(r["__id"], r.key, str(r.day)) for r in read(spark, path).orderBy("__id").collect()] == [
+        (7, "x", "2024-01-01"), (8, "a", "2024-04-13"), (9, "b", "2024-04-03"), (10, "c", "2024-12-25")]
+    assert [tuple(r)[2:] for r in read(spark, log).collect()] == [(5, 2, 3, 0)]
 
 
 def test_business_names(base):

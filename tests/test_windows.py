@@ -53,6 +53,18 @@ def test_identical_rows_get_distinct_numbers(spark):
     assert {r.w for r in ranked.collect()} == {1} and ranked.count() == 200
 
 
+@pytest.mark.parametrize("function", ["SUM", "AVG", "MIN", "MAX", "COUNT"])
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "decimal(20,4)", "bigint", "int", "double"])
+def test_both_paths_have_one_type(skewed, function, kind):
+    df = skewed.withColumn("v", (F.col("v") + (9_000_000_000_000_000_000 if kind == "bigint" and function == "AVG" else 0)).cast(kind))
+    spec = {"function": function, "column": "v", "partition_by": ["k"], "order_by": [{"column": "o"}], "alias": "w"}
+    plain, split = window(df, spec, hot_rows=None), window(df, spec, hot_rows=60)
+    assert plain.schema["w"].dataType == split.schema["w"].dataType
+    if kind != "double":
+        shown = [[(r.id, float(r.w) if r.w is not None else None) for r in x.orderBy("id").collect()] for x in (plain, split)]
+        assert all(a[0] == b[0] and (a[1] == b[1] or abs(a[1] - b[1]) <= 1e-9 * abs(a[1])) for a, b in zip(*shown, strict=True))
+
+
 def test_bad_specs(skewed):
     with pytest.raises(WindowError):
         window(skewed, {"function": "ROW_NUMBER", "partition_by": ["k"]})
@@ -105,7 +117,9 @@ def test_distinct_rows_keep_the_first(spark):
 
 def test_previews_are_bounded(spark):
     df = spark.range(500)
-    assert ordering.preview(df).count() == 50 and ordering.preview(df, 1000).count() == 100
+    assert ordering.preview(df).count() == 50 and ordering.preview(df, 100).count() == 100
+    with pytest.raises(ValueError):
+        ordering.preview(df, 101)
 
 
 def test_top_k_uses_a_heap(spark, plan):
