@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
-from tablemill.operators.filters import apply_filter, branch_union, matching_pairs
+from tablemill.operators.filters import apply_filter, matching_pairs, tagged_branches
 from tablemill.operators.joins import join
 from tablemill.operators.projection import calculate
 
@@ -178,6 +178,20 @@ def after_join(t: Tables) -> DataFrame:
     UNION ALL SELECT 'large' AS branch, o_orderkey FROM orders WHERE o_totalprice > 300000""")
 def branches(t: Tables) -> DataFrame:
     early, large = {"column": "o_orderdate", "operator": "<", "value": "1997-01-01"}, {"column": "o_totalprice", "operator": ">", "value": 300000}
-    shared = branch_union(t.orders, [early, large])
-    one = apply_filter(shared, early).select(F.lit("early").alias("branch"), "o_orderkey")
-    return one.unionByName(apply_filter(shared, large).select(F.lit("large").alias("branch"), "o_orderkey"))
+    return tagged_branches(t.orders, {"early": early, "large": large}).select("branch", "o_orderkey")
+
+
+@query("flt_mismatch_in_list", """SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > 0 AND
+    ((c_mktsegment = 'BUILDING' AND c_nationkey = 3) OR (c_mktsegment = 'MACHINERY' AND c_nationkey = 7))""")
+def mismatch_in_list(t: Tables) -> DataFrame:
+    pairs = '[{"c_mktsegment": "BUILDING", "c_nationkey": "3"}, {"c_mktsegment": "MACHINERY", "c_nationkey": 7}]'
+    spec = [{"column": "c_acctbal", "operator": ">", "value": 0}, {"column": "c_mktsegment", "operator": "MISMATCH", "value": pairs}]
+    return apply_filter(t.customer, spec).select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
+@query("flt_post_join_sides", """SELECT a.s_suppkey AS one, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey
+    WHERE a.s_acctbal > 5000 AND b.s_acctbal < 1000""")
+def post_join_sides(t: Tables) -> DataFrame:
+    joined = join(t.supplier, t.supplier, [{"leftColumn": "s_nationkey", "rightColumn": "s_nationkey"}], where=[
+        {"column": "left.s_acctbal", "operator": ">", "value": 5000}, {"column": "right.s_acctbal", "operator": "<", "value": 1000}])
+    return joined.select(F.col("_L_s_suppkey").alias("one"), F.col("_R_s_suppkey").alias("other"))

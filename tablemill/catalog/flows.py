@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.plans import graph
+from tablemill.session import new_path
 
 SEGMENT_TOTALS = {
     "nodes": [
@@ -62,6 +63,24 @@ def branched(t: Tables) -> DataFrame:
     return graph.run(BRANCHED, {"lineitem": t.lineitem})["sink"].withColumn("taxed", F.round("taxed", 2))
 
 
+@query("pip_load_modes", """SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS balance FROM supplier WHERE s_suppkey > 20
+    UNION ALL SELECT c_custkey, CAST(c_acctbal AS DOUBLE) FROM customer WHERE c_custkey <= 20""")
+def load_modes(t: Tables) -> DataFrame:
+    """Suppliers replace what stood there before, then customers are upserted over the first of them."""
+    path = new_path(t.spark, "flow")
+    source = {"id": "in", "type": "source", "config": {"table": "rows"}}
+
+    def load(rows: DataFrame, mode: str, **config: object) -> DataFrame:
+        sink = {"id": "out", "type": "destination", "config": {"path": path, "loadMode": mode, **config}}
+        return graph.run({"nodes": [source, sink], "edges": [{"source": "in", "target": "out"}]}, {"rows": rows})["out"]
+
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("decimal(15,2)").alias("balance"))
+    customers = t.customer.filter("c_custkey <= 20").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("decimal(15,2)").alias("balance"))
+    load(customers, "insert")
+    load(suppliers.unionByName(customers.limit(0)), "replace")
+    return load(customers, "upsert", keyColumns=["id"])
+
+
 @query("pip_preview", "SELECT least(count(*), 50) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def preview(t: Tables) -> DataFrame:
     rows = graph.preview(SEGMENT_TOTALS, {"orders": t.orders, "customer": t.customer}, "joined")

@@ -8,8 +8,9 @@ the column's own type, so comparisons reach the scan as pushed filters.
 from __future__ import annotations
 
 import json
+import math
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.session import broadcast_if_small
+from tablemill.operators.projection import LEFT_PREFIX, RIGHT_PREFIX
 from tablemill.types import family, is_text
 
 # Operators by the kind of value they take.
@@ -54,7 +56,9 @@ def typed_value(value: Any, kind: T.DataType) -> Column:
     """Literal of the column's type for a configured value; text is parsed, and text that does not parse is an error."""
     if isinstance(value, str) and not is_text(kind):
         value = _parse_text(value.strip(), kind)
-    literal = F.lit(Decimal(value) if isinstance(value, int) and abs(value) >= 2**63 else value)
+    if family(kind) == "INTEGER" and isinstance(value, int) and _beyond(value, T.LongType()):
+        return F.lit(math.copysign(math.inf, value))  # beyond every integer, as infinity is
+    literal = F.lit(value)
     if is_text(kind):
         return literal if isinstance(value, str) else literal.cast("string")
     if family(kind) == "INTEGER" and (isinstance(value, (float, Decimal)) or _beyond(value, kind)):
@@ -117,11 +121,41 @@ def _bounds(value: Any) -> tuple[Any, Any]:
     return value[0], value[1]
 
 
+def column_name(name: str | None, df: DataFrame) -> str:
+    """The column that a configured name means: its own name, or after ``left.``, ``right.`` or a table's name that of one side of
+    a join (where both sides have it, the prefixed one)."""
+    if name and name in df.columns:
+        return name
+    side, dot, rest = str(name).partition(".")
+    prefix = {"left": LEFT_PREFIX, "right": RIGHT_PREFIX}.get(side.lower())
+    for candidate in ([prefix + rest] if prefix else []) + [rest]:
+        if dot and candidate in df.columns:
+            return candidate
+    raise FilterError(f"unknown column: {name}")
+
+
+def mismatch(name: str, value: Any, df: DataFrame) -> Column:
+    """``MISMATCH``: the column and the one other column of the pairs hold one of them. ``value`` is a list of objects or its JSON text."""
+    try:
+        pairs = json.loads(value) if isinstance(value, str) else value
+    except ValueError:
+        raise FilterError("MISMATCH needs a list of pairs or its JSON text") from None
+    if not isinstance(pairs, list) or not pairs or not all(isinstance(p, dict) and name in p and len(p) == 2 for p in pairs):
+        raise FilterError(f"MISMATCH needs pairs of {name} and one other column")
+    others = {other for p in pairs for other in p if other != name}
+    if len(others) != 1 or any(v is None for p in pairs for v in p.values()):
+        raise FilterError("the pairs of MISMATCH have one other column and no nulls")
+    related = others.pop()
+    one, other = column_name(name, df), column_name(related, df)
+    return disjunction([(F.col(f"`{one}`") == typed_value(p[name], df.schema[one].dataType)) & (F.col(f"`{other}`") == typed_value(p[related], df.schema[other].dataType)) for p in pairs])
+
+
 def condition(spec: dict[str, Any], df: DataFrame) -> Column:
     """Predicate for one ``{"column", "operator", "value"}``."""
-    name, operator, value = spec.get("column"), str(spec.get("operator", "=")).upper(), spec.get("value")
-    if not name or name not in df.columns:
-        raise FilterError(f"unknown column: {name}")
+    operator, value = str(spec.get("operator", "=")).upper(), spec.get("value")
+    name = column_name(spec.get("column"), df)
+    if operator == "MISMATCH":
+        return mismatch(spec["column"], value, df)
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")
     if isinstance(kind, T.BooleanType) and operator not in BOOLEAN_OPERATORS:
@@ -160,9 +194,7 @@ def function_condition(spec: dict[str, Any], df: DataFrame) -> Column:
         raise FilterError("only UPPER(column) = value and LOWER(column) = value are function conditions")
     if not spec.get("value"):
         raise FilterError(f"{function} needs a value")
-    if arguments[0] not in df.columns:
-        raise FilterError(f"unknown column: {arguments[0]}")
-    return F.upper(F.col(f"`{arguments[0]}`").cast("string")) == F.upper(F.lit(str(spec["value"])))
+    return F.upper(F.col(f"`{column_name(arguments[0], df)}`").cast("string")) == F.upper(F.lit(str(spec["value"])))
 
 
 def expression_condition(text: str, df: DataFrame) -> Column:
@@ -268,11 +300,19 @@ def matching_pairs(df: DataFrame, column: str, related: str, pairs: DataFrame |
 
 
 def branch_union(df: DataFrame, specs: Sequence[Any], mode: str = "grouped") -> DataFrame:
-    """Rows that at least one branch of a shared source needs: the OR of the branch filters. Each branch applies its own
-    filter again, so a row may serve several branches."""
-    def one(spec: Any) -> Column:
-        return predicate(spec, df, mode) if isinstance(spec, dict) else combine(list(spec), df, mode)
-
+    """Rows that at least one branch of a shared source needs: the OR of the branch filters."""
     if not specs or any(not spec for spec in specs):
         return df
-    return df.filter(disjunction([one(spec) for spec in specs]))
+    return df.filter(disjunction([_branch(spec, df, mode) for spec in specs]))
+
+
+def _branch(spec: Any, df: DataFrame, mode: str) -> Column:
+    return predicate(spec, df, mode) if isinstance(spec, dict) else combine(list(spec), df, mode)
+
+
+def tagged_branches(df: DataFrame, branches: Mapping[str, Any], tag: str = "branch", mode: str = "grouped") -> DataFrame:
+    """Every row once per branch whose filter it meets, with the branch's name in ``tag``: one scan for all branches, and no shuffle.
+    An empty filter takes every row."""
+    met = [F.when(_branch(spec, df, mode) if spec else F.lit(True), F.lit(name)) for name, spec in branches.items()]
+    shared = branch_union(df, list(branches.values()), mode)
+    return shared.withColumn(tag, F.explode(F.array_compact(F.array(*met))))

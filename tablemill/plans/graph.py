@@ -22,8 +22,9 @@ from tablemill.operators.projection import calculate, computed, project
 from tablemill.operators.windows import window
 from tablemill.quality.rules import rule
 from tablemill.session import stage
-from tablemill.sinks.tables import destination_rows
+from tablemill.sinks.tables import destination_rows, existing, upserted, write_table
 from tablemill.sources.jdbc import where_limit
+from tablemill.types import to_sink_types
 
 Source = DataFrame | Callable[[Mapping[str, Any]], DataFrame]
 
@@ -78,7 +79,7 @@ UNARY: dict[str, Callable[[DataFrame, Mapping[str, Any]], DataFrame]] = {
     "distinct": lambda df, c: ordering.distinct_rows(df, c.get("rowNumber")),
     "clean": clean,
     "validate": _valid_rows,
-    "destination": lambda df, c: destination_rows(df, c.get("businessNames")) if c.get("businessNames") is not None else df,
+    "destination": lambda df, c: destination_rows(df, c.get("businessNames")) if c.get("businessNames") is not None else to_sink_types(df),
 }
 
 
@@ -139,11 +140,26 @@ def build(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "
 
 
 def run(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "plan") -> dict[str, DataFrame]:
-    """DataFrames of the destination nodes, or of the nodes without children where there is no destination."""
+    """DataFrames of the destination nodes, or of the nodes without children where there is no destination.
+
+    Destinations have the sink's types and names. One with a ``path`` is written there by its ``loadMode`` (insert, replace, drop_and_reload or
+    upsert, the last with ``keyColumns`` and optionally ``orderBy``), and the frame returned is the table read back.
+    """
     frames = build(spec, sources, share)
-    sinks = [n["id"] for n in spec["nodes"] if n["type"] == "destination"]
+    sinks = {n["id"]: n.get("config", {}) for n in spec["nodes"] if n["type"] == "destination"}
     leaves = [n for n in frames if n not in {e["source"] for e in spec.get("edges", [])}]
-    return {n: frames[n] for n in sinks or leaves}
+    return {n: _load(frames[n], sinks[n]) if n in sinks and sinks[n].get("path") else frames[n] for n in sinks or leaves}
+
+
+def _load(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
+    path, mode = config["path"], str(config.get("loadMode", "insert")).lower()
+    table = existing(df.sparkSession, path) if mode == "upsert" else None
+    if mode == "upsert" and not config.get("keyColumns"):
+        raise GraphError("an upsert needs keyColumns")
+    if table is not None:
+        df, mode = upserted(table, df, config["keyColumns"], config.get("orderBy")), "replace"
+    write_table(df, path, "insert" if mode == "upsert" else mode, config.get("onMismatch", "raise"))
+    return df.sparkSession.read.parquet(path)
 
 
 def preview(spec: Mapping[str, Any], sources: Mapping[str, Source], node: str, rows: int = ordering.PREVIEW_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.ingest.moments import DATE_FORMATS, parse_any
-from tablemill.session import broadcast_if_small, stage
+from tablemill.session import broadcast_if_small, fits_broadcast
 
 Normaliser = Callable[[Column], Column]
 
@@ -31,8 +31,8 @@ def lower_code(column: Column) -> Column:
     return F.lower(F.trim(column))
 
 
-def as_is(column: Column) -> Column:
-    return column
+def as_is[Value](value: Value) -> Value:
+    return value
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,11 +122,12 @@ def region_profile(df: DataFrame, country: str, region: str, pairs: DataFrame, p
     reference = _pairs(pairs, pair_country, pair_region, upper_code)
     counts = _pair_counts(df, country, region)
     group, value = F.col("group_value"), F.col("value")
-    regions = broadcast_if_small(reference.select(F.col("__value").alias("__region")).distinct())
-    countries = broadcast_if_small(reference.select(F.col("__group").alias("__country")).distinct())
+    shared = F.broadcast if fits_broadcast(reference) else as_is  # its regions and countries are no larger
+    regions = shared(reference.select(F.col("__value").alias("__region")).distinct())
+    countries = shared(reference.select(F.col("__group").alias("__country")).distinct())
     judged = (counts.join(regions, upper_code(value) == F.col("__region"), "left_outer")
               .join(countries, upper_code(group) == F.col("__country"), "left_outer")
-              .join(broadcast_if_small(reference), (upper_code(group) == F.col("__group")) & (upper_code(value) == F.col("__value")), "left_outer"))
+              .join(shared(reference), (upper_code(group) == F.col("__group")) & (upper_code(value) == F.col("__value")), "left_outer"))
     no_group = F.lit(None).cast("string")
     rows = F.array_compact(F.array(
         _finding("total", no_group, no_group),
@@ -165,9 +166,9 @@ def _pair_counts(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def _pairs(pairs: DataFrame, group: str, value: str, match: Normaliser) -> DataFrame:
-    """Distinct normalised pairs, staged because they are counted and joined several times."""
+    """Distinct normalised pairs."""
     named = pairs.select(match(F.col(f"`{group}`").cast("string")).alias("__group"), match(F.col(f"`{value}`").cast("string")).alias("__value"))
-    return stage(named.distinct(), "pairs")
+    return named.distinct()
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:

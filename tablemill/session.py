@@ -20,6 +20,9 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 # Rows of one group that a single task may be handed before the group is split.
 GROUP_ROWS = 2_000_000
 
+# Buckets of the first count for hot groups.
+KEY_BUCKETS = 1 << 14
+
 
 def local_session(app: str = "tablemill", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -88,14 +91,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = GROUP_ROWS) -> DataFrame | None:
     """Groups of ``keys`` with more than ``rows`` rows as (keys, n_rows), or None when there are none.
 
-    One partially aggregated count over the key columns; where nothing is hot, that is all. There are at most total/rows
-    such groups, so the staged result is small whatever the number of keys.
+    Rows are counted by a hash of their keys first, into so few buckets that a task passes on a small table whatever the number of
+    keys. A group above the limit makes its bucket exceed it too; only the keys of such buckets are counted one by one.
+    There are at most total/rows such groups, so the staged result is small.
     """
-    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"))
-    largest = counts.agg(F.max("n_rows")).first()[0]
-    if largest is None or largest <= rows:
+    named = [F.col(f"`{k}`") for k in keys]
+    bucket = F.pmod(F.xxhash64(*named), F.lit(KEY_BUCKETS))
+    full = [r["b"] for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).select("b").collect()]
+    if not full:
         return None
-    return stage(counts.filter(F.col("n_rows") > rows), "hot")
+    counts = df.filter(bucket.isin(full)).groupBy(*named).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > rows)
+    hot = stage(counts, "hot")
+    return None if hot.isEmpty() else hot
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

@@ -62,7 +62,11 @@ def write_table(df: DataFrame, path: str, mode: str = "insert", on_mismatch: str
             raise SinkError(f"columns differ: table {table.columns}, rows {df.columns}")
         table, mode = None, "drop_and_reload"
     aligned = df if table is None else df.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema.fields])
-    aligned.write.mode("append" if mode == "insert" else "overwrite").parquet(path)
+    if mode == "insert":
+        aligned.write.mode("append").parquet(path)
+    else:
+        # computed in full before the old rows go: a failing query leaves the table as it is, and it may read the table itself
+        stage(aligned, "rows").write.mode("overwrite").parquet(path)
 
 
 def write_branches(parent: DataFrame, destinations: Mapping[str, Any]) -> None:

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tablemill.operators.filters import FilterError, apply_filter, branch_union, matching_pairs
+from tablemill.operators.filters import FilterError, apply_filter, branch_union, matching_pairs, tagged_branches
 from tests.conftest import rows
 
 
@@ -99,6 +99,34 @@ def test_branch_union(null_logic):
     assert branch_union(null_logic, [where("a", "=", 1), None]).count() == 6
 
 
+def test_tagged_branches_read_once(null_logic, plan, spark, tmp_path):
+    null_logic.write.parquet(str(tmp_path / "t"))
+    tagged = tagged_branches(spark.read.parquet(str(tmp_path / "t")), {"x": where("a", "=", 1), "y": [where("a", ">=", 1)], "z": where("a", "=", 99)})
+    assert sorted((r.branch, r.id) for r in tagged.collect()) == [("x", 1), ("y", 1), ("y", 4), ("y", 6)]
+    text = plan(tagged)
+    assert text.count("Location:") == 1 and "Exchange" not in text
+
+
+def test_sides_and_mismatch(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 5, 4)], "_L_a int, _R_a int, b int")
+    assert apply_filter(df, where("right.a", "=", 5)).count() == 1 and apply_filter(df, where("LEFT.a", "=", 1)).count() == 2
+    assert apply_filter(df, where("orders.b", "=", 3)).count() == 1
+    with pytest.raises(FilterError):
+        apply_filter(df, where("left.c", "=", 1))
+    assert apply_filter(df, where("b", "MISMATCH", [{"b": "3", "left.a": 1}])).count() == 1
+    for bad in ("no json", [], [{"b": 1}], [{"b": 1, "_L_a": None}], [{"b": 1, "_L_a": 1}, {"b": 1, "_R_a": 1}]):
+        with pytest.raises(FilterError):
+            apply_filter(df, where("b", "MISMATCH", bad))
+
+
+def test_literals_beyond_the_type(spark):
+    df = spark.sql("select 1 as a, date'2024-01-01' as d union all select 2, date'2024-01-02' union all select null, null")
+    counts = {("a", "<", 3_000_000_000): 2, ("a", ">", "-99999999999999999999"): 2, ("a", "=", 2**70): 0, ("d", "<", "2024-01-01 12:00:00"): 1, ("d", "<=", "2024-01-01 12:00:00"): 1,
+              ("d", ">", "2024-01-01 12:00:00"): 1, ("d", ">=", "2024-01-01 00:00:00"): 2, ("d", "=", "2024-01-01 12:00:00"): 0, ("d", "!=", "2024-01-01 12:00:00"): 2}
+    for (column, operator, value), n in counts.items():
+        assert apply_filter(df, where(column, operator, value)).count() == n, (column, operator, value)
+
+
 def test_pushed_to_the_scan(spark, tmp_path, plan):
     path = str(tmp_path / "t")
     spark.range(100).selectExpr("id", "cast(id as string) s", "id * 1.5 v").write.parquet(path)
