@@ -50,7 +50,9 @@ class Transducer:
         self.unknown = next((n for n, (_, _, type_) in enumerate(pieces) if type_ == UNKNOWN), 0)
         self.bytes = {int(text[1:-1], 16): n for n, (text, _, type_) in enumerate(pieces) if type_ == BYTE}
         self.values: list[str | int | None] = [int(text[1:-1], 16) if type_ == BYTE else "" if type_ == CONTROL else None if type_ == UNKNOWN else text.replace(MARK, " ") for text, _, type_ in pieces]
-        self.prefixes = {text[:n] for text in self.ids for n in range(1, len(text) + 1)}
+        self.reach: dict[str, int] = {}  # by its first two characters, the length of the longest piece
+        for text in self.ids:
+            self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
         self.longest = max(map(len, self.ids), default=1)
         self.dearest = max((-s for t, s, type_ in pieces if type_ == NORMAL), default=0.0) + UNKNOWN_EXTRA
         inner = set(chain.from_iterable(text for text in self.ids if len(text) > 1))
@@ -105,7 +107,9 @@ class Transducer:
         return (self.unknown,) if -1 in found else found
 
     def _shortest_path(self, part: str) -> tuple[int, ...]:
-        best = self._unigram_arcs(part) if self.kind == UNIGRAM else self._bpe_arcs(part)
+        if self.kind == BPE:
+            return tuple(self._bpe_path(part))
+        best = self._unigram_arcs(part)
         path: list[tuple[int, ...]] = []
         end = len(part)
         while end:
@@ -129,39 +133,39 @@ class Transducer:
                     weights[end], best[end] = weight, (start, piece)
         return best
 
-    def _bpe_arcs(self, part: str) -> list[tuple[int, int]]:
-        """For each place on the path of finite weight the arc that ends there: depth first, long pieces first. A place has one finite
-        state, so a place that led nowhere once never leads anywhere."""
-        ids, prefixes, size = self.ids, self.prefixes, len(part)
-        best = [(0, -1)] * (size + 1)
+    def _bpe_path(self, part: str) -> list[int]:
+        """The only path of finite weight: depth first, long pieces first. A place has one finite state, so a place that led nowhere
+        once never leads anywhere."""
+        ids, pairs, reach = self.ids, self._pairs, self.reach
+        size, place, first, before = len(part), 0, 0, -1
+        end = min(size, reach.get(part[:2], 1))
+        found: list[int] = []
+        stack: list[tuple[int, int, int, int]] = []
         dead: set[int] = set()
-        waiting: list[list[tuple[int, int]]] = []
-        place = 0
         while place < size:
-            if len(waiting) <= place or not waiting[place]:
-                waiting.extend([] for _ in range(place + 1 - len(waiting)))
-                arcs, end = waiting[place], place + 1
-                while end <= size and (text := part[place:end]) in prefixes:
-                    if (piece := ids.get(text)) is not None:
-                        arcs.append((end, piece))
-                    end += 1
-                if not arcs:
-                    arcs.append((place + 1, -1))
-            arcs = waiting[place]
-            start, before = best[place]
-            while arcs:
-                end, piece = arcs.pop()
-                if end not in dead and (piece < 0 or self._together(before if place else -1, piece, part, start, place, end)):
-                    best[end] = (place, piece)
-                    place = end
-                    break
+            piece = None
+            while end > place:
+                if end not in dead and (piece := ids.get(part[place:end])) is not None:
+                    allowed = pairs.get((before, piece))
+                    if allowed or (allowed is None and self._together(before, piece, part, first, place, end)):
+                        break
+                end -= 1
             else:
-                dead.add(place)
-                place = start
-                continue
-            if len(waiting) > place:
-                waiting[place] = []
-        return best
+                if end < 0 or part[place] in ids:
+                    dead.add(place)
+                    place, first, before, end = stack.pop()
+                    end -= 1
+                    found.pop()
+                    continue
+                piece, end = -1, 0  # an unknown character: the one arc there is
+            stack.append((place, first, before, end))
+            found.append(piece)
+            first, before, place = place, piece, end if piece >= 0 else place + 1
+            end = min(size, place + reach.get(part[place : place + 2], 1))
+        if -1 not in found:
+            return found
+        places = [at for at, _, _, _ in stack]
+        return [n for at, piece in zip(places, found, strict=True) for n in ((piece,) if piece >= 0 else self._fallback(part[at]))]
 
     def _together(self, before: int, piece: int, part: str, first: int, start: int, end: int) -> bool:
         pair = (before, piece)
