@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.plans import graph
-from tablemill.session import new_path
+from tablemill.session import new_path, stage
 
 SEGMENT_TOTALS = {
     "nodes": [
@@ -81,7 +81,10 @@ def load_modes(t: Tables) -> DataFrame:
     return load(customers, "upsert", keyColumns=["id"])
 
 
-@query("pip_preview", "SELECT least(count(*), 50) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+@query("pip_preview", """SELECT least(count(*), 50) AS n, least(count(*), 50) AS known FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""")
 def preview(t: Tables) -> DataFrame:
-    rows = graph.preview(SEGMENT_TOTALS, {"orders": t.orders, "customer": t.customer}, "joined")
-    return rows.agg(F.count(F.lit(1)).alias("n"))
+    """All rows of a node's preview have to be rows of that node."""
+    shown = stage(graph.preview(SEGMENT_TOTALS, {"orders": t.orders, "customer": t.customer}, "joined").select("o_totalprice", "c_custkey", "c_name"), "preview")
+    node = t.orders.filter("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_totalprice", "c_custkey", "c_name")
+    known = shown.join(node.distinct(), node.columns, "left_semi")
+    return shown.agg(F.count(F.lit(1)).alias("n")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))

@@ -87,9 +87,10 @@ def comparisons(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.expr(COMPARED).alias("v"))
 
 
-@query("fn_now")
+@query("fn_now", "SELECT o_orderkey, o_orderdate < CAST(now() AS TIMESTAMP) AS past, o_orderdate + INTERVAL 9000 DAY < CAST(now() AS TIMESTAMP) AS long_past FROM orders")
 def now(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select("o_orderstatus", "n", call("NOW").alias("v"))
+    moment = call("NOW").cast("timestamp_ntz")
+    return t.orders.select("o_orderkey", (c("o_orderdate") < moment).alias("past"), (c("o_orderdate") + F.expr("INTERVAL 9000 DAY") < moment).alias("long_past"))
 
 
 @query("fn_current_date", "SELECT o_orderkey, o_orderdate < current_date AS past FROM orders")

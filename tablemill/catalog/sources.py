@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablemill.catalog import Tables, query
 from tablemill.operators.filters import apply_filter
 from tablemill.operators.projection import calculate
-from tablemill.session import new_path
+from tablemill.session import new_path, stage
 from tablemill.sinks import export, tables
 from tablemill.sources import files, jdbc
 from tablemill.streaming.copy import copy_new_files
@@ -32,17 +32,21 @@ def csv(t: Tables) -> DataFrame:
     return files.read_csv(t.spark, path)
 
 
-@query("src_sample", "SELECT least(count(*), 10) AS n FROM lineitem")
+@query("src_sample", "SELECT least(count(*), 10) AS n, least(count(*), 10) AS known FROM lineitem")
 def sample(t: Tables) -> DataFrame:
-    return jdbc.sample(t.lineitem).agg(F.count(F.lit(1)).alias("n"))
+    """Which rows a sample has is open; all have to be rows of the source, none twice."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    drawn = stage(jdbc.sample(t.lineitem), "sample")
+    known = drawn.select(keys).distinct().join(t.lineitem.select(keys).distinct(), keys, "left_semi")
+    return drawn.agg(F.count(F.lit(1)).alias("n")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
 
 
-@query("src_hana_mapping", "SELECT DISTINCT l_returnflag AS SYS_ID, l_linestatus AS MT_ID, l_linenumber AS COBJ_IDENT FROM lineitem")
+@query("hana_mapping", "SELECT DISTINCT l_returnflag AS SYS_ID, l_linestatus AS MT_ID, l_linenumber AS COBJ_IDENT FROM lineitem")
 def hana_mapping(t: Tables) -> DataFrame:
     return jdbc.mapping_rows(t.lineitem.select(F.col("l_returnflag").alias("SYS_ID"), F.col("l_linestatus").alias("MT_ID"), F.col("l_linenumber").alias("COBJ_IDENT")))
 
 
-@query("src_jdbc_hana", """SELECT h.o_orderkey AS ID, l.l_returnflag AS SOURCE, l.l_linenumber AS IDENT, h.o_orderstatus AS DESCR, s.o_orderkey AS SUBPROJECT,
+@query("hana_projects", """SELECT h.o_orderkey AS ID, l.l_returnflag AS SOURCE, l.l_linenumber AS IDENT, h.o_orderstatus AS DESCR, s.o_orderkey AS SUBPROJECT,
     l.l_linestatus AS COBJ_ALIAS, h.o_orderstatus AS IS_ACTIVE, c.c_name AS REF_CLIENT, h.o_orderpriority AS ACTIVE_PHASE, l.l_shipdate AS CONTENT_DATE,
     l.l_quantity AS CONTENT_TIME, l.l_suppkey AS AUTHOR, l.l_shipdate AS CREATEDATE, l.l_partkey AS OBJ_GUID, s.o_orderkey AS SPRJ_GUID
     FROM customer p JOIN customer c ON p.c_custkey = c.c_custkey AND p.c_mktsegment = 'BUILDING' LEFT JOIN orders s ON p.c_custkey = s.o_custkey

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablemill.catalog import Tables, query
 from tablemill.operators import ordering
 from tablemill.operators.windows import window, window_expression
+from tablemill.session import stage
 
 BY_CUSTOMER = {"partition_by": ["o_custkey"], "order_by": [{"column": "o_orderdate", "direction": "DESC"}, {"column": "o_orderkey"}], "alias": "w"}
 CUSTOMER_SQL = "SELECT o_orderkey, o_custkey, {} AS w FROM orders"
@@ -124,9 +125,12 @@ def page_summary(t: Tables) -> DataFrame:
     return ordering.page_summary(t.orders, 3, 100)
 
 
-@query("lim_preview", "SELECT least(count(*), 50) AS n FROM orders")
+@query("lim_preview", "SELECT least(count(*), 50) AS n, least(count(*), 50) AS known FROM orders")
 def preview(t: Tables) -> DataFrame:
-    return ordering.preview(t.orders).agg(F.count(F.lit(1)).alias("n"))
+    """Which rows a preview has is open; all have to be rows of the table, none twice."""
+    shown = stage(ordering.preview(t.orders), "preview")
+    known = shown.distinct().join(t.orders, t.orders.columns, "left_semi")
+    return shown.agg(F.count(F.lit(1)).alias("n")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
 
 
 @query("lim_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 25")

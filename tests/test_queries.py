@@ -42,4 +42,4 @@ def test_entry(spark):
 def test_names_agree():
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"fn_now"}
+    assert set(QUERIES) == set(ORACLES)
