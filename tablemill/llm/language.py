@@ -35,7 +35,7 @@ EVIDENCE_WORDS = 50
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG_TEXT = 1 << 20
-_CACHED_WORDS = 100_000
+_CACHED_WORDS, _WORDS_AT_ONCE = 200_000, 50_000
 
 
 def held_out(id_col: str = "doc_id"):
@@ -64,7 +64,11 @@ class Model:
         self.known = self._logs([word_counts.get(x, {}) for x in self.languages])
         by_length = [[{g: c for g, c in gram_counts.get(x, {}).items() if len(g) == n} for x in self.languages] for n in range(1, LONGEST + 1)]
         self.grams = [self._logs(counts) for counts in by_length]
-        self._seen: dict[str, np.ndarray] = {}
+        self._seen: dict[str, int] = {}
+        self._votes: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": {}, "_votes": None}
 
     @staticmethod
     def _logs(counts: list[dict[str, int]]) -> dict[str, np.ndarray]:
@@ -77,17 +81,23 @@ class Model:
             table[item] = logs - logs.mean()
         return table
 
-    def vote(self, word: str) -> np.ndarray:
-        found = self._seen.get(word)
-        if found is None:
-            found = self.known.get(word)
-            if found is None:
-                found = self._backoff(word)
-            if len(self._seen) >= _CACHED_WORDS:
-                self._seen.clear()
-            if len(word) <= 40:
-                self._seen[word] = found
-        return found
+    def _total(self, words_: list[str], times: list[int]) -> np.ndarray:
+        """Sum of the words' votes. Votes are remembered as rows of one matrix, which starts anew when it is full."""
+        seen = self._seen
+        if self._votes is None or len(seen) + len(words_) > _CACHED_WORDS:
+            seen.clear()
+            if self._votes is None:
+                self._votes = np.empty((_CACHED_WORDS, len(self.languages)))
+        votes = self._votes
+        rows = [seen.get(word, -1) for word in words_]
+        if -1 in rows:
+            for n, row in enumerate(rows):
+                if row < 0:
+                    word = words_[n]
+                    known = self.known.get(word)
+                    rows[n] = seen[word] = len(seen)
+                    votes[rows[n]] = self._backoff(word) if known is None else known
+        return np.array(times, dtype=np.float64) @ votes[rows]
 
     def _backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
@@ -105,10 +115,11 @@ class Model:
         counted = Counter(words(text))
         if not any(letter.isalpha() for word in counted for letter in word):
             return UNKNOWN, 0.0
+        distinct, times = list(counted), list(counted.values())
         total = np.zeros(len(self.languages))
-        for word, times in counted.items():
-            total += self.vote(word) * times
-        number = sum(counted.values())
+        for start in range(0, len(distinct), _WORDS_AT_ONCE):
+            total += self._total(distinct[start : start + _WORDS_AT_ONCE], times[start : start + _WORDS_AT_ONCE])
+        number = sum(times)
         total *= min(1.0, EVIDENCE_WORDS / number)
         weights = np.exp(total - total.max())
         best = int(total.argmax())
@@ -169,7 +180,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
         for part in texts:
             yield pd.DataFrame([own.predict(text) for text in part], columns=["lang", "score"])
 
-    found = docs.drop(lang_name, score_name).withColumn("__language", label(F.col(f"`{text_col}`")))
+    # a filter on the result must not lead Spark to predict once for the filter and once more for the columns
+    once = label.asNondeterministic()
+    found = docs.drop(lang_name, score_name).withColumn("__language", once(F.col(f"`{text_col}`")))
     return found.withColumn(lang_name, F.col("__language.lang")).withColumn(score_name, F.col("__language.score")).drop("__language")
 
 
