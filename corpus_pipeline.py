@@ -59,10 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, next to whether they decode to it: (doc_id, lang, source, n_chars, ids, n_ids, exact)."""
     transducer = sentencepieces.compile_model(public_tokenizers.path(PIECES))
-    coded = docs.withColumn("ids", sentencepieces.encoder(spark, transducer)(F.col("text")))
-    read = coded.withColumn("__read", sentencepieces.decoder(spark, transducer)(F.col("ids")))
-    exact = F.col("__read") == sentencepieces.normalised(F.col("text"), transducer)
-    return read.select("doc_id", "lang", "source", "n_chars", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("n_ids"), exact.alias("exact"))
+    coded = sentencepieces.with_checked_pieces(docs.select("doc_id", "lang", "source", "n_chars", "text"), transducer)
+    return coded.select("doc_id", "lang", "source", "n_chars", "ids", "n_ids", "exact")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

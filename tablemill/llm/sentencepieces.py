@@ -15,6 +15,7 @@ passes a single state there, so the parts between are composed on their own and
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
@@ -34,7 +35,7 @@ UNIGRAM, BPE = 1, 2
 #: Arc weight of an unknown character in a unigram model, above that of its dearest piece.
 UNKNOWN_EXTRA = 10.0
 
-_REMEMBERED, _LONGEST_REMEMBERED = 400_000, 48
+_REMEMBERED, _LONGEST_REMEMBERED = 250_000, 48
 
 
 class Transducer:
@@ -72,6 +73,11 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK)
 
+    def plain(self, text: str) -> str:
+        """What decoding gives back for a text."""
+        text = text.replace(MARK, " ")
+        return re.sub(" +", " ", text.strip(" ")) if self.squeeze else text
+
     def encode(self, text: str) -> list[int]:
         known, ids = self._known, []
         for part in self._parts.findall(self.normalise(text)):
@@ -241,10 +247,36 @@ def with_pieces(docs: DataFrame, path: str, text_col: str = "text", name: str =
     return docs.withColumn(name, encoder(docs.sparkSession, compile_model(path))(F.col(f"`{text_col}`")))
 
 
-def normalised(text: Column, transducer: Transducer) -> Column:
-    """What decoding gives back: the text with every mark as a space (and, for models that squeeze, single spaces)."""
-    plain = F.replace(text, F.lit(MARK), F.lit(" "))
-    return F.regexp_replace(F.trim(plain), F.lit(" +"), F.lit(" ")) if transducer.squeeze else plain
+def with_checked_pieces(docs: DataFrame, transducer: Transducer, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_ids``, ``decoded_sha256`` and ``exact`` in place of the text, which is encoded and decoded in one pass.
+
+    ``exact`` tells whether decoding gives the text with every mark as a space (and, for models that squeeze, single spaces). All four are
+    null for a null text. Columns of those names are replaced.
+    """
+    added = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_ids", pa.int64()), pa.field("decoded_sha256", pa.string()), pa.field("exact", pa.bool_())]
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, *[x.name for x in added])]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>", "n_ids bigint", "decoded_sha256 string", "exact boolean"])
+    names = [f.name for f in kept] + [x.name for x in added]
+    shared = docs.sparkSession.sparkContext.broadcast(transducer)  # the model, whatever the data
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                coded, sizes, digests, exact = [], [], [], []
+                for value in batch.column(batch.num_columns - 1):
+                    text = value.as_py()
+                    ids = None if text is None else own.encode(text)
+                    read = None if ids is None else own.decode(ids)
+                    coded.append(None if ids is None else np.array(ids, dtype=np.int32))
+                    sizes.append(None if ids is None else len(ids))
+                    digests.append(None if read is None else hashlib.sha256(read.encode("utf-8", "surrogatepass")).hexdigest())
+                    exact.append(None if read is None else read == own.plain(text))
+                columns = [pa.array(x, field.type) for x, field in zip((coded, sizes, digests, exact), added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names)
+
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`")).mapInArrow(code, schema)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,9 +284,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Null texts give nulls; repeated rows give equal rows; an empty table gives an empty result; other columns are not read.
     """
-    transducer = compile_model(path)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    coded = rows.withColumn("ids", encoder(docs.sparkSession, transducer)(F.col("text")))
-    read = coded.withColumn("read", decoder(docs.sparkSession, transducer)(F.col("ids")))
-    return read.select(F.col("id").alias(id_col), "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("n_ids"),
-                       F.sha2("read", 256).alias("decoded_sha256"), (F.col("read") == normalised(F.col("text"), transducer)).alias("exact"))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return with_checked_pieces(rows, compile_model(path), text_col)
