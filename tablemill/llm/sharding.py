@@ -1,9 +1,10 @@
 """Sharding by Karmarkar-Karp differencing: documents of equal text stay together, and the shards' bytes come out nearly equal.
 
 Differencing keeps partial partitions, each a list of subset sums, and repeatedly combines the two of largest spread, the
-largest subset of the one with the smallest of the other. A combination is again a partial partition, so the method
-works in levels: every bucket of groups is differenced alone and leaves one partial partition, and these are differenced
-again, until one is left. No task sees more than a bucket.
+largest subset of the one with the smallest of the other. No task sees more than a bucket: groups that outweigh a shard's part of a
+bucket are placed first (in the same way, where they fill more than a bucket). Then as many buckets as the gaps need are each differenced
+together with its share of the partition so far, so that its groups fill the gaps; a few wait for a later round and even out what is
+left. Buckets that no gap needs are differenced alone, then by levels: each bucket is a partial partition, and so is what was placed before.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ from tablemill.session import stage
 #: Partial partitions that one task combines.
 BUCKET = 4096
 
+#: Groups of a bucket for each shard, at least.
+LEAST_GROUPS = 4
+
+#: Size of the buckets that fill gaps, relative to the gaps, and the share of them that waits for the next round (one in so many).
+MARGIN, ROUND = 1.25, 64
+
 #: Rows of a shard that one task numbers.
 SLOT_ROWS = 100_000
 
@@ -72,51 +79,117 @@ def difference(partials: Sequence[Sequence[int]]) -> list[list[int]]:
 def assign(groups: DataFrame, shards: int, key_col: str = "key", size_col: str = "size", bucket: int = BUCKET) -> DataFrame:
     """(key_col, shard int) for indivisible ``groups`` with distinct keys and sizes of 0 or more, by differencing.
 
-    Keys must be of a type that can be hashed; sizes must not be null. An empty table gives an empty result.
+    Keys must be of a type that can be hashed; sizes must not be null. An empty table gives an empty result. A bucket of fewer groups
+    than ``LEAST_GROUPS`` a shard could not fill gaps, so ``bucket`` is at least that.
     """
     if shards < 1 or bucket < 2:
         raise ValueError("at least one shard and two groups to a bucket are needed")
-    count = groups.count()
-    buckets = max(1, -(-count // bucket))
     sized = groups.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{size_col}`").cast("bigint").alias("size"))
+    parts, _ = _place(sized, shards, max(bucket, LEAST_GROUPS * shards))
+    placed = parts[0] if parts else sized.filter(F.lit(False)).withColumn("subset", F.lit(0))
+    for part in parts[1:]:
+        placed = placed.union(part)
+    return placed.select(F.col("key").alias(key_col), F.col("subset").cast("int").alias("shard"))
+
+
+def _place(sized: DataFrame, shards: int, bucket: int) -> tuple[list[DataFrame], list[int]]:
+    """Parts (key, size, subset) that cover the rows of ``sized`` (key, size), and the subsets' sums."""
+    whole = sized.agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("total")).first()
+    if not whole["count"]:
+        return [], [0] * shards
+    if whole["count"] <= bucket:
+        part, added = _fill(sized.withColumn("leaf", F.lit(0)), [0] * shards, whole["total"])
+        return [part], added
+    buckets = -(-whole["count"] // bucket)
+    # fewer than ``most`` groups are larger than the total divided by it: than a shard's part of a bucket, and than four groups of mean size
+    most = max(1, min(shards * buckets, whole["count"] // 4))
+    heavy = F.col("size") > whole["total"] // most
+    parts, sums = _place(sized.filter(heavy), shards, bucket)
     # equal sizes go by key, so that the outcome does not depend on the order in which rows arrive
-    leaves = sized.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("bigint"))
-    key_type = leaves.schema["key"].dataType.simpleString()
-
-    def first_level(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable")
-        sizes = rows["size"].tolist()
+    light = sized.filter(~heavy).withColumn("leaf", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    gap, room = shards * max(sums) - sum(sums), whole["total"] - sum(sums)
+    filling = min(buckets, int(buckets * gap * MARGIN / room) + 2 if room else buckets) if gap else 0
+    for start, end in itertools.pairwise(_round_ends(filling)):
+        rows = light.filter((F.col("leaf") >= start) & (F.col("leaf") < end))
+        part, added = _fill(rows, [total - min(sums) for total in sums], rows.agg(F.sum("size")).first()[0] or 0)
+        parts.append(part)
+        sums = [total + more for total, more in zip(sums, added, strict=True)]
+    if filling < buckets:
+        part, sums = _level(light.filter(F.col("leaf") >= filling), sums, buckets - filling, bucket)
+        parts.append(part)
+    return parts, sums
+
+
+def _round_ends(leaves: int) -> list[int]:
+    """Where the rounds begin and end among ``leaves``: each leaves some of those it finds for the next one, and the last round is one leaf."""
+    ends, left = [0], leaves
+    while left > 1:
+        left = max(1, left // ROUND)
+        ends.append(leaves - left)
+    return [*ends, leaves] if leaves else ends
+
+
+def _fill(rows: DataFrame, ahead: list[int], total: int) -> tuple[DataFrame, list[int]]:
+    """(key, size, subset) of ``rows`` (key, size, leaf; of ``total`` size), staged, and what the subsets gain: each leaf is differenced
+    together with its share of what the subsets are already ``ahead``, in proportion to its size."""
+    shards = len(ahead)
+    key_type = rows.schema["key"].dataType.simpleString()
+
+    def fill(leaf: pd.DataFrame) -> pd.DataFrame:
+        leaf = leaf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+        sizes = leaf["size"].tolist()
+        share = [x * sum(sizes) // total for x in ahead] if total else ahead
+        own, *others = difference([share, *([size] + [0] * (shards - 1) for size in sizes)])
+        subsets = {final: subset for subset, final in enumerate(own)}
+        return pd.DataFrame({"key": leaf["key"], "size": sizes, "subset": [subsets[to[0]] for to in others]})
+
+    part = stage(rows.groupBy("leaf").applyInPandas(fill, f"key {key_type}, size bigint, subset int"), "leaves")
+    gains = {row["subset"]: row["gain"] for row in part.groupBy("subset").agg(F.sum("size").alias("gain")).collect()}  # a row per shard
+    return part, [gains.get(subset, 0) for subset in range(shards)]
+
+
+def _level(rows: DataFrame, sums: list[int], leaves: int, bucket: int) -> tuple[DataFrame, list[int]]:
+    """(key, size, subset) of ``rows`` (key, size, leaf), and the subsets' new sums: each leaf is differenced alone, then their partial
+    partitions by levels, ``sums`` being one more of them."""
+    shards, least = len(sums), min(sums)
+    key_type = rows.schema["key"].dataType.simpleString()
+
+    def first_level(leaf: pd.DataFrame) -> pd.DataFrame:
+        leaf = leaf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+        sizes = leaf["size"].tolist()
         places = [to[0] for to in difference([[size] + [0] * (shards - 1) for size in sizes])]
-        sums = [0] * shards
+        found = [0] * shards
         for size, place in zip(sizes, places, strict=True):
-            sums[place] += size
-        return pd.DataFrame({"key": rows["key"], "bucket": rows["bucket"], "subset": places, "sums": [sums if n == 0 else None for n in range(len(rows))]})
-
-    placed = stage(leaves.groupBy("bucket").applyInPandas(first_level, f"key {key_type}, bucket bigint, subset int, sums array<bigint>"), "leaves")
-    level = placed.filter("sums is not null").select(F.col("bucket").alias("part"), "sums")
-    maps = []  # from (part, subset) of one level to (part, subset) of the next
-    while buckets > 1:
-        buckets = -(-buckets // bucket)
-
-        def next_level(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("part")
-            totals = [0] * shards
-            found = []
-            for part, above, sums, to in zip(rows["part"], rows["above"], rows["sums"], difference([list(map(int, sums)) for sums in rows["sums"]]), strict=True):
-                for subset in range(shards):
-                    totals[to[subset]] += int(sums[subset])
-                    found.append((part, subset, above, to[subset], None))
-            found[0] = (*found[0][:4], totals)
-            return pd.DataFrame(found, columns=["part", "subset", "above", "to", "sums"])
-
-        parts = level.withColumn("above", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("bigint"))
+            found[place] += size
+        return pd.DataFrame({"key": leaf["key"], "size": sizes, "part": leaf["leaf"], "subset": places, "sums": [found if n == 0 else None for n in range(len(leaf))]})
+
+    def next_level(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("part")
+        totals = [0] * shards
+        found = []
+        for part, above, added, to in zip(parts["part"], parts["above"], parts["sums"], difference([list(map(int, added)) for added in parts["sums"]]), strict=True):
+            for subset in range(shards):
+                totals[to[subset]] += int(added[subset])
+                found.append((part, subset, above, to[subset], None))
+        found[0] = (*found[0][:4], totals)
+        return pd.DataFrame(found, columns=["part", "subset", "above", "to", "sums"])
+
+    placed = stage(rows.groupBy("leaf").applyInPandas(first_level, f"key {key_type}, size bigint, part bigint, subset int, sums array<bigint>"), "leaves")
+    result = placed.drop("sums")
+    before = rows.sparkSession.createDataFrame([(-1, [total - least for total in sums])], "part bigint, sums array<bigint>")
+    level = placed.filter("sums is not null").select("part", "sums").union(before)
+    mine, ends, left = -1, list(range(shards)), leaves + 1  # where ``sums`` went
+    while left > 1:
+        left = -(-left // bucket)
+        parts = level.withColumn("above", F.pmod(F.xxhash64("part"), F.lit(left)).cast("bigint"))
         moves = stage(parts.groupBy("above").applyInPandas(next_level, "part bigint, subset int, above bigint, to int, sums array<bigint>"), "level")
-        maps.append(moves.drop("sums"))
         level = moves.filter("sums is not null").select(F.col("above").alias("part"), "sums")
-    result = placed.select("key", F.col("bucket").alias("part"), "subset")
-    for moves in maps:
-        result = result.join(moves, ["part", "subset"]).select("key", F.col("above").alias("part"), F.col("to").alias("subset"))
-    return result.select(F.col("key").alias(key_col), F.col("subset").cast("int").alias("shard"))
+        result = result.join(moves.drop("sums"), ["part", "subset"]).select("key", "size", F.col("above").alias("part"), F.col("to").alias("subset"))
+        moved = {row["subset"]: row for row in moves.filter(F.col("part") == mine).collect()}  # a row per shard
+        mine, ends = moved[0]["above"], [moved[subset]["to"] for subset in ends]
+    totals = level.first()["sums"]
+    named = F.array(*[F.lit(ends.index(subset)) for subset in range(shards)])
+    return result.select("key", "size", named[F.col("subset")].alias("subset")), [totals[to] + least for to in ends]
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, slot_rows: int = SLOT_ROWS) -> DataFrame:

@@ -136,6 +136,27 @@ def test_shards(spark, bucket):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in homes.values())
 
 
+@pytest.mark.parametrize("share", [0.012, 0.05, 0.12])
+def test_shards_beside_a_heavy_group(spark, share):
+    rng = random.Random(5)
+    sizes = [int(rng.lognormvariate(7, 1)) for _ in range(24_000)]
+    sizes.append(int(sum(sizes) * share / (1 - share)))
+    found = sharding.assign(spark.createDataFrame(list(enumerate(sizes)), "key long, size long"), 8, bucket=1000).collect()
+    sums = [0] * 8
+    for r in found:
+        sums[r["shard"]] += sizes[r["key"]]
+    assert sorted(r["key"] for r in found) == list(range(len(sizes))) and max(sums) - min(sums) <= 100
+
+
+def test_shards_beside_a_group_larger_than_a_shard(spark):
+    sizes = [50_000, 9_000] + [3 + i % 7 for i in range(3000)]
+    sums = Counter()
+    for r in sharding.assign(spark.createDataFrame(list(enumerate(sizes)), "key long, size long"), 4, bucket=100).collect():
+        sums[r["shard"]] += sizes[r["key"]]
+    *others, largest = sorted(sums.values())
+    assert largest == 50_000 and others[-1] - others[0] <= 10
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
