@@ -35,15 +35,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Of rows that repeat an id and a text one stays."""
-    groups = stage(hamming_join.near_groups(docs), "groups")
-    gone = broadcast_if_small(groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = stage(groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated")), "repeated")
+    """One document of each group of near-duplicates: that of the smallest id, null ids last. Of rows that repeat an id and a text one stays.
+
+    A document is its id with its text, so neither null ids nor ids that stand at several texts are taken for one document.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("digest"))
+    keyed = docs.withColumn("__key", key)
+    groups = stage(hamming_join.near_groups(keyed, "__key"), "groups")
+    gone = broadcast_if_small(groups.filter("not kept").select(F.col("__key").alias("__gone")).distinct())
+    kept = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    repeated = stage(groups.filter("kept").groupBy("__key").count().filter("count > 1").select(F.col("__key").alias("__repeated")), "repeated")
     if repeated.isEmpty():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("__repeated"))
-    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select(docs.columns)
+    again = F.col("__key") == F.col("__repeated")
+    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["__key"])).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,6 +241,20 @@ def test_pipeline(spark, tmp_path):
     assert max(Counter(r["doc_id"] for r in out).values()) <= 2
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    copied, lone, shared, other, near = text(), text(), text(), text(), text()
+    rows = [(1, copied), (None, copied), (None, lone), (2, shared), (7, shared), (7, other), (None, near), (None, near + " more"), (8, near + " at last"), (9, lone + " x"),
+            (12, near[:-1] + "!"), (None, None), (None, ""), (5, None), (5, None)]
+    alone = [text(), text()]
+    rows += [(20, alone[0]), (20, alone[0] + " more"), (None, alone[1]), (None, alone[1] + " more"), (None, alone[1])]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    found = Counter((r["doc_id"], r["text"]) for r in out)
+    by_group = [next(x for x in ((20, alone[0]), (20, alone[0] + " more")) if x in found), next(x for x in ((None, alone[1]), (None, alone[1] + " more")) if x in found)]
+    assert found == Counter([(1, copied), (9, lone + " x"), (2, shared), (7, other), (8, near + " at last"), (None, None), (None, ""), (5, None), *by_group])
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
