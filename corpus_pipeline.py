@@ -19,7 +19,7 @@ from tablemill.session import broadcast_if_small, stage
 LEAST_SCORE = 0.5
 
 #: Every document stays at least once; small sources are read up to a quarter more often than the largest.
-MIX = mixing.Mix(max_repeats=1.25, cover=True)
+MIX = mixing.Mix(max_repeats=1.25, cover=True, empty_sources=True)
 
 PIECES = "piece_bpe_32k.model"
 

@@ -33,13 +33,14 @@ HALVINGS, AHEAD = 40, 4
 @dataclass(frozen=True)
 class Mix:
     """What a mix aims at. ``budget`` is in corpora (1: as many tokens as there are) or, with ``cover``, the least at which every document comes
-    at least once. ``target_entropy`` is a share of the highest possible entropy (that of equal weights), ``max_repeats`` a limit
+    of a source that has tokens comes at least once; with ``empty_sources``, documents of sources without any token come once too. ``target_entropy`` is a share of the highest possible entropy (that of equal weights), ``max_repeats`` a limit
     for how often any source is read on average; both may be given, then the exponent meets both where it can."""
 
     target_entropy: float | None = None
     max_repeats: float | None = None
     budget: float = 1.0
     cover: bool = False
+    empty_sources: bool = False
 
     def __post_init__(self) -> None:
         if self.target_entropy is None and self.max_repeats is None:
@@ -123,19 +124,25 @@ def order_key(id_: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("-"))))
 
 
+def _place(key: Column) -> Column:
+    """Where an order key lies among all keys: 0 up to but not including 1."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / (1 << 32)
+
+
 def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1,
          block_tokens: int = BLOCK_TOKENS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix as one row per reading of a document: (id_col, source, epoch, n_tokens, block, slot).
 
     Blocks are numbered from 0, ``slot`` orders a block's documents from 0. Ties of the hash go by id and number of tokens. Documents without
     tokens (null, empty and blank texts) are read as often as whole epochs are, and in the cut one up to the cut; those of a source
-    without any token are not read. A null source is a source of its own. Repeated rows are read once each. An empty table gives an
+    without any token are read once, anywhere, with ``empty_sources`` and else not. A null source is a source of its own. Repeated rows are read once each. An empty table gives an
     empty plan; other columns are not read.
     """
     chosen, shares = _chosen(docs, mix, id_col, source_col, text_col, seed, range_rows)
     total = shares.agg(F.sum("part")).first()[0] or 0.0
     blocks = max(1, round(total / block_tokens))
-    block = F.least(F.floor(F.col("start") / F.col("part") * blocks).cast("int"), F.lit(blocks - 1))
+    along = F.when(F.col("part") > 0, F.col("start") / F.col("part")).otherwise(_place(F.col("key")))
+    block = F.least(F.floor(along * blocks).cast("int"), F.lit(blocks - 1))
     chosen = chosen.withColumn("block", block).withColumn("mixed", F.md5(F.concat(F.lit("block:"), "key")))
     slot = F.row_number().over(W.partitionBy("block").orderBy("mixed", "id", "epoch", "source", "tokens")) - 1
     return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("tokens").alias("n_tokens"), "block", slot.cast("int").alias("slot"))
@@ -166,12 +173,13 @@ def _chosen(docs: DataFrame, mix: Mix, id_col: str, source_col: str, text_col: s
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), count_tokens(F.col(f"`{text_col}`")).alias("tokens"))
     rows = stage(rows, "tokens")
     shares = weights(rows, mix)
-    epochs = F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)).alias("epoch")
-    live = broadcast_if_small(shares.filter("part > 0").select(F.col("source").alias("of"), F.col("tokens").alias("all"), "part", "repeats"))
+    epochs = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int"), F.lit(1)) - 1)).alias("epoch")
+    read = (F.col("part") > 0) | ((F.col("tokens") == 0) & F.lit(mix.empty_sources))
+    live = broadcast_if_small(shares.filter(read).select(F.col("source").alias("of"), F.col("tokens").alias("all"), "part", "repeats"))
     readings = rows.join(live, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", rows["tokens"], "all", "part", "repeats", epochs)
     ranges = max(1, -(-rows.count() // range_rows))
     readings = readings.withColumn("key", order_key(F.col("id"), F.col("epoch"), seed))
-    readings = readings.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / (1 << 32)).cast("int"))
+    readings = readings.withColumn("range", F.floor(_place(F.col("key")) * ranges).cast("int"))
     sums = readings.groupBy("source", "epoch", "range").agg(F.sum("tokens").alias("n"))
     before = W.partitionBy("source", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("epoch").alias("in"), F.col("range").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -95,6 +95,16 @@ def test_covering_mix_keeps_every_document(sources):
     assert mixing.plan(docs.limit(0), mixing.Mix(target_entropy=0.5)).collect() == []
 
 
+def test_mix_of_the_pipeline_keeps_sources_without_tokens(spark, sources):
+    docs, rows = sources
+    out = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert set(out) == {i for i, _, _ in rows} and all(out[i] == 1 for i, _, s in rows if s == "none")
+    plan = mixing.plan(docs, corpus_pipeline.MIX, block_tokens=1500).collect()
+    assert Counter(r["doc_id"] for r in plan) == out and all(r["block"] is not None for r in plan)
+    empty = docs.filter("source = 'none'")
+    assert corpus_pipeline.mix_sources(spark, empty, "").count() == mixing.plan(empty, corpus_pipeline.MIX).count() == 3
+
+
 # Sharding
 
 def brute_difference(sizes, k):
