@@ -28,8 +28,11 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; a missing label is filled in."""
-    found = language.predict(docs, language.fit(docs), lang_name="__lang", score_name="__score")
+    """Documents whose language is identified; a missing label is filled in. Where the labels teach no language, all documents that have a letter stay as they are."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model, lang_name="__lang", score_name="__score")
     kept = found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 

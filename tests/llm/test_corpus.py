@@ -265,6 +265,13 @@ def test_near_duplicates_go_by_row(spark):
     assert found == Counter([(1, copied), (9, lone + " x"), (2, shared), (7, other), (8, near + " at last"), (None, None), (None, ""), (5, None), *by_group])
 
 
+def test_documents_without_labels_stay(spark):
+    held = next(str(i) for i in range(100) if crc32(str(i).encode()) % 4 == 2)
+    rows = [("a", "some words", None), ("b", "東京", None), ("c", "12 !", None), ("d", None, None), (held, "held out", "en")]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string"), "").collect()
+    assert {(r["doc_id"], r["lang"]) for r in out} == {("a", None), ("b", None), (held, "en")}
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
