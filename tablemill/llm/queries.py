@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, sentencepieces, sharding, url_rules
+from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, secret_scan, sentencepieces, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,42 @@ LISTED = ("allow org/", "block example.org/es/", "block example.org/en/1", "allo
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     rules = [url_rules.parse(rule) for rule in LISTED]
     return url_rules.judge(table(spark, folder, "pages"), table(spark, folder, "labels"), rules)
+
+
+#: The rules of the secret scan in the form of DuckDB's expressions: name, pattern, group and least length.
+SECRETS = (
+    ("assign", """(?i:password|passwd|secret|token|api_?key)["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[opusr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("pem", "-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----", 0, 0),
+    ("login", r"://[^\s:/@]{1,64}:[^\s:/@]{4,64}@", 0, 0),
+    ("bearer", r"(?i:bearer)\x20{1,8}[A-Za-z0-9._~+/-]{20,}", 0, 0),
+)
+
+
+def _secret_sql(number: int, name: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT n, {number} AS rule, '{name}' AS name, s.m AS m, s.start AS start FROM (
+            SELECT n, unnest(list_transform(range(CAST(len(found) AS BIGINT)), lambda i: struct_pack(m := found[i + 1], start := CAST(
+                list_sum(list_transform(parts[:i + 1], lambda p: length(p))) + coalesce(list_sum(list_transform(found[:i], lambda p: length(p))), 0) AS BIGINT)))) AS s
+            FROM (SELECT n, regexp_extract_all(t, '{quoted}') AS found, string_split_regex(t, '{quoted}') AS parts FROM docs WHERE regexp_matches(t, '{quoted}')))
+        WHERE length(regexp_extract(s.m, '{quoted}', {group})) >= {least}"""
+
+
+SECRET_SQL = f"""
+    WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS ({" UNION ALL ".join(_secret_sql(n, *rule) for n, rule in enumerate(SECRETS))}),
+    listed AS (SELECT n, rule, start, name || ':' || start || ':' || (start + length(m)) AS span FROM spans)
+    SELECT any_value(doc_id) AS doc_id, count(rule) FILTER (rule = 0) AS n_assign, count(rule) FILTER (rule = 1) AS n_access, count(rule) FILTER (rule = 2) AS n_hex,
+        sha256(coalesce(string_agg(span, ',' ORDER BY start, rule) FILTER (rule < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rule), '') AS spans
+    FROM docs LEFT JOIN listed USING (n) GROUP BY n"""
+
+
+@query("op12_trigram_secrets", SECRET_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find(table(spark, folder, "documents"))
