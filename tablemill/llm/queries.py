@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, secret_scan, sentencepieces, sharding, url_rules
+from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, secret_scan, sentencepieces, sharding, url_rules, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,8 @@ SECRET_SQL = f"""
 @query("op12_trigram_secrets", SECRET_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find(table(spark, folder, "documents"))
+
+
+@query("op11_sturm_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
