@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, hamming_join, language, mixing, order_minhash, pii, range_join, secret_scan, sentencepieces, sharding, url_rules, whitening
+from tablemill.llm import alignment, chat, hamming_join, language, mixing, order_minhash, pii, range_join, secret_scan, sentencepieces, sharding, url_rules, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_sturm_whitening")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+#: The byte-level vocabulary that is aligned with the pieces.
+BYTES = "byte_bpe_50k.json"
+
+
+@query("op13_spill_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
