@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from tablemill.catalog import Tables, query
 from tablemill.operators import table_changes as change
 from tablemill.session import new_path, stage
+from tablemill.sinks import versioned
 
 DELETED = [{"column": "quality", "operator": "=", "value": 0}, {"column": "lang", "operator": "IN", "value": "en, de"}]
 
@@ -18,6 +19,17 @@ def delete(t: Tables) -> DataFrame:
     return stage(change.delete_rows(labelled(t), DELETED), "deleted")
 
 
+@query("tbl_delete_vectors", """SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)
+    WHERE NOT coalesce(quality = 0 AND lang IN ('en', 'de'), false) AND NOT coalesce(lang = 'fr', false)""")
+def delete_vectors(t: Tables) -> DataFrame:
+    """Two deletes from a versioned table: rows are listed as gone, and no data file is rewritten."""
+    path = new_path(t.spark, "versions")
+    versioned.commit_table(labelled(t).repartition(6), path)
+    versioned.commit_delete(t.spark, path, DELETED)
+    versioned.commit_delete(t.spark, path, {"column": "lang", "operator": "=", "value": "fr"})
+    return versioned.read_version(t.spark, path)
+
+
 @query("tbl_delete_count", "SELECT count(*) AS deleted FROM documents LEFT JOIN labels USING (doc_id) WHERE quality = 0 AND lang IN ('en', 'de')")
 def deleted(t: Tables) -> DataFrame:
     return change.deleted_count(labelled(t), DELETED)

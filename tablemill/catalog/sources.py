@@ -7,7 +7,7 @@ from tablemill.catalog import Tables, query
 from tablemill.operators.filters import apply_filter
 from tablemill.operators.projection import calculate
 from tablemill.session import new_path, stage
-from tablemill.sinks import export, tables
+from tablemill.sinks import export, tables, versioned
 from tablemill.sources import files, jdbc
 from tablemill.streaming.copy import copy_new_files
 from tablemill.types import to_sink_types
@@ -136,6 +136,32 @@ def upsert(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+def updates_of(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("balance"), F.col("o_orderkey").alias("version"))
+
+
+@query("snk_upsert_files", """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT o_custkey, arg_max(o_orderstatus, o_orderkey), arg_max(o_totalprice, o_orderkey) FROM orders GROUP BY o_custkey""")
+def upsert_files(t: Tables) -> DataFrame:
+    """The upsert as two commits over a table of several files, of which each rewrites only the files it has to."""
+    path = new_path(t.spark, "versions")
+    versioned.commit_table(customers(t).repartitionByRange(16, "id"), path, keys=["id"])
+    low = F.col("id") <= 40
+    versioned.commit_upsert(t.spark, path, updates_of(t).filter(low), "version")
+    versioned.commit_upsert(t.spark, path, updates_of(t).filter(~low), "version")
+    return versioned.read_version(t.spark, path)
+
+
+@query("snk_replace_commit", f"SELECT 'new' AS state, id, name, balance FROM ({SUPPLIERS}) UNION ALL SELECT 'old', id, name, balance FROM ({CUSTOMERS})")
+def replace_commit(t: Tables) -> DataFrame:
+    """Content before and after a replacement that is one commit."""
+    path = new_path(t.spark, "versions")
+    first = versioned.commit_table(customers(t), path)
+    versioned.commit_table(suppliers(t), path, "replace")
+    old = versioned.read_version(t.spark, path, first).select(F.lit("old").alias("state"), "id", "name", "balance")
+    return versioned.read_version(t.spark, path).select(F.lit("new").alias("state"), "id", "name", "balance").union(old)
+
+
 @query("snk_create_types", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ship_day,
     CAST(l_extendedprice AS DOUBLE) AS price, l_returnflag FROM lineitem""")
 def create_types(t: Tables) -> DataFrame:
@@ -270,3 +296,11 @@ def plain_values(t: Tables) -> DataFrame:
 @query("system_columns", "SELECT row_number() OVER (ORDER BY c_custkey) AS __id, c_custkey, c_name, true AS __active FROM customer")
 def system_columns(t: Tables) -> DataFrame:
     return tables.with_system_columns(t.customer.select("c_custkey", "c_name"), ["c_custkey"])
+
+
+@query("system_columns_dense", "SELECT row_number() OVER (ORDER BY o_orderkey) AS __id, o_orderkey, o_custkey, true AS __active FROM orders")
+def system_columns_dense(t: Tables) -> DataFrame:
+    """Ids by file and row: the table's files hold the orders by their key."""
+    path = new_path(t.spark, "ordered")
+    t.orders.select("o_orderkey", "o_custkey").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return tables.with_dense_ids(t.spark.read.parquet(path))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 from typing import Any
 
@@ -21,7 +22,7 @@ from tablemill.ingest.inference import date_formats
 from tablemill.ingest.moments import parse, parse_any
 from tablemill.operators.ordering import distinct_rows
 from tablemill.operators.windows import with_position
-from tablemill.session import stage
+from tablemill.session import broadcast_if_small, stage
 from tablemill.types import family, is_moment, to_sink_types
 
 ID_COLUMN, ACTIVE_COLUMN = "__id", "__active"
@@ -77,22 +78,28 @@ def write_branches(parent: DataFrame, destinations: Mapping[str, Any]) -> None:
         write_table(branch(shared), path)
 
 
-def upserted(table: DataFrame, updates: Mapping[str, Any] | DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
-    """Content after an upsert: rows of ``table`` whose key is not updated, and the updates. Several updates of a key are
-    reduced to the one with the largest ``order_by`` before the join (null before all others, equal ones by a hash of the row);
-    without it they are an error at run time."""
-    changes = updates.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema.fields]
+def latest_updates(schema: T.StructType, updates: DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
+    """One update per key with the table's columns and types: the one with the largest ``order_by`` (null before all others, equal ones by a
+    hash of the row); without it several updates of a key are an error at run time."""
+    changes = updates.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
                              + ([F.col(f"`{order_by}`").alias("__order")] if order_by else []))
-    rest = [c for c in table.columns if c not in keys]
-    row = F.struct([F.col(f"`{c}`") for c in rest])
+    rest = [c for c in schema.names if c not in keys]
+    row = F.struct([F.col(f"`{c}`") for c in rest] or [F.lit(None).alias("__none")])
     if order_by:
         last = F.max_by(row, F.struct(F.col("__order").isNotNull(), F.col("__order"), F.xxhash64(row)))
     else:
         repeated = F.raise_error(F.lit("a key is updated twice; name the column that orders the updates"))
         last = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.any_value(row))
-    latest = changes.groupBy(*keys).agg(last.alias("__row")).select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest])
-    kept = table.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.select(table.columns).unionByName(latest.select(table.columns))
+    latest = changes.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(last.alias("__row"))
+    return latest.select([F.col(f"`{c}`") if c in keys else F.col("__row").getField(c).alias(c) for c in schema.names])
+
+
+def upserted(table: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
+    """Content after an upsert: rows of ``table`` whose key is not updated, and the updates, reduced once to one per key (see ``latest_updates``).
+    The whole table is written anew from it; ``versioned.commit_upsert`` rewrites only the files that hold an updated key."""
+    latest = stage(latest_updates(table.schema, updates, keys, order_by), "updates")
+    kept = table.join(broadcast_if_small(latest.select(*keys)), list(keys), "left_anti")
+    return kept.select(table.columns).unionByName(latest)
 
 
 def business_names(names: Sequence[str], labels: Mapping[str, str]) -> dict[str, str]:
@@ -131,6 +138,24 @@ def with_system_columns(df: DataFrame, order_by: Sequence[str] | None = None) ->
     return numbered.select(F.col(ID_COLUMN), *[F.col(f"`{c}`") for c in df.columns], F.lit(True).alias(ACTIVE_COLUMN))
 
 
+def with_dense_ids(files: DataFrame) -> DataFrame:
+    """Add ``__id`` in front and ``__active`` at the end, ids counting 1, 2, 3 through the files in the order of their names and through each
+    file's rows. ``files`` is a plain reading of Parquet files: no shuffle and no copy, only a count per file comes first.
+
+    Rows that a filter left out would make gaps and are an error; other frames take ``with_system_columns``."""
+    taken = [c for c in files.columns if c.strip().lower() in RESERVED]
+    if taken:
+        raise SinkError(f"reserved column names: {taken}")
+    sizes = files.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.row_index").alias("last")).orderBy("file").collect()
+    if any(r["n"] != r["last"] + 1 for r in sizes):
+        raise SinkError("dense ids need whole files, these are filtered")
+    ends = list(accumulate((r["n"] for r in sizes), initial=0))  # a row per file
+    starts = files.sparkSession.createDataFrame([(r["file"], start) for r, start in zip(sizes, ends, strict=False)], "__file string, __start bigint")
+    located = files.select(*[F.col(f"`{c}`") for c in files.columns], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    numbered = located.join(broadcast_if_small(starts), "__file")
+    return numbered.select((F.col("__start") + F.col("__row") + 1).alias(ID_COLUMN), *[F.col(f"`{c}`") for c in files.columns], F.lit(True).alias(ACTIVE_COLUMN))
+
+
 @dataclass(frozen=True)
 class CheckedRows:
     """Typed rows that fit the table, and the rejects as (row_number, first_column_value, column_name, value)."""
