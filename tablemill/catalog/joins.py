@@ -1,6 +1,7 @@
 """Joins."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
 from tablemill.operators.joins import join
@@ -89,3 +90,30 @@ def filtered(t: Tables) -> DataFrame:
 @query("jn_strategy", SELECT.format(how="LEFT"))
 def split_hot_keys(t: Tables) -> DataFrame:
     return join(t.customer, t.orders, CUSTOMER_ORDERS, "LEFT", split_hot=True).select(COLUMNS)
+
+
+BANDS = "SELECT c_custkey, c_acctbal - 25 AS low, c_acctbal + (c_custkey % 7) * 40 AS high FROM customer"
+BAND_CONDITIONS = [{"leftColumn": "p_retailprice", "rightColumn": "low", "operator": ">="}, {"leftColumn": "p_retailprice", "rightColumn": "high", "operator": "<"}]
+
+
+def bands(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", (F.col("c_acctbal") - 25).alias("low"), (F.col("c_acctbal") + F.col("c_custkey") % 7 * 40).alias("high"))
+
+
+@query("jn_band", f"SELECT p_partkey, p_retailprice, c_custkey FROM part JOIN ({BANDS}) ON p_retailprice >= low AND p_retailprice < high")
+def band(t: Tables) -> DataFrame:
+    return join(t.part, bands(t), BAND_CONDITIONS).select("p_partkey", "p_retailprice", "c_custkey")
+
+
+@query("jn_band_full", f"SELECT p_partkey, p_retailprice, c_custkey FROM part FULL JOIN ({BANDS}) ON p_retailprice >= low AND p_retailprice < high")
+def band_full(t: Tables) -> DataFrame:
+    return join(t.part, bands(t), BAND_CONDITIONS, "FULL").select("p_partkey", "p_retailprice", "c_custkey")
+
+
+@query("jn_band_moments", """SELECT o_orderkey, o_orderdate, event_id, since FROM orders JOIN (SELECT event_id, ts - INTERVAL 25 YEARS AS since, ts - INTERVAL 25 YEARS + to_days(CAST(event_id % 3 AS INTEGER)) AS until FROM events)
+    ON o_orderdate BETWEEN since AND until""")
+def band_moments(t: Tables) -> DataFrame:
+    since = F.expr("ts - INTERVAL '25' YEAR")
+    spans = t.events.select("event_id", since.alias("since"), (since + F.make_dt_interval((F.col("event_id") % 3).cast("int"))).alias("until"))
+    conditions = [{"leftColumn": "since", "rightColumn": "o_orderdate", "operator": "<="}, {"leftColumn": "until", "rightColumn": "o_orderdate", "operator": ">="}]
+    return join(spans, t.orders, conditions).select("o_orderkey", "o_orderdate", "event_id", "since")

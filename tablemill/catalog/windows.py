@@ -74,6 +74,28 @@ def avg_bigint_hot(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", F.round(F.col("w") / 1e6).alias("w"))
 
 
+BY_TYPE = {"partition_by": ["event_type"], "order_by": [{"column": "ts"}, {"column": "event_id"}], "alias": "w"}
+FRAME = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {} PRECEDING AND {})"
+
+
+@query("win_frame", f"SELECT event_id, event_type, CAST(sum(user_id) {FRAME.format(3, 'CURRENT ROW')} AS BIGINT) AS w FROM events")
+def frame(t: Tables) -> DataFrame:
+    return window(t.events, {**BY_TYPE, "function": "SUM", "column": "user_id", "frame": (3, 0)}).select("event_id", "event_type", "w")
+
+
+@query("win_frame_hot", f"SELECT event_id, event_type, max(value) {FRAME.format(5, '2 FOLLOWING')} - min(value) {FRAME.format(3, 'CURRENT ROW')} AS w FROM events")
+def frame_hot(t: Tables) -> DataFrame:
+    """Two frames of hot groups, each in pieces with a halo, and an expression over both."""
+    high = window(t.events, {**BY_TYPE, "function": "MAX", "column": "value", "frame": (5, 2), "alias": "high"}, hot_rows=500)
+    both = window(high, {**BY_TYPE, "function": "MIN", "column": "value", "frame": (3, 0), "alias": "low"}, hot_rows=500)
+    return both.select("event_id", "event_type", (F.col("high") - F.col("low")).alias("w"))
+
+
+@query("win_lag_hot", "SELECT event_id, user_id, lag(value, 3, -1.0) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS w FROM events")
+def lag_hot(t: Tables) -> DataFrame:
+    return window(t.events, {**BY_TYPE, "function": "LAG", "column": "value", "offset": 3, "default": -1.0}, hot_rows=500).select("event_id", "user_id", "w")
+
+
 @query("win_agg_group", CUSTOMER_SQL.format("max(o_totalprice) OVER (PARTITION BY o_custkey)"))
 def group_maximum(t: Tables) -> DataFrame:
     return by_customer(t, function="MAX", column="o_totalprice", order_by=[])

@@ -6,15 +6,18 @@ hash or sort-merge by size; what this module adds is a plan for keys that hold a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.operators.filters import COMPARISONS, apply_filter, conjunction, predicate
 from tablemill.operators.projection import LEFT_PREFIX, RIGHT_PREFIX
-from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups
+from tablemill.session import GROUP_ROWS, broadcast_if_small, fits_broadcast, hot_groups, stage
 
 # Configured join type -> Spark join type.
 JOIN_TYPES = {
@@ -68,6 +71,8 @@ def join(left: DataFrame, right: DataFrame, conditions: Sequence[Mapping[str, st
         joined = cross(left, right)
     elif all(op == "=" for _, _, op in pairs):
         joined = equi_join(left, right, [(a, b) for a, b, _ in pairs], kind, split_hot, hot_rows)
+    elif (band := find_band(left, right, pairs)) is not None:
+        joined = band_join(left, right, pairs, band, kind)
     else:
         joined = left.join(right, conjunction([COMPARISONS[op](F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b, op in pairs]), kind)
     if where:
@@ -75,6 +80,96 @@ def join(left: DataFrame, right: DataFrame, conditions: Sequence[Mapping[str, st
     return choose_output(joined, output_columns) if output_columns else joined
 
 
+@dataclass(frozen=True)
+class Band:
+    """A column of one side that lies between two columns of the other."""
+
+    point: str
+    low: str
+    high: str
+    point_left: bool
+
+
+def find_band(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> Band | None:
+    """The band among join conditions: a column bounded from below and from above by columns of the other side, all of them numbers or
+    moments. None where there is none, or where an equality gives Spark a key to join on."""
+    kinds = {c: f.dataType for side in (left, right) for c, f in zip(side.columns, side.schema.fields, strict=True)}
+    above, below = (">=", ">"), ("<=", "<")
+    if any(op == "=" for _, _, op in pairs):
+        return None
+    for point_left in (True, False):
+        for point in dict.fromkeys(a if point_left else b for a, b, _ in pairs):
+            bounds = [(b, op) if point_left else (a, _MIRRORED.get(op, op)) for a, b, op in pairs if (a if point_left else b) == point]
+            low, high = next((c for c, op in bounds if op in above), None), next((c for c, op in bounds if op in below), None)
+            if low and high and all(_placeable(kinds[c]) for c in (point, low, high)):
+                return Band(point, low, high, point_left)
+    return None
+
+
+# A comparison with its sides exchanged.
+_MIRRORED = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
+
+
+def _placeable(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _place(column: str, kind: T.DataType) -> Column:
+    """A number that rises with the column: equal or larger for equal or larger values."""
+    value = F.col(f"`{column}`")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        value = value.cast("timestamp")
+    return value.cast("double")
+
+
+def band_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str, str]], band: Band, kind: str) -> DataFrame:
+    """Join on ``low <= point <= high`` (or strictly) and further comparisons, by bins instead of a nested loop.
+
+    An interval goes to the bins it meets at the level of its length: a level's bins are as wide as its longest intervals, so there are two or three at most,
+    whatever the lengths. A point goes to its one bin at each level that intervals have. Points and intervals that share a bin
+    are never far apart, so what is compared grows with the result. Bins only choose; the conditions themselves decide.
+    Intervals are first cut to the range of the points. Null ends and points match nothing; outer joins add the rows without a match.
+    """
+    staged_left, staged_right = left, right
+    outer = kind in ("left_outer", "right_outer", "full_outer")
+    if outer:  # rows are told apart by a number, which has to stay the same in both readings
+        staged_left = stage(left.withColumn("__l_row", F.monotonically_increasing_id()), "left")
+        staged_right = stage(right.withColumn("__r_row", F.monotonically_increasing_id()), "right")
+    points, spans = (staged_left, staged_right) if band.point_left else (staged_right, staged_left)
+    of_point, of_span = {f.name: f.dataType for f in points.schema.fields}, {f.name: f.dataType for f in spans.schema.fields}
+    points = points.withColumn("__at", _place(band.point, of_point[band.point])).filter(F.col("__at").isNotNull())
+    spans = spans.withColumns({"__low": _place(band.low, of_span[band.low]), "__high": _place(band.high, of_span[band.high])})
+    finite = F.when(F.abs("__at") < float("inf"), F.col("__at"))
+    ends = points.agg(F.min(finite).alias("first"), F.max(finite).alias("last")).first()
+    first, last = (ends["first"], ends["last"]) if ends["first"] is not None else (0.0, 0.0)
+    finest = math.frexp(max(abs(first), abs(last), 1e-300))[1] - 50  # a bin's number stays an exact integer
+    cut = lambda c: F.least(F.greatest(c, F.lit(first)), F.lit(last))
+    below, above = (F.col("__high") >= first) | (F.col("__low") == -math.inf), (F.col("__low") <= last) | (F.col("__high") >= math.inf)
+    spans = spans.filter((F.col("__low") <= F.col("__high")) & below & above)  # beyond the finite points only infinite ones can match
+    spans = spans.withColumns({"__low": cut(F.col("__low")), "__high": cut(F.col("__high"))})
+    length = F.col("__high") - F.col("__low")
+    spans = spans.withColumn("__level", F.greatest(F.lit(finest), F.coalesce(F.ceil(F.log2(length)), F.lit(finest))).cast("int"))
+    levels = sorted(r["__level"] for r in spans.select("__level").distinct().collect())  # at most as many as a number has exponents
+    bin_of = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
+    spans = spans.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__low"), F.col("__level")), bin_of(F.col("__high"), F.col("__level"))))).drop("__low", "__high")
+    at = cut(F.col("__at"))
+    bins = F.array(*[F.struct(F.lit(n).alias("level"), bin_of(at, F.lit(float(n))).alias("bin")) for n in levels] or [F.struct(F.lit(finest).alias("level"), F.lit(None).cast("bigint").alias("bin"))])
+    placed = points.withColumn("__b", F.explode(bins)).select(*[F.col(f"`{c}`") for c in points.columns if c != "__at"], F.col("__b.level").alias("__p_level"), F.col("__b.bin").alias("__p_bin"))
+    one, other = (placed, spans) if band.point_left else (spans, placed)
+    tests = [COMPARISONS[op](F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b, op in pairs]
+    joined = one.join(other, conjunction([F.col("__p_level") == F.col("__level"), F.col("__p_bin") == F.col("__bin"), *tests]), "inner").drop("__p_level", "__p_bin", "__level", "__bin")
+    if not outer:
+        return joined
+    joined = stage(joined, "band")
+    result = joined
+    for side, row, missing in ((staged_left, "__l_row", ("left_outer", "full_outer")), (staged_right, "__r_row", ("right_outer", "full_outer"))):
+        if kind in missing:
+            result = result.unionByName(side.join(joined.select(row).distinct(), row, "left_anti").select(_columns_or_null(side, joined)))
+    return result.drop("__l_row", "__r_row")
+
+
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every pair of rows. A side measured as small is broadcast, so that the larger one is read once and not shuffled;
     with two large sides Spark pairs partitions."""

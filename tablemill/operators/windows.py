@@ -45,13 +45,15 @@ def window(df: DataFrame, spec: Mapping[str, Any], hot_rows: int | None = GROUP_
     """Add ``alias`` for ``{"function", "partition_by", "order_by": [{"column", "direction"}], "alias"}``.
 
     LAG and LEAD also take ``column``, ``offset`` and ``default``; NTILE takes ``buckets``; aggregates take ``column`` and,
-    when ordered, run up to the current row and its peers. ``hot_rows=None`` skips the count of the groups; it is for
-    inputs whose groups are known to be small.
+    when ordered, run up to the current row and its peers, or with ``frame`` = (n, m) over the rows from n before to m after the
+    current one. ``hot_rows=None`` skips the count of the groups; it is for inputs whose groups are known to be small.
     """
     function, keys = str(spec["function"]).upper(), list(spec.get("partition_by", []))
     order, alias = _order(spec), spec.get("alias", "window_result")
-    if not order and function not in AGGREGATES:
+    if not order and (function not in AGGREGATES or spec.get("frame") is not None):
         raise WindowError(f"{function} needs order_by")
+    if spec.get("frame") is not None and (function not in AGGREGATES or min(spec["frame"]) < 0):
+        raise WindowError("a frame is for aggregates and counts rows before and after the current one")
     if hot_rows is None:
         return df.withColumn(alias, _plain(spec, function, keys, order))
     if not keys:
@@ -78,7 +80,8 @@ def _plain(spec: Mapping[str, Any], function: str, keys: list[str], order: list[
         shift = F.lag if function == "LAG" else F.lead
         return shift(F.col(f"`{spec['column']}`"), int(spec.get("offset", 1)), spec.get("default")).over(over)
     if function in AGGREGATES:
-        return _measure(spec, function).over(over)
+        before, after = spec["frame"] if spec.get("frame") is not None else (None, None)
+        return _measure(spec, function).over(over if before is None else over.rowsBetween(-int(before), int(after)))
     raise WindowError(f"unknown window function: {function}")
 
 
@@ -90,6 +93,9 @@ def _split(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str
            total: int, hot_rows: int) -> DataFrame:
     if function in AGGREGATES and not order:
         return _whole_group(df, spec, function, keys, alias)
+    if spec.get("frame") is not None:
+        before, after = (int(n) for n in spec["frame"])
+        return _with_halo(_numbered(df, keys, order, total, hot_rows), keys, before, after, hot_rows, lambda over: _measure(spec, function).over(over.rowsBetween(-before, after)), alias)
     if function in AGGREGATES or function in ("RANK", "DENSE_RANK"):
         return _by_peers(df, spec, function, keys, order, alias, total, hot_rows)
     placed = _numbered(df, keys, order, total, hot_rows)
@@ -97,7 +103,9 @@ def _split(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str
         return placed.withColumnRenamed(PLACE, alias)
     if function == "NTILE":
         return _ntile(placed, keys, int(spec["buckets"])).withColumnRenamed(PLACE, alias)
-    return _shifted(placed, spec, function, keys, alias)
+    offset = int(spec.get("offset", 1)) * (1 if function == "LAG" else -1)
+    shift = lambda over: F.lag(F.col(f"`{spec['column']}`"), offset, spec.get("default")).over(over)
+    return _with_halo(placed, keys, max(offset, 0), max(-offset, 0), hot_rows, shift, alias)
 
 
 def _parts(df: DataFrame, total: int, hot_rows: int) -> int:
@@ -155,15 +163,20 @@ def _ntile(placed: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return sized.withColumn(PLACE, tile.cast("bigint")).drop("__size")
 
 
-def _shifted(placed: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str], alias: str) -> DataFrame:
-    """LAG and LEAD: row n meets row n - offset of its group. The place spreads the join evenly."""
-    offset = int(spec.get("offset", 1)) * (1 if function == "LAG" else -1)
-    value = F.col(f"`{spec['column']}`")
-    source = placed.select(*_named(keys), (F.col(PLACE) + offset).alias(PLACE), value.alias(alias), F.lit(True).alias("__hit"))
-    met = join_null_safe(placed, source, [*keys, PLACE], "left_outer")
-    if spec.get("default") is not None:
-        met = met.withColumn(alias, F.when(F.col("__hit"), F.col(f"`{alias}`")).otherwise(F.lit(spec["default"])))
-    return met.drop(PLACE, "__hit")
+def _with_halo(placed: DataFrame, keys: list[str], before: int, after: int, hot_rows: int, measure: Callable[[Any], Column], alias: str) -> DataFrame:
+    """``measure`` over windows that reach ``before`` rows back and ``after`` rows ahead of a row's PLACE in its group.
+
+    Groups are cut into pieces of consecutive places, and the rows near a border are copied to the pieces whose frames reach them: a halo. A task
+    holds a piece and its halo, and a row is copied as often as pieces are in its reach, which is about once where frames are
+    shorter than pieces.
+    """
+    size = max(1, min(PIECE_ROWS, hot_rows), before + after)
+    piece = lambda place: F.floor(place / size).cast("bigint")
+    reached = F.sequence(F.greatest(piece(F.col(PLACE) - 1 - after), F.lit(0).cast("bigint")), piece(F.col(PLACE) - 1 + before))
+    copied = placed.withColumn(PIECE, F.explode(reached))
+    over = Window.partitionBy(*_named(keys), PIECE).orderBy(PLACE)
+    measured = copied.withColumn(alias, measure(over)).filter(F.col(PIECE) == piece(F.col(PLACE) - 1))
+    return measured.drop(PLACE, PIECE)
 
 
 def _whole_group(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str], alias: str) -> DataFrame:
@@ -239,6 +252,6 @@ def _sum_type(kind: T.DataType) -> T.DataType:
 
 
 def window_expression(df: DataFrame, expression: str, alias: str) -> DataFrame:
-    """Add a free ``f() OVER (...)`` SQL expression; filters on it belong above. Spark evaluates one group per task here,
-    so ``window`` is the form for groups without a known bound."""
+    """Add a free ``f() OVER (...)`` SQL expression; filters on it belong above. Spark evaluates one group per task here, so ``window`` is the
+    form for groups without a known bound: it has running and ROWS frames, and what is computed from its result is a column as any other."""
     return df.withColumn(alias, F.expr(expression))

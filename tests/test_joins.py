@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tablemill.operators import joins
 from tablemill.operators.joins import JoinError, join
 from tests.conftest import rows
 
@@ -87,3 +89,35 @@ def test_broadcast_needs_a_measured_bound(spark):
     texts = spark.range(10).selectExpr("repeat('x', 1000) as t")
     assert fits_broadcast(texts, size=20_000) and not fits_broadcast(texts, size=5_000)
     assert fits_broadcast(texts.limit(0))
+
+
+@pytest.mark.parametrize("kind", ["INNER", "LEFT", "RIGHT", "FULL"])
+@pytest.mark.parametrize("mirrored", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_band_join_agrees_with_a_nested_loop(spark, kind, mirrored, strict):
+    points = spark.sql("""select id as p, case when id % 13 = 0 then null when id = 14 then double('nan') when id = 15 then double('inf') when id = 16 then -double('inf')
+        else (id * 37 % 101) - 40 + (id % 4) / 8 end as x from range(150)""")
+    spans = spark.sql("""select id as s, case id when 3 then null when 4 then -double('inf') when 7 then -double('inf') when 8 then 200d else id * 3 % 89 - 45d end as lo,
+        case id when 5 then null when 4 then double('inf') when 6 then double('nan') when 7 then -100d when 8 then double('inf') else id * 3 % 89 - 45d + pow(2, id % 14 - 6) * if(id % 9 = 0, 0, 1) - if(id % 17 = 0, 1, 0) end as hi from range(70)""")
+    ops = (">", "<") if strict else (">=", "<=")
+    turned = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
+    if mirrored:
+        found = joins.join(spans, points, [{"leftColumn": c, "rightColumn": "x", "operator": turned[op]} for c, op in zip(("lo", "hi"), ops, strict=True)], kind)
+    else:
+        found = joins.join(points, spans, [{"leftColumn": "x", "rightColumn": c, "operator": op} for c, op in zip(("lo", "hi"), ops, strict=True)], kind)
+    one, other = (spans, points) if mirrored else (points, spans)
+    plain = one.join(other, F.expr(f"x {ops[0]} lo and x {ops[1]} hi"), joins.JOIN_TYPES[kind])
+    assert found.columns == plain.columns
+    assert rows(found.select("p", "s")) == rows(plain.select("p", "s"))
+
+
+def test_band_join_has_no_nested_loop_and_bounded_copies(spark, plan):
+    points = spark.range(4000).selectExpr("id as p", "timestamp_seconds(id * 977 % 100000) as x")
+    spans = spark.range(3000).selectExpr("id as s", "timestamp_seconds(id * 31 % 100000) as lo", "timestamp_seconds(id * 31 % 100000 + cast(pow(3, id % 9) as int)) as hi")
+    conditions = [{"leftColumn": "x", "rightColumn": "lo", "operator": ">="}, {"leftColumn": "x", "rightColumn": "hi", "operator": "<="}]
+    found = joins.join(points, spans, conditions)
+    assert "NestedLoop" not in plan(found) and "CartesianProduct" not in plan(found)
+    assert found.count() == points.join(spans, F.expr("x between lo and hi")).count()
+    assert joins.join(points.limit(0), spans, conditions).count() == 0 and joins.join(points, spans.limit(0), conditions, "LEFT").count() == 4000
+    both = joins.join(points, points.withColumnRenamed("x", "y"), [{"leftColumn": "p", "rightColumn": "p"}, *[{"leftColumn": "x", "rightColumn": "y", "operator": op} for op in (">=", "<=")]])
+    assert both.count() == 4000

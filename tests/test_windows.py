@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators import ordering
+from tablemill.operators import ordering, windows
 from tablemill.operators.windows import WindowError, window, with_position, with_read_order
 from tests.conftest import rows
 
@@ -38,6 +38,27 @@ def test_windows_without_partition(skewed, function, extra):
     assert rows(plain.withColumn("w", F.round("w", 6))) == rows(split.withColumn("w", F.round("w", 6)))
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("frame", [(3, 0), (0, 4), (2, 2), (0, 0), (150, 90)])
+@pytest.mark.parametrize("function", ["SUM", "MIN", "COUNT", "AVG"])
+def test_frames_in_pieces_with_a_halo(skewed, keys, frame, function):
+    spec = {"function": function, "column": "v", "partition_by": keys, "order_by": [{"column": "o"}, {"column": "id"}], "alias": "w", "frame": frame}
+    plain, split = window(skewed, spec, hot_rows=None), window(skewed, spec, hot_rows=20)
+    assert plain.columns == split.columns and plain.schema["w"].dataType == split.schema["w"].dataType
+    assert rows(plain.withColumn("w", F.round("w", 6))) == rows(split.withColumn("w", F.round("w", 6)))
+
+
+def test_no_task_has_more_than_a_piece_and_its_halo(skewed, monkeypatch):
+    seen = []
+    real = windows.Window.partitionBy
+    monkeypatch.setattr(windows.Window, "partitionBy", lambda *names: (seen.append(len(names)), real(*names))[1])
+    spec = {"function": "SUM", "column": "v", "partition_by": ["k"], "order_by": [{"column": "id"}], "alias": "w", "frame": (3, 0)}
+    placed = windows._numbered(skewed, ["k"], [F.col("id")], 240, 20)
+    assert window(skewed, spec, hot_rows=20).count() == 240 and 2 in seen
+    copied = placed.withColumn("p", F.explode(F.sequence(F.floor((F.col(windows.PLACE) - 1) / 20), F.floor((F.col(windows.PLACE) + 2) / 20))))
+    assert copied.groupBy("k", "p").count().agg(F.max("count")).first()[0] <= 23
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("function", ["SUM", "MAX", "COUNT"])
 def test_whole_group_aggregates(skewed, keys, function):
@@ -68,6 +89,9 @@ def test_both_paths_have_one_type(skewed, function, kind):
 def test_bad_specs(skewed):
     with pytest.raises(WindowError):
         window(skewed, {"function": "ROW_NUMBER", "partition_by": ["k"]})
+    for wrong in ({"frame": (3, 0)}, {"frame": (-1, 0), "order_by": [{"column": "o"}]}, {"frame": (1, 1), "function": "LAG", "order_by": [{"column": "o"}]}):
+        with pytest.raises(WindowError):
+            window(skewed, {"function": "SUM", "column": "v", "partition_by": ["k"], **wrong})
     with pytest.raises(WindowError):
         window(skewed, {"function": "MEDIAN", "partition_by": ["k"], "order_by": [{"column": "o"}]})
 
