@@ -9,8 +9,9 @@ not a sum of scores: a sequence of pieces is what merging gives exactly if every
 their joined text. So the states are (place, last piece), an arc weighs 0 where the two pieces may stand together and infinity
 otherwise; one path of finite weight is left, and each place has one finite state.
 
-No piece continues over a white-space mark that follows another character, and some characters occur in no longer piece. Every path
-passes a single state there, so the parts between are composed on their own and remembered by their text.
+No piece continues over a white-space mark that follows another character, some characters occur in no longer piece, and some never
+stand side by side in one. Every path passes a single state there, so the parts between are composed on their own and remembered by
+their text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,11 @@ UNIGRAM, BPE = 1, 2
 #: Arc weight of an unknown character in a unigram model, above that of its dearest piece.
 UNKNOWN_EXTRA = 10.0
 
-_REMEMBERED, _LONGEST_REMEMBERED = 250_000, 48
+#: Parts remembered in each of two generations: the older one goes when the younger is full, and parts met again move on.
+_REMEMBERED, _LONGEST_REMEMBERED = 600_000, 48
+
+#: Pairs of neighbours whose merging is remembered.
+_PAIRS = 1_000_000
 
 
 class Transducer:
@@ -51,20 +57,41 @@ class Transducer:
         self.unknown = next((n for n, (_, _, type_) in enumerate(pieces) if type_ == UNKNOWN), 0)
         self.bytes = {int(text[1:-1], 16): n for n, (text, _, type_) in enumerate(pieces) if type_ == BYTE}
         self.values: list[str | int | None] = [int(text[1:-1], 16) if type_ == BYTE else "" if type_ == CONTROL else None if type_ == UNKNOWN else text.replace(MARK, " ") for text, _, type_ in pieces]
-        self.reach: dict[str, int] = {}  # by its first two characters, the length of the longest piece
-        for text in self.ids:
-            self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
         self.longest = max(map(len, self.ids), default=1)
         self.dearest = max((-s for t, s, type_ in pieces if type_ == NORMAL), default=0.0) + UNKNOWN_EXTRA
-        inner = set(chain.from_iterable(text for text in self.ids if len(text) > 1))
-        alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in inner))
-        crossing = any(MARK in text.lstrip(MARK) for text in self.ids)
-        self._parts = re.compile("(?s).+" if crossing else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+")
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._parts = re.compile(self._part_pattern())
+        self._texts = [text for text, _, _ in pieces]
+        self._widths = [len(text) for text in self._texts]
+        self._characters = {text for text in self.ids if len(text) == 1}
+        known = re.escape("".join(sorted(self._characters)))
+        self._unknown_parts = re.compile(f"(?s)([{known}]+)|(.)" if known else "(?s)(^(?!))|(.)")
+        self._arcs = None
+        self._pairs: dict[int, bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pairs": {}, "_known": {}}
+        return self.__dict__ | {"_pairs": {}, "_known": {}, "_older": {}, "_arcs": None}
+
+    def _part_pattern(self) -> str:
+        """Parts of a text between places that every path passes in one state: no piece spans them, so nothing is merged over them.
+
+        These are the borders of characters that occur in no longer piece, those before white-space marks, and those between characters that
+        no piece has side by side: here a mark or digit (``ends``) after a character that none of them follows in a piece.
+        """
+        inner = set(chain.from_iterable(text for text in self.ids if len(text) > 1))
+        if any(MARK in text.lstrip(MARK) for text in self.ids):
+            return "(?s).+"
+        beside = {pair for text in self.ids for pair in zip(text, text[1:], strict=False)}
+        after_letters = {b for a, b in beside if a.isalpha()}
+        ends = {c for c in inner if not c.isalpha() and c != MARK and c not in after_letters}
+        before_ends = {a for a, b in beside if b in ends}
+        closed = {c for c in inner if c.isalpha() and c not in before_ends}
+        listed = lambda characters: re.escape("".join(sorted(characters)))
+        alone = listed(chr(c) for c in range(128) if chr(c) not in inner)
+        run = f"[^{MARK}{alone}{listed(ends)}]*"
+        more = f"(?:(?<![{listed(closed)}])[{listed(ends)}]{run})*" if ends and closed else ""
+        return f"[{alone}]|{MARK}*[^{MARK}{alone}]{run}{more}|{MARK}+"
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -79,17 +106,24 @@ class Transducer:
         return re.sub(" +", " ", text.strip(" ")) if self.squeeze else text
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self._known, []
-        for part in self._parts.findall(self.normalise(text)):
-            path = known.get(part)
-            if path is None:
-                path = self._shortest_path(part)
-                if len(part) <= _LONGEST_REMEMBERED:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[part] = path
-            ids.extend(path)
-        return ids
+        parts = self._parts.findall(self.normalise(text))
+        paths = list(map(self._known.get, parts))
+        if None in paths:
+            for n, path in enumerate(paths):
+                if path is None:
+                    paths[n] = self._path(parts[n])
+        return list(chain.from_iterable(paths))
+
+    def _path(self, part: str) -> tuple[int, ...]:
+        """The path of a part that the younger generation does not hold."""
+        path = self._older.get(part)
+        if path is None:
+            path = self._shortest_path(part)
+        if len(part) <= _LONGEST_REMEMBERED:
+            if len(self._known) >= _REMEMBERED:
+                self._known, self._older = {}, self._known
+            self._known[part] = path
+        return path
 
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids; bytes that are no UTF-8 become replacement characters, ids out of range raise IndexError."""
@@ -140,48 +174,50 @@ class Transducer:
         return best
 
     def _bpe_path(self, part: str) -> list[int]:
-        """The only path of finite weight: depth first, long pieces first. A place has one finite state, so a place that led nowhere
-        once never leads anywhere."""
-        ids, pairs, reach = self.ids, self._pairs, self.reach
-        size, place, first, before = len(part), 0, 0, -1
-        end = min(size, reach.get(part[:2], 1))
+        """The only path of finite weight. An unknown character has the one arc to its bytes, and nothing merges across it."""
+        if self._characters.issuperset(part):
+            return self._known_path(part)
         found: list[int] = []
-        stack: list[tuple[int, int, int, int]] = []
-        dead: set[int] = set()
-        while place < size:
-            piece = None
-            while end > place:
-                if end not in dead and (piece := ids.get(part[place:end])) is not None:
-                    allowed = pairs.get((before, piece))
-                    if allowed or (allowed is None and self._together(before, piece, part, first, place, end)):
-                        break
-                end -= 1
-            else:
-                if end < 0 or part[place] in ids:
-                    dead.add(place)
-                    place, first, before, end = stack.pop()
-                    end -= 1
-                    found.pop()
-                    continue
-                piece, end = -1, 0  # an unknown character: the one arc there is
-            stack.append((place, first, before, end))
-            found.append(piece)
-            first, before, place = place, piece, end if piece >= 0 else place + 1
-            end = min(size, place + reach.get(part[place : place + 2], 1))
-        if -1 not in found:
-            return found
-        places = [at for at, _, _, _ in stack]
-        return [n for at, piece in zip(places, found, strict=True) for n in ((piece,) if piece >= 0 else self._fallback(part[at]))]
-
-    def _together(self, before: int, piece: int, part: str, first: int, start: int, end: int) -> bool:
-        pair = (before, piece)
-        allowed = self._pairs.get(pair)
-        if allowed is None:
-            if len(self._pairs) >= 4 * _REMEMBERED:
-                self._pairs.clear()
-            # nothing merges with an unknown character or with the border
-            joined, cut = (part[start:end], 0) if before < 0 else (part[first:end], start - first)
-            allowed = self._pairs[pair] = self._merge(joined) == ([joined] if not cut else [joined[:cut], joined[cut:]])
+        for known, unknown in self._unknown_parts.findall(part):
+            found.extend(self._known_path(known) if known else self._fallback(unknown))
+        return found
+
+    def _known_path(self, part: str) -> list[int]:
+        """The path through known characters. Arcs come by the place they lead to; what leads to a place with finite weight is what merging
+        gives for the text up to there, so a place has one such state and further arcs to it are passed over."""
+        if self._arcs is None:
+            self._arcs = self._automaton()
+        pairs, widths, factor = self._pairs, self._widths, len(self.scores) + 1
+        states, starts = [-1, *[-2] * len(part)], [0] * (len(part) + 1)
+        for last, piece in self._arcs.iter(part):
+            end = last + 1
+            if states[end] != -2 or (before := states[start := end - widths[piece]]) == -2:
+                continue
+            allowed = pairs.get(before * factor + piece)
+            if allowed or (allowed is None and self._together(before, piece)):
+                states[end], starts[end] = piece, start
+        found = []
+        place = len(part)
+        while place:
+            found.append(states[place])
+            place = starts[place]
+        found.reverse()
+        return found
+
+    def _automaton(self):
+        """All pieces by their characters: composed with a text it gives every arc."""
+        arcs = ahocorasick.Automaton()
+        for text, n in self.ids.items():
+            arcs.add_word(text, n)
+        arcs.make_automaton()
+        return arcs
+
+    def _together(self, before: int, piece: int) -> bool:
+        """Whether two neighbours are what merging gives for their joined text; at a border, whether the piece is for its own."""
+        if len(self._pairs) >= _PAIRS:
+            self._pairs.clear()
+        texts = [self._texts[piece]] if before < 0 else [self._texts[before], self._texts[piece]]
+        allowed = self._pairs[before * (len(self.scores) + 1) + piece] = self._merge("".join(texts)) == texts
         return allowed
 
     def _merge(self, text: str) -> list[str]:
