@@ -54,6 +54,10 @@ AGAINST = r"(?i)\b(?:version|ver|v|isbn|issn|doi|figure|fig|table|section|chapte
 
 LABELERS = 4
 CONTEXT = 40
+
+#: Characters of the blocks in which a text's places are looked for.
+BLOCK = 1024
+
 EM_ROUNDS = 50
 
 
@@ -207,20 +211,35 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return fit((r["kind"], tuple(r[n] for n in names[:FEATURES]), tuple(r[n] for n in names[FEATURES:]), float(r["n"])) for r in counted)
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that share no place with any of ``others``, by one sort: before a span's end is met, the greatest end among the others that have
+    begun tells whether one of them reaches into it."""
+    end = lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("begins"), F.lit(0).alias("reach"), x["start"].alias("start"), x["kind"].alias("kind"))
+    start = lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("begins"), o["end"].alias("reach"), o["start"].alias("start"), o["kind"].alias("kind"))
+
+    def free(events: Column) -> Column:
+        reached = let(running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b)),
+                      lambda reach: F.filter(events, lambda e, i: (e["begins"] == 0) & (F.get(reach, i) <= e["start"])))
+        return F.transform(reached, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["at"].alias("end")))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(F.sort_array(F.concat(F.transform(spans, end), F.transform(others, start))), free))
+
+
 def with_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with arrays ``base`` and ``spans`` of (kind number, start, end), ordered by kind and start.
 
     ``base`` has the base patterns' matches that pass their checks. ``spans`` adds the further forms that pass, that touch no base span and no
-    added span of an earlier kind, and that the classifier takes for real.
+    added span of an earlier kind, and that the classifier takes for real. The work grows with a text's spans, but for the sorting.
     """
     short = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    apart = lambda x, others: ~F.exists(others, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
     docs = with_candidates(docs, text_col, "__found")
     docs = docs.withColumn("base", F.transform(F.filter("__found", lambda c: ~c["extra"] & c["valid"]), short))
-    more = F.filter("__found", lambda c: c["extra"] & c["valid"] & apart(c, F.col("base")) & (model.logit(c) > 0))
-    docs = docs.withColumn("__more", F.transform(more, short)).drop("__found")
-    added = F.filter("__more", lambda c: apart(c, F.filter("__more", lambda o: o["kind"] < c["kind"])))
-    return docs.withColumn("spans", F.sort_array(F.concat("base", added))).withColumn("base", F.sort_array("base")).drop("__more")
+    docs = docs.withColumn("__real", F.transform(F.filter("__found", lambda c: c["extra"] & c["valid"] & (model.logit(c) > 0)), short)).drop("__found")
+    docs = docs.withColumn("__more", _apart(F.col("__real"), F.col("base")))
+    earlier: Callable[[int], Callable[[Column], Column]] = lambda n: lambda s: s["kind"] < n
+    added = [F.filter("__more", _is_kind(0)), *[_apart(F.filter("__more", _is_kind(n)), F.filter("__more", earlier(n))) for n in range(1, len(KINDS))]]
+    spans = F.when(F.size("__more") == 0, F.col("base")).otherwise(F.concat("base", *added))
+    return docs.withColumn("spans", F.sort_array(spans)).withColumn("base", F.sort_array("base")).drop("__more", "__real")
 
 
 def as_text(spans: Column) -> Column:
@@ -245,6 +264,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return done.select(F.col("id").alias(id_col), *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text that is cut into blocks: a place is looked for in its block alone."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda n: F.coalesce(F.get(blocks, n), F.lit(""))
+    across = F.concat(F.substring(block(first), (start % BLOCK + 1).cast("int"), F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                      F.substring(block(last), F.lit(1), (end % BLOCK).cast("int")))
+    return F.when(first == last, F.substring(block(first), (start % BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise(across)
+
+
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``docs`` with every span in the text replaced by its kind in angle brackets, overlapping spans by those of all that
     begin or go on there. A null text stays null; columns keep their order."""
@@ -256,14 +284,14 @@ def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None)
     def cleaned(spans: Column) -> Column:
         ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
 
-        def build(reach: Column) -> Column:
+        def build(reach: Column, blocks: Column) -> Column:
             names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
             at = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
             parts = F.transform(spans, lambda s, i: F.when(s["end"] <= at(i), F.lit("")).otherwise(
-                F.concat(F.substring(text, at(i) + 1, F.greatest(s["start"] - at(i), F.lit(0))), F.get(names, s["kind"]))))
-            last = F.get(reach, F.size(reach) - 1)
-            return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text) - last))
+                F.concat(_between(blocks, at(i), F.greatest(s["start"], at(i))), F.get(names, s["kind"]))))
+            return F.concat(F.array_join(parts, ""), _between(blocks, F.get(reach, F.size(reach) - 1), F.length(text)))
 
-        return let(ends, build)
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        return let(ends, lambda reach: let(blocks, lambda cut: build(reach, cut)))
 
     return marked.withColumn(text_col, F.when(text.isNotNull() & (F.size("spans") > 0), let(ordered, cleaned)).otherwise(text)).select(*[F.col(f"`{c}`") for c in columns])

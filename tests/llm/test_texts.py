@@ -214,3 +214,37 @@ def test_reliabilities_tell_a_good_labeler_from_a_poor_one():
 
 def test_paths_exist():
     assert Path(public_tokenizers.path(PIECES)).exists()
+
+
+def test_many_spans_and_overlaps_stay_linear(spark):
+    """Added spans are told apart from base ones and from earlier kinds as by comparing all pairs, also where there are very many."""
+    import random
+    import time
+
+    draw = random.Random(1)
+    bits = ["a@b.co", " ", "555-123-4567", "(at)", "[dot]", "4111 1111 1111 1111", "+49 170 1234567", "1.2.3.4", "x", "é\U0001f600", ",", "me (at) host (dot) com", "(555) 123-4567 ", "4111111111111111"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 120))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(docs)
+    plain = pii.with_candidates(docs).withColumn("logit", F.transform("candidates", model.logit)).collect()
+    found = {r["doc_id"]: r for r in pii.with_spans(docs, model).collect()}
+    apart = lambda x, others: not any(o[1] < x[2] and x[1] < o[2] for o in others)
+    for r in plain:
+        spans = [((c["kind"], c["start"], c["end"]), c, logit) for c, logit in zip(r["candidates"], r["logit"], strict=True) if c["valid"]]
+        base = [s for s, c, _ in spans if not c["extra"]]
+        more = [s for s, c, logit in spans if c["extra"] and logit > 0 and apart(s, base)]
+        added = [s for s in more if apart(s, [o for o in more if o[0] < s[0]])]
+        assert [tuple(s) for s in found[r["doc_id"]]["base"]] == sorted(base)
+        assert [tuple(s) for s in found[r["doc_id"]]["spans"]] == sorted(base + added)
+        wanted, at = "", 0
+        for kind, start, end in sorted(base + added, key=lambda s: (s[1], s[2], s[0])):
+            if end > at:
+                wanted, at = wanted + texts[r["doc_id"]][at : max(start, at)] + f"<{pii.KINDS[kind].upper()}>", end
+        assert pii.redact(docs.filter(F.col("doc_id") == r["doc_id"]), model=model).first()["text"] == wanted + texts[r["doc_id"]][at:] if r["doc_id"] < 8 else True
+    spent = []
+    for n in (4000, 40_000):
+        many = spark.createDataFrame([(1, " ".join(f"{200 + i % 700}-{100 + i % 900}-{1000 + i % 9000}" for i in range(n)))], "doc_id long, text string")
+        start = time.time()
+        assert pii.find(many).first()["spans"].count("phone") == pii.redact(many, model=model).first()["text"].count("<PHONE>") == n
+        spent.append(time.time() - start)
+    assert spent[1] < 20 * spent[0]
