@@ -44,10 +44,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty and wordless texts have no shingles and link with nothing. Texts of one shingle set (repeated rows among
     them) are one node. A null id is never the smallest. An empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    signed = stage(source.mapInArrow(_signing(width), f"id {id_type}, n_shingles bigint, set_hash binary, signature binary"), "signed")
-    classes = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
+    signed = stage(source.mapInArrow(_signing(width), f"id {id_type}, digest bigint, n_shingles bigint, set_hash binary, signature binary"), "signed")
+    # the row whose text stands for the class: ids may be null or repeated, so that its digest names it too
+    row = F.min(F.struct("digest", F.col("id").isNull().alias("unnamed"), "id"))
+    classes = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), row.alias("row"), F.min("signature").alias("signature"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = _members(classes)
     sets = _candidate_sets(source, classes, members, width)
@@ -68,13 +71,13 @@ def _signing(width: int):
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 counts, hashes, signatures = [], [], []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     found = shingler.shingles(text.as_py())
                     counts.append(len(found))
                     hashes.append(xxhash.xxh3_128_digest(found) if len(found) else None)
                     signatures.append(signer.sign(found).astype(np.uint16).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signatures, pa.binary())],
-                                                 ["id", "n_shingles", "set_hash", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signatures, pa.binary())],
+                                                 ["id", "digest", "n_shingles", "set_hash", "signature"])
 
     return sign
 
@@ -112,7 +115,7 @@ def _members(classes: DataFrame) -> DataFrame:
 
 def _candidate_sets(source: DataFrame, classes: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes that share a bucket with another, from their texts."""
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "node", "set_hash")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("row", "node", "set_hash")
     wanted = broadcast_if_small(stage(wanted, "wanted"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +126,12 @@ def _candidate_sets(source: DataFrame, classes: DataFrame, members: DataFrame, w
                 nodes, found = [], []
                 for node, set_hash, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                     shingles = shingler.shingles(text)
-                    if xxhash.xxh3_128_digest(shingles) == set_hash:  # ids may repeat
+                    if xxhash.xxh3_128_digest(shingles) == set_hash:  # digests may meet by chance
                         nodes.append(node)
                         found.append(shingles.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("node", "set_hash", "text")
+    texts = source.join(wanted, (F.col("digest") == F.col("row.digest")) & F.col("id").eqNullSafe(F.col("row.id"))).select("node", "set_hash", "text")
     return stage(texts.mapInArrow(shingle, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
 
 

@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +66,29 @@ def test_near_groups_edges(spark):
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in rows) == [("2", 2, True), ("5", 5, True), ("5", 5, True), ("None", 5, False)]
 
 
+@pytest.mark.parametrize("ids", ["numbered", "null", "one"])
+def test_rows_without_an_id_of_their_own(spark, ids):
+    """2,000 rows whose ids are null or all the same: groups and time as with numbered ids, one named row telling each group."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(200):
+        base = words_of(rng, 40)
+        texts += [base, base, *[mutate(rng, base, rng.randrange(1, 4)) for _ in range(8)]]
+    sets = [shingle_set(t) for t in texts]
+    linked = [(i, j) for n in range(0, 2000, 10) for i in range(n, n + 10) for j in range(n, i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    wanted = closure(2000, linked)
+    own = [n if ids == "numbered" or n % 10 == 0 else None if ids == "null" else 1999 for n in range(2000)]
+    start = time.time()
+    found = hamming_join.near_groups(spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(zip(own, texts, strict=True))], "doc_id long, text string, n int")).collect()
+    assert time.time() - start < 60
+    least = {}
+    for n, w in enumerate(wanted):
+        if own[n] is not None:
+            least[w] = min(least.get(w, 10**9), own[n])
+    expected = sorted((str(own[n]), len(sets[n]), str(least.get(w))) for n, w in enumerate(wanted))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == expected
+
+
 def test_block_comparison_finds_what_the_leaders_miss(spark):
     rng = random.Random(5)
     base = words_of(rng, 120)
