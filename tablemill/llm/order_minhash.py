@@ -1,6 +1,8 @@
 """Order MinHash fingerprints of texts, sensitive to edit distance: DataFrame functions only.
 
-A text is cut into tokens (runs of at most 12 characters other than white space), and every ``k`` tokens in a row are a k-mer.
+A text is cut into tokens: runs of at most 24 characters other than white space, and the single characters of longer runs. Every ``k`` tokens
+in a row are a k-mer; one that begins inside a long run has twelve, so that texts without spaces have overlapping k-mers that are rare enough
+and don't depend on where the run begins.
 Repeated k-mers are told apart by their occurrence number. A hash of (k-mer, occurrence) deals each into one of ``cells``
 cells and orders it there; the ``length`` smallest of a cell are put back in the order of the text, and the hash of that
 tuple is the cell's part of the fingerprint. Texts that share k-mers in another order share few tuples, so the share of
@@ -20,7 +22,9 @@ from tablemill.session import stage
 
 K, LENGTH, CELLS = 3, 2, 32
 
-_TOKEN = r"\S{1,12}"
+# Characters of a run of more than 24 get a mark in front.
+_LONG, _IN_LONG, _MARK, _RUN_K = r"\S{25}", r"(?:(?<!\S)(?=\S{25})|\G(?<=\S))(\S)", "\x01", 12
+_TOKEN = r"\x01\S|\S{1,24}"
 #: A k-mer is one number: 35 bits of its hash above 28 bits of its position, so 268 million tokens have room in a text.
 _POSITION_BITS = 28
 _POSITION = (1 << _POSITION_BITS) - 1
@@ -37,10 +41,12 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", name: str = "fingerp
         raise ValueError("cells has to be a power of two up to 32, k and length at least 1")
     cell_bits = cells.bit_length() - 1
     words, kmers, sorted_, dealt, kept = (f"__omh_{part}" for part in ("words", "kmers", "sorted", "dealt", "kept"))
-    df = df.drop(name).withColumn(words, F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(_TOKEN), F.lit(0)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = F.when(text.rlike(_LONG), F.regexp_replace(text, F.lit(_IN_LONG), F.lit(f"{_MARK}$1"))).otherwise(text)
+    df = df.drop(name).withColumn(words, F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)))
 
     def kmer(word: Column, i: Column) -> Column:
-        hashed = F.xxhash64(word, *[F.get(F.col(words), i + j) for j in range(1, k)])
+        hashed = F.when(F.startswith(word, F.lit(_MARK)), F.xxhash64(F.slice(F.col(words), i + 1, _RUN_K))).otherwise(F.xxhash64(word, *[F.get(F.col(words), i + j) for j in range(1, k)]))
         return F.shiftleft(F.shiftrightunsigned(hashed, 29), _POSITION_BITS).bitwiseOR(i.cast("bigint"))
 
     found = F.slice(F.transform(F.col(words), kmer), F.lit(1), F.greatest(F.lit(1), F.size(words) - (k - 1)))
