@@ -140,6 +140,19 @@ def page(t: Tables) -> DataFrame:
     return ordering.page(t.orders.select("o_orderkey", "o_totalprice"), PRICE_ORDER, 3, 100)
 
 
+LINE_ORDER = [{"column": "l_extendedprice", "direction": "desc"}, {"column": "l_orderkey"}, {"column": "l_linenumber"}, {"column": "l_partkey"}, {"column": "l_suppkey"}]
+
+
+@query("lim_page_index", """WITH placed AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC NULLS FIRST,
+        l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM placed WHERE n BETWEEN 101 AND 200 OR n BETWEEN 4901 AND 5000""")
+def indexed_pages(t: Tables) -> DataFrame:
+    """Two pages, one of them far down, by one index."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    index = ordering.page_index(lines, LINE_ORDER, ranges=16)
+    return ordering.indexed_page(lines, index, LINE_ORDER, 2, 100).unionAll(ordering.indexed_page(lines, index, LINE_ORDER, 50, 100))
+
+
 @query("lim_page_summary", """SELECT count(*) AS total_count, CAST(ceil(count(*) / 100) AS BIGINT) AS total_pages, count(*) > 300 AS has_next, true AS has_previous,
     CAST(CASE WHEN count(*) > 200 THEN 201 ELSE 0 END AS BIGINT) AS showing_start, CAST(CASE WHEN count(*) > 200 THEN least(count(*), 300) ELSE 0 END AS BIGINT) AS showing_end
     FROM orders""")

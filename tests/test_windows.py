@@ -148,3 +148,31 @@ def test_previews_are_bounded(spark):
 
 def test_top_k_uses_a_heap(spark, plan):
     assert "TakeOrderedAndProject" in plan(ordering.top_k(spark.range(10).toDF("id"), ["id"], 3))
+
+
+@pytest.mark.parametrize("keys", [["v"], [{"column": "v", "direction": "desc"}], [{"column": "t", "direction": "desc"}, {"column": "v"}], ["t", {"column": "v", "direction": "desc"}]])
+def test_indexed_pages_agree_with_plain_ones(spark, keys, monkeypatch):
+    df = spark.range(400).selectExpr("id", "if(id % 7 = 0, null, cast(id % 23 as int)) as v", "if(id % 5 = 0, null, concat('t', cast(id % 3 as string))) as t")
+    df = df.union(spark.range(150).selectExpr("1000L", "5", "'t1'"))  # a run of equal rows
+    index = ordering.page_index(df, keys, ranges=7)
+    spans = index.orderBy("range").collect()
+    assert sum(s.n_rows for s in spans) == 550 and [s.rows_before for s in spans] == [sum(s.n_rows for s in spans[:i]) for i in range(len(spans))]
+    plain = [tuple(r) for n in range(1, 16) for r in ordering.page(df, keys, n, 40).collect()]
+    assert len(plain) == 550
+    assert [tuple(r) for n in range(1, 16) for r in ordering.indexed_page(df, index, keys, n, 40).collect()] == plain
+    monkeypatch.setattr(ordering, "NEAR_ROWS", 10)
+    assert [tuple(r) for n in (6, 14) for r in ordering.indexed_page(df, index, keys, n, 40).collect()] == plain[200:240] + plain[520:]
+
+
+def test_an_indexed_page_reads_its_ranges_only(spark, plan, tmp_path):
+    spark.range(5000).selectExpr("id", "id * 3 as v").repartitionByRange(5, "v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    index = ordering.page_index(df, ["v"], ranges=20)
+    shown = ordering.indexed_page(df, index, ["v"], 40, 100)
+    assert [r.id for r in shown.collect()] == list(range(3900, 4000))
+    assert "GreaterThanOrEqual(v,11250)" in plan(shown) and "LessThanOrEqual(v,12000)" in plan(shown)
+    empty = df.limit(0)
+    assert ordering.indexed_page(empty, ordering.page_index(empty, ["v"]), ["v"], 1, 10).count() == 0
+    assert ordering.indexed_page(df, index, ["v"], 51, 100).count() == 0
+    with pytest.raises(ValueError):
+        ordering.indexed_page(df, index, ["v"], 0, 100)
