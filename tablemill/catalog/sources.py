@@ -8,7 +8,7 @@ from tablemill.operators.filters import apply_filter
 from tablemill.operators.projection import calculate
 from tablemill.session import new_path, stage
 from tablemill.sinks import export, tables, versioned
-from tablemill.sources import files, jdbc
+from tablemill.sources import files, footers, jdbc
 from tablemill.streaming.copy import copy_new_files
 from tablemill.types import to_sink_types
 
@@ -83,6 +83,12 @@ def row_count(t: Tables) -> DataFrame:
     return jdbc.row_count(t.orders, "o_totalprice > 100000")
 
 
+@query("row_count_footers", """SELECT count(*) AS row_count, min(l_orderkey) AS min_l_orderkey, max(l_orderkey) AS max_l_orderkey,
+    min(l_linenumber) AS min_l_linenumber, max(l_linenumber) AS max_l_linenumber FROM lineitem""")
+def footer_counts(t: Tables) -> DataFrame:
+    return footers.footer_stats(t.spark, t.path("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 def customers(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
 
