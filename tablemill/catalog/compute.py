@@ -1,5 +1,7 @@
 """User code steps."""
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ def _grouped(t: Tables, **options: int) -> DataFrame:
     return compute.compute_grouped(t.events.select("user_id", "value"), ["user_id"], step, schema, merge, **options)
 
 
+@query("udf_compute_streamed", GROUPED)
+def streamed(t: Tables) -> DataFrame:
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, n, low, high = None, 0, float("inf"), float("-inf")
+        for rows in batches:
+            user, n, low, high = rows.user_id.iloc[0], n + len(rows), min(low, rows.value.min()), max(high, rows.value.max())
+        yield pd.DataFrame({"user_id": [user], "n": [n], "low": [low], "high": [high]})
+
+    return compute.compute_streamed(t.events.select("user_id", "value"), ["user_id"], step, "user_id bigint, n bigint, low double, high double")
+
+
 @query("udf_output_check", """SELECT * FROM (VALUES ('missing', 'risk'), ('added', 'flag'), ('removed', 'props'), ('all_null', 'flag')) v("check", column_name)
     WHERE (SELECT count(*) FROM events) > 0""")
 def output_check(t: Tables) -> DataFrame:

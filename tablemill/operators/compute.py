@@ -1,7 +1,8 @@
 """User code as a step: a function from an input frame to an output frame.
 
 Frames never change in place, so the input stays what it was. Code that Spark can express gets the DataFrame; row-local
-pandas code gets Arrow batches; pandas code per group gets whole groups, or for large groups a partial and a merge step.
+pandas code gets Arrow batches; pandas code per group gets whole groups, or for large groups a partial and a merge step, or
+an iterator over the batches of a group.
 """
 
 from __future__ import annotations
@@ -83,6 +84,22 @@ def compute_grouped(df: DataFrame, keys: Sequence[str], step: PandasStep, schema
     return partial.groupBy(*keys, "__round").applyInPandas(combine_round, shape).groupBy(*keys).applyInPandas(combine, shape)
 
 
+def compute_streamed(df: DataFrame, keys: Sequence[str], step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+                     schema: str | T.StructType) -> DataFrame:
+    """Pandas code per group of ``keys`` that reads its group batch by batch and yields results as it goes.
+
+    For groups that a task can't hold and whose results can't be merged: the worker holds one batch (the session's Arrow batch size) and
+    what ``step`` keeps. A group is read by one task, so a hot one takes long but fits; a step that ends early leaves the rest of its
+    group unread. Batches of a group come in no particular order.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for result in step(batches):
+            yield _checked(result)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema)
+
+
 def _checked(result: object) -> pd.DataFrame:
     if not isinstance(result, pd.DataFrame):
         raise ComputeError(f"a compute step returns a pandas DataFrame, not {type(result).__name__}")
