@@ -117,12 +117,16 @@ def build(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "
     """DataFrame per node id.
 
     A node with several children is by default planned once per child, so each branch prunes its own columns and rows
-    down to the scan. ``share="stage"`` writes such a node to the shared folder instead; use it for slow sources.
+    down to the scan. ``share="stage"`` writes such a node to the shared folder instead; use it for slow sources. A node whose
+    rows may differ from run to run (below a limit, a random value or user code) is written in either case, so that its branches
+    agree; a row order it had is not kept for its children.
     """
     nodes = {n["id"]: n for n in spec["nodes"]}
     parents = _inputs(spec, nodes)
     children = {n: sum(n in p for p in parents.values()) for n in nodes}
     frames: dict[str, DataFrame] = {}
+    forks = any(n > 1 for n in children.values())
+    volatile: dict[str, bool] = {}
     for name in _order(nodes, parents):
         kind, config = nodes[name]["type"], nodes[name].get("config", {})
         inputs = [frames[p] for p in parents[name]]
@@ -135,10 +139,27 @@ def build(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "
             df = ordering.union(inputs, config.get("distinct", False))
         else:
             df = UNARY[kind](inputs[0], config)
-        frames[name] = stage(df, name) if share == "stage" and children[name] > 1 else df
+        volatile[name] = forks and (any(volatile[p] for p in parents[name]) or _varies(kind, config, inputs, df))
+        shared = children[name] > 1 and (share == "stage" or volatile[name])
+        frames[name] = stage(df, name) if shared else df
+        volatile[name] = volatile[name] and not shared
     return frames
 
 
+def _varies(kind: str, config: Mapping[str, Any], inputs: list[DataFrame], df: DataFrame) -> bool:
+    """Whether a node can give other rows when it runs again, its inputs being the same."""
+    if kind in ("limit", "compute") or (kind == "source" and config.get("limit") is not None):
+        return True
+    if kind in ("calculated", "filter", "projection", "map", "validate"):
+        nothing = inputs[0].sparkSession.createDataFrame([], inputs[0].schema)
+        return not _deterministic(UNARY[kind](nothing, config))
+    return kind == "source" and not _deterministic(df)
+
+
+def _deterministic(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().analyzed().deterministic()
+
+
 def run(spec: Mapping[str, Any], sources: Mapping[str, Source], share: str = "plan") -> dict[str, DataFrame]:
     """DataFrames of the destination nodes, or of the nodes without children where there is no destination.
 

@@ -117,3 +117,44 @@ def test_copy_continues_where_it_stopped(spark, tmp_path):
     spark.range(20, 30).toDF("v").write.mode("append").parquet(source)
     copy_new_files(spark, source, target, events.schema, progress, step=step)
     assert rows(spark.read.parquet(target)) == sorted(((v, v * 10) for v in range(0, 30, 2)), key=repr)
+
+
+def test_streamed_groups_come_in_batches(spark, events):
+    def step(batches):
+        key, n, total, largest = None, 0, 0, 0
+        for batch in batches:
+            key, n, total, largest = batch.k.iloc[0], n + len(batch), total + batch.v.sum(), max(largest, len(batch))
+        yield pd.DataFrame({"k": [key], "n": [n], "s": [total], "largest": [largest]})
+
+    schema = "k bigint, n bigint, s bigint, largest bigint"
+    assert rows(compute.compute_streamed(events, ["k"], step, schema).drop("largest")) == rows(compute.compute_grouped(events, ["k"], stats, "k bigint, n bigint, s bigint"))
+    hot = spark.range(200_000).selectExpr("id % 2 * 0 as k", "id as v")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        [found] = compute.compute_streamed(hot, ["k"], step, schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found.n == 200_000 and found.largest <= 1000
+    assert compute.compute_streamed(events.limit(0), ["k"], step, schema).count() == 0
+    assert compute.compute_streamed(events, ["k"], lambda batches: iter([next(batches).head(1)]), "k bigint, v bigint").count() == 3
+    with pytest.raises(Exception, match="pandas DataFrame"):
+        compute.compute_streamed(events, ["k"], lambda batches: iter([3]), schema).collect()
+
+
+@pytest.mark.parametrize("node", [{"type": "limit", "config": {"rows": 20}}, {"type": "calculated", "config": {"columns": [{"name": "r", "expression": "rand()"}]}},
+                                  {"type": "filter", "config": {"filter": {"mode": "expression", "expression": "rand() < 0.5"}}}])
+def test_branches_of_a_varying_node_agree(events, node, plan):
+    spec = {"nodes": [{"id": "in", "type": "source", "config": {"table": "t"}}, {"id": "shared", **node}, {"id": "slim", "type": "projection", "config": {"selectedColumns": []}},
+                      {"id": "one", "type": "filter", "config": {"filter": {"mode": "expression", "expression": "k >= 0"}}}, {"id": "two", "type": "filter", "config": {"filter": {"mode": "expression", "expression": "v >= 0"}}}],
+            "edges": [{"source": "in", "target": "shared"}, {"source": "shared", "target": "slim"}, {"source": "slim", "target": "one"}, {"source": "slim", "target": "two"}]}
+    found = graph.run(spec, {"t": events.repartition(7)})
+    assert rows(found["one"]) == rows(found["two"]) == rows(found["one"])
+    assert "/slim-" in plan(found["two"]) and "/shared-" not in plan(found["two"])  # written where it forks
+
+
+def test_steady_nodes_are_planned_per_branch(events, plan):
+    spec = {"nodes": [{"id": "in", "type": "source", "config": {"table": "t"}}, {"id": "sorted", "type": "sort", "config": {"keys": ["v"]}},
+                      {"id": "one", "type": "filter", "config": {"filter": {"mode": "expression", "expression": "k = 0"}}}, {"id": "two", "type": "limit", "config": {"rows": 3}}],
+            "edges": [{"source": "in", "target": "sorted"}, {"source": "sorted", "target": "one"}, {"source": "sorted", "target": "two"}]}
+    found = graph.run(spec, {"t": events})
+    assert "/sorted-" not in plan(found["one"]) and rows(found["two"]) == [(0, 0), (0, 1), (0, 2)]
