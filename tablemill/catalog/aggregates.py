@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.catalog import Tables, query
-from tablemill.operators.aggregates import AggregateError, AUTO_GROUP, aggregate, check
+from tablemill.operators.aggregates import AggregateError, AUTO_GROUP, aggregate, aggregate_valid, check
 from tablemill.operators.filters import apply_filter
+from tablemill.operators.ordering import union
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
@@ -130,6 +131,19 @@ def validated(t: Tables) -> DataFrame:
     return aggregate(part, {"groupByColumns": ["p_brand"], "aggregateColumns": accepted[0]})
 
 
+@query("agg_problems", """SELECT 'sums' AS name, p_brand, CAST(sum(p_size) AS BIGINT) AS sizes, NULL AS problem FROM part GROUP BY p_brand
+    UNION ALL SELECT v.name, NULL, NULL, v.problem FROM (VALUES ('no column', 'SUM needs a source column'), ('other column', $$unknown source column 'weight'$$),
+        ('other column', 'unknown grouping columns: shelf')) v(name, problem)""")
+def problems_as_rows(t: Tables) -> DataFrame:
+    """Of several configurations, the results of the valid ones and the problems of the others."""
+    specs = {"no column": {"groupByColumns": ["p_brand"], "aggregateColumns": [measure("SUM", "", "s")]},
+             "other column": {"groupByColumns": ["shelf"], "aggregateColumns": [measure("SUM", "weight", "w")]},
+             "sums": {"groupByColumns": ["p_brand"], "aggregateColumns": [measure("SUM", "p_size", "sizes")]}}
+    results, report = aggregate_valid(t.part, specs)
+    found = [result.withColumn("name", F.lit(name)) for name, result in results.items()]
+    return union([*found, report.drop("number")]).select("name", "p_brand", F.col("sizes").cast("bigint").alias("sizes"), "problem")
+
+
 def pricing_summary(t: Tables) -> DataFrame:
     """Pricing summary over shipped lines: filter, calculated columns and eight aggregates in one scan and one shuffle."""
     shipped = apply_filter(t.lineitem, {"column": "l_shipdate", "operator": "<=", "value": "2000-09-02"})

@@ -204,3 +204,14 @@ def expressions(t: Tables) -> DataFrame:
     [number] = [e for e in numbers if not rules.check_expression(lines, e, "NUMERIC")]
     [text] = [e for e in texts if not rules.check_expression(lines, e, "STRING")]
     return lines.select("l_orderkey", "l_linenumber", F.expr(number).alias("v"), F.expr(text).alias("w"))
+
+
+@query("val_expression_problems", """SELECT 'double' AS name, NULL AS kind, count(*) AS n, round(sum(l_quantity * 2), 2) AS total FROM lineitem
+    UNION ALL SELECT v.name, v.kind, NULL, NULL FROM (VALUES ('cut', 'PARSE_SYNTAX_ERROR'), ('other column', 'UNRESOLVED_COLUMN'), ('text', 'TYPE')) v(name, kind)""")
+def expression_problems(t: Tables) -> DataFrame:
+    """The valid expressions measured over all rows, and what is wrong with the others."""
+    expressions = {"cut": ("l_quantity *", "NUMERIC"), "other column": ("weight * 2", "NUMERIC"), "text": ("upper(l_returnflag)", "NUMERIC"), "double": ("l_quantity * 2", "NUMERIC")}
+    valid, report = rules.valid_expressions(t.lineitem, expressions)
+    [name] = [c for c in valid.columns if c in expressions]
+    measured = valid.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col(f"`{name}`").cast("double")), 2).alias("total"))
+    return measured.unionByName(report.select("name", "kind"), allowMissingColumns=True).select("name", "kind", "n", "total")

@@ -78,25 +78,46 @@ def group_columns(spec: Mapping[str, Any], columns: Sequence[str]) -> list[str]:
     return [c for c in dict.fromkeys(chosen) if c not in aliases]
 
 
+def _named(spec: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """The aggregates of a configuration, each with an alias where it has a function."""
+    items = [dict(a) for a in spec.get("aggregateColumns", [])]
+    for item in items:
+        if item.get("function") and not item.get("alias"):
+            item["alias"] = default_alias(item)
+    return items
+
+
+def find_problems(df: DataFrame, spec: Mapping[str, Any], on_missing: str = "raise") -> list[str]:
+    """Everything that keeps ``aggregate`` from running ``spec``; no job runs."""
+    items = _named(spec)
+    if not items:
+        return []
+    problems = check(items, df.columns)
+    missing = [k for k in group_columns({**spec, "aggregateColumns": items}, df.columns) if k not in df.columns]
+    if missing and on_missing != "drop":
+        problems.append(f"unknown grouping columns: {', '.join(missing)}")
+    return problems
+
+
+def aggregate_valid(df: DataFrame, specs: Mapping[str, Mapping[str, Any]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Results of the named configurations that have no problem, and the problems of the others as rows (name, number, problem)."""
+    found = {name: find_problems(df, spec) for name, spec in specs.items()}
+    rows = [(name, number, problem) for name, problems in found.items() for number, problem in enumerate(problems, 1)]
+    report = df.sparkSession.createDataFrame(rows, "name string, number int, problem string")
+    return {name: aggregate(df, spec) for name, spec in specs.items() if not found[name]}, report
+
+
 def aggregate(df: DataFrame, spec: Mapping[str, Any], on_missing: str = "raise") -> DataFrame:
     """Apply ``{"groupByColumns", "aggregateColumns": [{"function", "column", "alias"}], "filter"?, "having"?}``.
 
     ``filter`` applies before grouping and ``having`` to the output columns. No aggregates means the input unchanged, no
     grouping columns one row. Unknown grouping columns raise, or are left out with ``on_missing="drop"``.
     """
-    items = [dict(a) for a in spec.get("aggregateColumns", [])]
+    items = _named(spec)
     if not items:
         return df
-    for item in items:
-        if item.get("function") and not item.get("alias"):
-            item["alias"] = default_alias(item)
-    problems = check(items, df.columns)
-    keys = group_columns({**spec, "aggregateColumns": items}, df.columns)
-    missing = [k for k in keys if k not in df.columns]
-    if missing and on_missing == "drop":
-        keys = [k for k in keys if k not in missing]
-    elif missing:
-        problems.append(f"unknown grouping columns: {', '.join(missing)}")
+    problems = find_problems(df, spec, on_missing)
+    keys = [k for k in group_columns({**spec, "aggregateColumns": items}, df.columns) if k in df.columns or on_missing != "drop"]
     if problems:
         raise AggregateError(problems)
     source = apply_filter(df, spec.get("filter"))

@@ -104,13 +104,27 @@ def fits_type(text: Column, type_name: str) -> Column:
 def check_expression(df: DataFrame, expression: str, expected: str | None = None) -> list[str]:
     """Problems of an expression over the columns of ``df``: syntax, unknown columns, argument counts and types as the
     analyser finds them, and a type family other than the expected one. No job runs."""
+    return [message for _, message in _expression_problems(df, expression, expected)]
+
+
+def _expression_problems(df: DataFrame, expression: str, expected: str | None) -> list[tuple[str, str]]:
+    """Kind and message of each problem; the kind is the analyser's condition without its sub-condition, or TYPE."""
     try:
         kind = df.select(F.expr(expression).alias("value")).schema["value"].dataType
     except (AnalysisException, ParseException) as error:
-        return [str(error).splitlines()[0]]
+        return [((error.getCondition() or "INVALID").split(".")[0], str(error).splitlines()[0])]
     if expected is None:
         return []
     wanted = df.sparkSession.createDataFrame([], f"value {spark_type(expected)}").schema["value"].dataType
     found = family(kind)
     agrees = found == family(wanted) or (family(wanted) == "DECIMAL" and found == "INTEGER")
-    return [] if agrees else [f"the expression is {found}, expected {family(wanted)}"]
+    return [] if agrees else [("TYPE", f"the expression is {found}, expected {family(wanted)}")]
+
+
+def valid_expressions(df: DataFrame, expressions: Mapping[str, tuple[str, str | None]]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a column for every named (expression, expected type) without problems, in place of one of that name, and the
+    problems of the others as rows (name, expression, kind, problem)."""
+    found = {name: _expression_problems(df, text, expected) for name, (text, expected) in expressions.items()}
+    rows = [(name, expressions[name][0], kind, problem) for name, problems in found.items() for kind, problem in problems]
+    report = df.sparkSession.createDataFrame(rows, "name string, expression string, kind string, problem string")
+    return df.withColumns({name: F.expr(text) for name, (text, _) in expressions.items() if not found[name]}), report

@@ -1,6 +1,6 @@
 import pytest
 
-from tablemill.operators.aggregates import AUTO_GROUP, AggregateError, aggregate, check
+from tablemill.operators.aggregates import AUTO_GROUP, AggregateError, aggregate, aggregate_valid, check
 from tests.conftest import rows
 
 
@@ -58,3 +58,13 @@ def test_having_and_filter(sales):
 
 def test_aggregates_partially_before_the_shuffle(sales, plan):
     assert "partial_sum" in plan(aggregate(sales, total(groupByColumns=["k"])))
+
+
+def test_problems_as_rows(sales):
+    column = sales.columns[0]
+    good = {"groupByColumns": [column], "aggregateColumns": [{"function": "COUNT"}]}
+    bad = {"groupByColumns": ["nowhere"], "aggregateColumns": [{"function": "MEDIAN", "column": column, "alias": "m"}]}
+    results, report = aggregate_valid(sales, {"good": good, "bad": bad, "none": {"aggregateColumns": []}})
+    assert set(results) == {"good", "none"} and rows(results["good"]) == rows(aggregate(sales, good))
+    assert [(n, i) for n, i, _ in rows(report)] == [("bad", 1), ("bad", 2)]
+    assert aggregate_valid(sales, {"good": good})[1].count() == 0

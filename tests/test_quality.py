@@ -89,3 +89,11 @@ def test_expressions(people):
 def test_patterns():
     assert rules.compose_pattern(["[A-Z]", "", "[0-9]*"]) == "^[A-Z][0-9]*.+$"
     assert rules.compose_pattern(["[A-Z]"], "[0-9]$") == "^[A-Z][0-9]$"
+
+
+def test_expression_problems_as_rows(people):
+    column = people.columns[0]
+    valid, report = rules.valid_expressions(people, {"ok": (f"`{column}`", None), "cut": ("1 +", None), "away": ("nowhere", None), "kind": ("'a'", "NUMERIC")})
+    assert valid.columns == [*people.columns, "ok"] and valid.count() == people.count()
+    assert sorted((r.name, r.kind) for r in report.collect()) == [("away", "UNRESOLVED_COLUMN"), ("cut", "PARSE_SYNTAX_ERROR"), ("kind", "TYPE")]
+    assert rules.valid_expressions(people, {})[1].count() == 0
