@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -72,10 +74,11 @@ def expression(spec: str | Mapping[str, Any]) -> Column:
 def calculate(df: DataFrame, columns: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Add ``[{"name", "expression", "dataType"?}]``. They may refer to each other in any order.
 
-    A name the input already has keeps the input's column, and the first of two equal names wins. Order is found by
-    analysis alone: every round adds all columns that resolve against the frame so far, until none is left.
+    A name the input already has keeps the input's column, and the first of two equal names wins. Every round adds the columns that
+    name no other column still waiting, and where there is none, all that resolve against the frame so far.
     """
     waiting: dict[str, Column] = {}
+    words: dict[str, set[str]] = {}
     present = {c.lower() for c in df.columns}
     for spec in columns:
         name = spec["name"]
@@ -83,14 +86,12 @@ def calculate(df: DataFrame, columns: Sequence[Mapping[str, Any]]) -> DataFrame:
             continue
         value = expression(spec["expression"])
         waiting[name] = value.cast(spark_type(spec["dataType"])) if spec.get("dataType") else value
+        words[name] = _words(spec["expression"])
     while waiting:
-        ready, problem = {}, None
-        for name, value in waiting.items():
-            try:
-                df.select(value.alias(name)).schema  # analysis only, no job
-                ready[name] = value
-            except AnalysisException as error:
-                problem = error
+        free = [n for n in waiting if not any(m.lower() in words[n] for m in waiting if m != n)]
+        ready, problem = _resolved(df, {n: waiting[n] for n in free})
+        if not ready:
+            ready, problem = _resolved(df, waiting)
         if not ready:
             raise ProjectionError(f"cannot resolve {sorted(waiting)}: {problem}") from problem
         df = df.withColumns(ready)
@@ -98,6 +99,24 @@ def calculate(df: DataFrame, columns: Sequence[Mapping[str, Any]]) -> DataFrame:
     return df
 
 
+def _words(spec: str | Mapping[str, Any]) -> set[str]:
+    """Names an expression may refer to, in lower case: its words and back-quoted names outside of text literals."""
+    text = re.sub(r"'(?:[^'\\]|\\.)*'", " ", spec) if isinstance(spec, str) else json.dumps(spec, default=str)
+    return {w.lower() for found in re.findall(r"`([^`]+)`|\"([^\"]+)\"|(\w+)", text) for w in found if w}
+
+
+def _resolved(df: DataFrame, columns: Mapping[str, Column]) -> tuple[dict[str, Column], AnalysisException | None]:
+    """The columns that resolve against ``df`` by analysis alone, and the last problem of the others."""
+    ready, problem = {}, None
+    for name, value in columns.items():
+        try:
+            df.select(value.alias(name)).schema  # no job
+            ready[name] = value
+        except AnalysisException as error:
+            problem = error
+    return ready, problem
+
+
 def computed(df: DataFrame, columns: Sequence[Mapping[str, str]]) -> DataFrame:
     """``SELECT *, expression AS alias`` for ``[{"alias", "expression"}]``, each over the input's own columns."""
     return df.select("*", *[expression(c["expression"]).alias(c["alias"]) for c in columns])

@@ -158,10 +158,11 @@ def with_dense_ids(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CheckedRows:
-    """Typed rows that fit the table, and the rejects as (row_number, first_column_value, column_name, value)."""
+    """Typed rows that fit the table, the rejects as (row_number, first_column_value, column_name, value), and (rows, fit) as one row."""
 
     good: DataFrame
     rejects: DataFrame
+    counts: DataFrame
 
 
 def check_rows(rows: DataFrame, schema: T.StructType, row_number: str) -> CheckedRows:
@@ -191,7 +192,8 @@ def check_rows(rows: DataFrame, schema: T.StructType, row_number: str) -> Checke
     checked = stage(cast.withColumn("__failed", found).drop(*[f"__raw_{i}" for i in range(len(fields))]), "checked")
     good = checked.filter(F.size("__failed") == 0).select("row_number", *[F.col(name).alias(f.name) for f, name in typed])
     rejects = checked.select("row_number", "first_column_value", F.explode("__failed").alias("f")).select("row_number", "first_column_value", "f.*")
-    return CheckedRows(good, rejects)
+    counts = checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("__failed") == 0).alias("fit"))
+    return CheckedRows(good, rejects, counts)
 
 
 def _cast_text(text: Column, kind: T.DataType, date_format: str | None = None) -> Column:
@@ -222,10 +224,13 @@ def append_checked(rows: DataFrame, path: str, row_number: str, log_path: str |
     table = existing(rows.sparkSession, path)
     if table is None:
         raise SinkError(f"no table at {path}")
-    source = stage(rows, "append")
-    checked = check_rows(without_blank_and_repeated(source, row_number), table.schema, row_number)
-    rejects = stage(checked.rejects, "rejects")
-    accepted = rejects.isEmpty()
+    source = stage(rows, "append") if log_path else rows
+    kept = without_blank_and_repeated(source, row_number)
+    if any(family(f.dataType) == "DATE" for f in table.schema.fields):
+        kept = stage(kept, "append")  # read for the formats and once more for the values
+    checked = check_rows(kept, table.schema, row_number)
+    found = checked.counts.first()
+    accepted = found["rows"] == found["fit"]
     if accepted:
         good = checked.good
         if ID_COLUMN in table.columns:
@@ -235,10 +240,10 @@ def append_checked(rows: DataFrame, path: str, row_number: str, log_path: str |
             good = good.withColumn(ACTIVE_COLUMN, F.lit(True))
         good.select([F.col(f"`{c}`") for c in table.columns]).write.mode("append").parquet(path)
     if log_path:
-        read, kept, refused = source.count(), checked.good.count(), rejects.select("row_number").distinct().count()
+        read, refused = source.count(), found["rows"] - found["fit"]
         entry = rows.sparkSession.range(1).select(
             F.current_timestamp().alias("logged_at"), F.lit(path).alias("path"), F.lit(read).cast("bigint").alias("rows_read"),
-            F.lit(read - kept - refused).cast("bigint").alias("rows_removed"), F.lit(kept if accepted else 0).cast("bigint").alias("rows_appended"),
+            F.lit(read - found["rows"]).cast("bigint").alias("rows_removed"), F.lit(found["fit"] if accepted else 0).cast("bigint").alias("rows_appended"),
             F.lit(refused).cast("bigint").alias("rows_rejected"))
         entry.write.mode("append").parquet(log_path)
-    return rejects
+    return checked.rejects
