@@ -32,7 +32,7 @@ HALVINGS, AHEAD = 40, 4
 
 @dataclass(frozen=True)
 class Mix:
-    """What a mix aims at. ``budget`` is in corpora (1: as many tokens as there are) or, with ``cover``, the least at which every document comes
+    """What a mix aims at. ``budget`` is in corpora (1: as many tokens as there are) or, with ``cover``, the least at which every document
     of a source that has tokens comes at least once; with ``empty_sources``, documents of sources without any token come once too. ``target_entropy`` is a share of the highest possible entropy (that of equal weights), ``max_repeats`` a limit
     for how often any source is read on average; both may be given, then the exponent meets both where it can."""
 

@@ -101,7 +101,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     parts AS (SELECT source, tokens, round(pow(tokens / most, a) / sum(pow(tokens / most, a)) OVER () * total, 3) AS part FROM shares, whole, exponent),
     readings AS (SELECT doc_id, source, n_tokens, part, epoch, md5('1:' || epoch || ':' || doc_id) AS key,
                         CAST(epoch * tokens AS DOUBLE) AS ahead
-                 FROM docs JOIN parts USING (source), range(0, 1000) r(epoch) WHERE epoch < ceil(part / tokens)),
+                 FROM (SELECT *, unnest(range(0, CAST(ceil(part / tokens) AS BIGINT))) AS epoch FROM docs JOIN parts USING (source))),
     started AS (SELECT *, ahead + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
                 FROM readings),
     blocks AS (SELECT greatest(1, round(sum(part) / 1000000)) AS blocks FROM parts),

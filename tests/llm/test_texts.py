@@ -1,15 +1,19 @@
 """Fingerprints, chats, languages, piece encodings and personal data."""
 
+import functools
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 from pathlib import Path
+from zlib import crc32
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tablemill.llm import chat, language, order_minhash, pii, sentencepieces
-from tablemill.llm.queries import PIECES
+from tablemill.llm.queries import PIECES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977} tail" for i in range(20_000))
@@ -138,6 +142,50 @@ def test_language(spark):
     assert language.identify(docs.limit(0)).collect() == []
 
 
+def test_predictions_by_the_definition(spark):
+    """The query against votes counted and added up one by one in plain Python."""
+    found = {r["doc_id"]: r for r in QUERIES["op7_word_backoff_language"](spark, FOLDER).collect()}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)  # by language and length, 0 for words
+    for doc in docs:
+        if doc["lang"] is not None and doc["text"] is not None and crc32(str(doc["doc_id"]).encode()) % 4 != 2:
+            for word in re.findall(r"[^\W\d_]+", doc["text"].lower()):
+                counts[doc["lang"], 0][word] += 1
+                for n in range(1, 6):
+                    marked = f"<{word}>" if n > 1 else word
+                    counts[doc["lang"], n].update(marked[i : i + n] for i in range(len(marked) - n + 1))
+    langs = sorted({lang for lang, _ in counts})
+    tops = {key: dict(sorted(((i, c) for i, c in made.items() if c >= 2), key=lambda p: (-p[1], p[0]))[: 10_000 if key[1] else 20_000]) for key, made in counts.items()}
+    known = [set().union(*(tops[lang, n] for lang in langs)) for n in range(6)]
+
+    def votes(item, n):
+        logs = [math.log((tops[lang, n].get(item, 0) + 0.5) / (sum(tops[lang, n].values()) + 0.5 * (len(known[n]) + 1))) for lang in langs]
+        return [x - sum(logs) / len(logs) for x in logs]
+
+    @functools.cache
+    def word_votes(word):
+        if word in known[0]:
+            return votes(word, 0)
+        for n in range(5, 0, -1):
+            marked = f"<{word}>" if n > 1 else word
+            hits = [votes(g, n) for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in known[n]]
+            if hits:
+                return [sum(v) / len(hits) for v in zip(*hits, strict=True)]
+        return [0.0] * len(langs)
+
+    assert len(found) == len(docs)
+    for doc in docs[::7]:
+        all_words = re.findall(r"[^\W\d_]+", (doc["text"] or "").lower())
+        row = found[doc["doc_id"]]
+        if not all_words:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        total = [sum(v) * min(1.0, 50 / len(all_words)) for v in zip(*map(word_votes, all_words), strict=True)]
+        weights = [math.exp(t - max(total)) for t in total]
+        assert row["score"] == pytest.approx(max(weights) / sum(weights), abs=1e-9)
+        assert row["lang_pred"] == langs[total.index(max(total))] or sorted(weights)[-2] > 1 - 1e-9
+
+
 def test_unknown_words_fall_back_to_shorter_grams():
     model = language.Model(["a", "b"], {"a": {"wort": 5}, "b": {"mot": 5}}, {"a": {"<wor": 4, "o": 9}, "b": {"mo": 3, "o": 1, "t>": 2}})
     assert model.predict("Wort")[0] == "a" and model.predict("worx")[0] == "a" and model.predict("moo")[0] == "b" and model.predict("oooh")[0] == "a"
