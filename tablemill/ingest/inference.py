@@ -38,20 +38,25 @@ def first_rows(df: DataFrame, columns: Sequence[str], row_key: str, rows: int) -
     return result
 
 
-def _hits(i: int, only_timed: bool = False) -> Column:
-    """Values that format i reads, summed over the counted readings."""
-    fmt = DATE_FORMATS[i]
-    read = (F.col("reading.layout") == layout(fmt)) & F.col("reading.second" if day_first(fmt) else "reading.first")
-    return F.sum(F.when(read & F.col("reading.timed") if only_timed else read, F.col("n")).otherwise(0))
+def _scores(readings: str) -> Column:
+    """Per format a struct of (hits, place, fmt, timed) from the counted readings of a column, an array of (reading, n). The largest struct
+    has the most hits and is the earliest format on a tie. Formats are data here, so the plan is small; a sum per format took longer to analyse
+    than to run."""
+    formats = ", ".join(f"struct({-i} AS place, '{f}' AS fmt, '{layout(f)}' AS layout, {day_first(f)} AS day_first, {has_time(f)} AS clock)"
+                        for i, f in enumerate(DATE_FORMATS))
+    read = f"filter({readings}, r -> r.reading.layout = f.layout AND if(f.day_first, r.reading.second, r.reading.first))"
+    return F.expr(f"""transform(array({formats}), f -> struct(aggregate({read}, 0L, (total, r) -> total + r.n) AS hits, f.place AS place, f.fmt AS fmt,
+        f.clock AND exists({read}, r -> r.reading.timed) AS timed))""")
 
 
 def _best_format() -> Column:
-    """Format with most hits, the earliest on a tie, if it covers more than the required share."""
-    best = F.greatest(*[F.col(f"h{i}") for i in range(len(DATE_FORMATS))])
-    chain = F.when(F.col("n") == 0, F.lit(None)).when(best / F.col("n") <= DATE_SHARE, F.lit(None))
-    for i, fmt in enumerate(DATE_FORMATS):
-        chain = chain.when(F.col(f"h{i}") == best, F.lit(fmt))
-    return chain
+    """The scored format if it covers more than the required share."""
+    return F.when(F.col("best.hits") / F.nullif(F.col("n"), F.lit(0)) > DATE_SHARE, F.col("best.fmt"))
+
+
+def _readings() -> Column:
+    """Counted readings of a column, of which there are a few dozen whatever the table."""
+    return F.collect_list(F.when(F.col("reading").isNotNull(), F.struct("reading", "n")))
 
 
 def date_formats(df: DataFrame, columns: Sequence[str] = (), row_key: str | None = None, first: int | None = None) -> DataFrame:
@@ -62,7 +67,7 @@ def date_formats(df: DataFrame, columns: Sequence[str] = (), row_key: str | None
     names = [c for c in (columns or df.columns) if c != row_key]
     cells = first_rows(df, names, row_key, first) if first and row_key else unpivot(df, names)
     counted = with_reading(cells, "value").groupBy("column_name", "reading").agg(F.count("value").alias("n"))
-    scored = counted.groupBy("column_name").agg(F.sum("n").alias("n"), *[_hits(i).alias(f"h{i}") for i in range(len(DATE_FORMATS))])
+    scored = counted.groupBy("column_name").agg(F.sum("n").alias("n"), _readings().alias("readings")).withColumn("best", F.array_max(_scores("readings")))
     return scored.select("column_name", _best_format().alias("date_format"))
 
 
@@ -74,9 +79,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     leaves room for fifty characters more than the longest value.
     """
     value = F.col("value")
-    cells = unpivot(df, columns).withColumn("decimal", value.rlike(r"^(\d+\.?\d*|\.\d+)$")).withColumn(
+    led = F.substring(value, 1, 1).between(".", "9")
+    cells = unpivot(df, columns).withColumn("decimal", F.when(value.isNotNull(), led & value.rlike(r"^(\d+\.?\d*|\.\d+)$"))).withColumn(
         "number", F.when(F.col("decimal"), value.try_cast("double")))
-    clock = [(i, f) for i, f in enumerate(DATE_FORMATS) if has_time(f)]
     counted = with_reading(cells, "value").groupBy("column_name", "reading").agg(
         F.count(value).alias("n"),
         F.max(F.length(value)).alias("longest"),
@@ -94,17 +99,13 @@ def infer_types(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.bool_and("decimals"), F.lit(True)).alias("decimals"),
         F.coalesce(F.bool_and("whole"), F.lit(True)).alias("whole"),
         F.coalesce(F.max("largest"), F.lit(0)).alias("largest"),
-        *[_hits(i).alias(f"h{i}") for i in range(len(DATE_FORMATS))],
-        *[_hits(i, True).alias(f"t{i}") for i, _ in clock],
+        _readings().alias("readings"),
     )
-    found = measured.withColumn("date_format", _best_format())
-    timed = F.lit(0)
-    for i, fmt in clock:
-        timed = F.when(F.col("date_format") == fmt, F.col(f"t{i}")).otherwise(timed)
+    found = measured.withColumn("best", F.array_max(_scores("readings"))).withColumn("date_format", _best_format())
     phone = F.lower("column_name").rlike("|".join(PHONE_WORDS))
     text = F.concat(F.lit("VARCHAR("), (F.coalesce(F.col("longest"), F.lit(0)) + SPARE_LENGTH).cast("string"), F.lit(")"))
     whole = F.when(F.col("largest") <= INTEGER_MAX, F.lit("INTEGER")).otherwise(F.lit("BIGINT"))
-    kind = (F.when(F.col("date_format").isNotNull(), F.when(timed > 0, F.lit("TIMESTAMP")).otherwise(F.lit("DATE")))
+    kind = (F.when(F.col("date_format").isNotNull(), F.when(F.col("best.timed"), F.lit("TIMESTAMP")).otherwise(F.lit("DATE")))
             .when(phone, F.lit(PHONE_TYPE))
             .when(F.col("plus"), text)
             .when(F.col("digits"), whole)

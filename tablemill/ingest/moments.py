@@ -84,7 +84,7 @@ def parse(text: Column, fmt: str) -> Column:
 
 def layout(fmt: str) -> str:
     """Separators and part order of a format, as ``with_reading`` reports them: Y when the year comes first, D otherwise."""
-    return ("Y" if fmt.startswith("%Y") else "D") + re.sub(r"(%.)+", "9", fmt)
+    return ("Y" if fmt.startswith("%Y") else "D") + re.sub(r"%.", "", fmt)
 
 
 def day_first(fmt: str) -> bool:
@@ -98,13 +98,13 @@ def with_reading(df: DataFrame, text: str) -> DataFrame:
     ``first`` says whether year-month-day, or else month-day-year, is a day of the calendar, ``second`` the same for
     day-month-year, and ``timed`` whether the time is other than midnight. Few distinct values come out, so a column's
     formats can be scored by counting them instead of parsing every value in every format. The steps are columns of
-    their own because Spark evaluates a column once, but an expression wherever it is repeated.
+    their own because Spark evaluates a column once, but an expression wherever it is repeated. Text without a digit in front meets no pattern.
     """
     column = F.col(f"`{text}`")
-    dated = df.withColumn("__date", F.when(column.rlike(READABLE), column))
+    dated = df.withColumn("__date", F.when(F.substring(column, 1, 1).between("0", "9") & column.rlike(READABLE), column))
     day = dated.withColumns({
         "__day": F.translate(F.substring_index("__date", " ", 1), "/.", "--"),
-        "__layout": F.regexp_replace("__date", r"\d+", "9"),
+        "__layout": F.translate("__date", "0123456789", ""),
         "__timed": F.contains("__date", F.lit(":")) & F.substring_index("__date", " ", -1).rlike("[1-9]"),
     })
     compact = ~F.contains("__day", F.lit("-"))
@@ -123,7 +123,7 @@ def with_reading(df: DataFrame, text: str) -> DataFrame:
 
 def _on_calendar(year: Column, month: Column, day: Column) -> Column:
     in_range = (year >= 1) & month.between(1, 12) & (day >= 1)
-    return F.when(in_range, day <= F.day(F.last_day(F.make_date(year, month, F.lit(1))))).otherwise(F.lit(False))
+    return F.when(in_range, (day <= 28) | (day <= F.day(F.last_day(F.make_date(year, month, F.lit(1)))))).otherwise(F.lit(False))
 
 
 def parse_any(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

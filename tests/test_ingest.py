@@ -72,13 +72,21 @@ def test_readings_agree_with_parsing(spark):
               "2024-01/05", "2024-01-05 ", "20240115 10:00:00"]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
     counted = with_reading(df, "v").withColumn("n", F.lit(1))
-    scores = counted.groupBy("i").agg(*[inference._hits(k).alias(f"h{k}") for k in range(len(DATE_FORMATS))], *[inference._hits(k, True).alias(f"t{k}") for k in range(len(DATE_FORMATS))])
+    scores = counted.groupBy("i").agg(inference._readings().alias("readings")).select("i", inference._scores("readings").alias("scores"))
     parsed = df.select("i", *[parse(F.col("v"), f).alias(f"m{k}") for k, f in enumerate(DATE_FORMATS)])
     for row in scores.join(parsed, "i").collect():
         for k, fmt in enumerate(DATE_FORMATS):
             moment = row[f"m{k}"]
-            assert bool(row[f"h{k}"]) == (moment is not None), (values[row.i], fmt)
-            assert bool(row[f"t{k}"]) == (moment is not None and moment.time().isoformat() != "00:00:00"), (values[row.i], fmt)
+            assert row.scores[k].fmt == fmt and row.scores[k].hits == (moment is not None), (values[row.i], fmt)
+            assert row.scores[k].timed == (moment is not None and moment.time().isoformat() != "00:00:00"), (values[row.i], fmt)
+
+
+def test_inference_of_columns_without_values_and_of_ties(spark):
+    rows = [("1/2/2024", None, "3", "x", ".5", "7+", "2024-01-05 00:00:00"), ("3/4/2024", None, "4.0", "", "5.", "8", "2024-01-06 00:00:00")]
+    df = spark.createDataFrame(rows, "tie string, none string, whole string, word string, part string, plus string, midnight string")
+    found = {r.column_name: (r.date_format, r.max_length, r.inferred_type) for r in inference.infer_types(df).collect()}
+    assert found == {"tie": ("%m/%d/%Y", 8, "DATE"), "none": (None, None, "INTEGER"), "whole": (None, 3, "INTEGER"), "word": (None, 1, "VARCHAR(51)"),
+                     "part": (None, 2, "REAL"), "plus": (None, 2, "VARCHAR(52)"), "midnight": ("%Y-%m-%d %H:%M:%S", 19, "DATE")}
 
 
 def test_parse_any_takes_the_first_format(spark):
