@@ -1,5 +1,7 @@
 """Sources and sinks. Sinks write to the shared work folder and read back what they wrote."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def where_limit(t: Tables) -> DataFrame:
     return jdbc.where_limit(t.orders, "o_orderstatus = 'F' AND o_totalprice > 100000", 1000).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src_key_ranges", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def key_ranges(t: Tables) -> DataFrame:
+    """A table read range by range of a key, as ``read_by_keys`` asks a database for it. Each range is a pushed filter."""
+    bounds, nulls = jdbc.key_bounds(t.orders, "o_custkey", 5_000, most=16)
+    ranges = [t.orders.filter(F.expr(condition)) for condition in jdbc.range_predicates("o_custkey", bounds, nulls)]
+    return reduce(DataFrame.unionAll, ranges).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query("src_csv", """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_type END AS p_type,
     CAST(p_size AS VARCHAR) AS p_size FROM part""")
 def csv(t: Tables) -> DataFrame:

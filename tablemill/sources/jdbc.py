@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values per database kind.
 DRIVERS = {
@@ -92,6 +96,56 @@ def read_chunked(spark: SparkSession, connection: Connection, table: str, column
     return where_limit(reader(spark, {**options, **chunk_options(column, low, high, chunk_rows, total)}).load(), where)
 
 
+def key_bounds(df: DataFrame, column: str, chunk_rows: int = FETCH_ROWS, most: int = 10_000) -> tuple[list[object], bool]:
+    """Ascending bounds that cut the values of ``column``, a number or a moment, into ranges of about ``chunk_rows`` rows however they are
+    distributed, and whether there are nulls. One aggregate with a sketch of bounded size; a bound is off by a tenth of a range at most, ``most`` ranges
+    come out, and a value that holds more rows than a range is not cut."""
+    kind = df.select(F.col(f"`{column}`")).schema[0].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"no ranges over {kind.simpleString()}: {column}")
+    value = F.col(f"`{column}`")
+    total, filled, low = df.agg(F.count(F.lit(1)), F.count(value), F.min(value)).first()
+    parts = max(1, min(most, -(-filled // chunk_rows)))
+    if parts == 1:
+        return [], total > filled
+    found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
+    return [bound for bound in dict.fromkeys(found) if bound > low and not (isinstance(bound, float) and not math.isfinite(bound))], total > filled
+
+
+def sql_literal(value: object, kind: str | None = None) -> str:
+    """A bound as SQL of a database kind."""
+    if isinstance(value, dt.datetime):
+        text = value.isoformat("T" if kind == "sqlserver" else " ", "microseconds" if value.microsecond else "seconds")
+        return f"'{text}'" if kind == "sqlserver" else f"TIMESTAMP '{text}'"
+    if isinstance(value, dt.date):
+        return f"'{value.isoformat()}'" if kind == "sqlserver" else f"DATE '{value.isoformat()}'"
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    return repr(value)
+
+
+def range_predicates(name: str, bounds: Sequence[object], nulls: bool, kind: str | None = None) -> list[str]:
+    """One condition per range between ``bounds``; every row meets exactly one of them. ``name`` is the column as the database quotes it."""
+    cuts = [sql_literal(b, kind) for b in bounds]
+    ranges = [" AND ".join([f"{name} >= {low}"] * (low is not None) + [f"{name} < {high}"] * (high is not None))
+              for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+    return [r or f"{name} IS NOT NULL" for r in ranges] + [f"{name} IS NULL"] * nulls
+
+
+def read_by_keys(spark: SparkSession, connection: Connection, table: str, column: str, schema: str | None = None, where: str | None = None,
+                 chunk_rows: int = FETCH_ROWS) -> DataFrame:
+    """A table scan split where the values of ``column`` lie, so that gaps and dense stretches of a key give tasks of like size.
+
+    The key column is read once before, in equal widths and with ``where`` applied. Rows that change their key meanwhile are seen as by any
+    scan of several connections: once, twice or not at all."""
+    keys = read_chunked(spark, connection, table, column, schema, where, chunk_rows).select(F.col(f"`{column}`"))
+    bounds, nulls = key_bounds(keys, column, chunk_rows)
+    options = read_options(connection, table, schema, chunk_rows)
+    url, name = options.pop("url"), options.pop("dbtable")
+    predicates = range_predicates(connection.table(column), bounds, nulls, connection.kind)
+    return where_limit(spark.read.jdbc(url, name, predicates=predicates, properties=options), where)
+
+
 def where_limit(df: DataFrame, where: str | None = None, limit: int | None = None) -> DataFrame:
     """A source's own ``whereClause`` and ``limit``."""
     filtered = df.filter(F.expr(where)) if where else df

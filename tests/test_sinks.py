@@ -1,4 +1,7 @@
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from tablemill.operators import table_changes as change
 from tablemill.session import new_path, work_dir
@@ -161,3 +164,28 @@ def test_jdbc_chunks():
     assert jdbc.chunk_options("id", 1, 1, 10_000, 0)["numPartitions"] == "1"
     with pytest.raises(ValueError):
         jdbc.Connection("db2", "h", "d")
+
+
+def test_ranges_follow_the_keys(spark):
+    """Every row meets one condition, and ranges are even where keys are dense, gappy, repeated or null."""
+    frame = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id < 15000 THEN id ELSE id * id END AS gappy", "CASE WHEN id < 8000 THEN 7 ELSE id END AS heavy",
+        "date_add(DATE '2020-01-01', CAST(sqrt(id) AS INT)) AS day", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, pow(id, 1.5)) AS moment",
+        "CAST(id AS DECIMAL(20, 2)) / 7 AS part", "id / 3.0e0 AS number")
+    for column in frame.columns:
+        bounds, nulls = jdbc.key_bounds(frame, column, 1000)
+        conditions = jdbc.range_predicates(f"`{column}`", bounds, nulls)
+        counts = frame.agg(*[F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(conditions)]).first()
+        assert sum(counts) == 20_000 and nulls == (column == "gappy"), column
+        assert sorted(counts)[-2] < 1300 and max(counts) < (9_300 if column == "heavy" else 1300), (column, counts)
+    assert jdbc.key_bounds(frame, "gappy", 50_000) == ([], True) and jdbc.key_bounds(frame.limit(0), "gappy") == ([], False)
+    assert jdbc.range_predicates("k", [], True) == ["k IS NOT NULL", "k IS NULL"]
+    with pytest.raises(ValueError):
+        jdbc.key_bounds(frame.selectExpr("CAST(gappy AS STRING) AS text"), "text")
+
+
+def test_range_literals():
+    moment = dt.datetime(2024, 1, 5, 10, 11, 12, 500000)
+    assert jdbc.range_predicates("[k]", [moment], False, "sqlserver") == ["[k] < '2024-01-05T10:11:12.500000'", "[k] >= '2024-01-05T10:11:12.500000'"]
+    assert jdbc.range_predicates('"k"', [dt.date(2024, 1, 5)], False, "oracle") == ["\"k\" < DATE '2024-01-05'", "\"k\" >= DATE '2024-01-05'"]
+    assert jdbc.range_predicates("k", [1, 5], False) == ["k < 1", "k >= 1 AND k < 5", "k >= 5"]
