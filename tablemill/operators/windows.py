@@ -109,9 +109,10 @@ def _split(df: DataFrame, spec: Mapping[str, Any], function: str, keys: list[str
 
 
 def _parts(df: DataFrame, total: int, hot_rows: int) -> int:
-    """Number of pieces: the session's parallelism where there is work for it, and more where pieces would be too large."""
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(default, -(-total // PIECE_ROWS)), -(-4 * total // hot_rows))
+    """Number of pieces: the session's parallelism where there is work for it, and more where pieces would be too large. A piece is a task,
+    so beyond that parallelism none is cut below PIECE_ROWS, however small ``hot_rows`` is."""
+    default, full = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_ROWS)
+    return max(1, min(default, full), min(-(-4 * total // hot_rows), max(default, full)))
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], total: int, hot_rows: int) -> DataFrame:

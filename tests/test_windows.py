@@ -176,3 +176,9 @@ def test_an_indexed_page_reads_its_ranges_only(spark, plan, tmp_path):
     assert ordering.indexed_page(df, index, ["v"], 51, 100).count() == 0
     with pytest.raises(ValueError):
         ordering.indexed_page(df, index, ["v"], 0, 100)
+
+
+def test_small_hot_rows_do_not_make_a_task_of_every_few_rows(spark):
+    """Pieces are tasks: with groups cut at few rows there are no more of them than the session works on at once, or of PIECE_ROWS each."""
+    assert windows._parts(spark.range(1), 1_000_000, 10) == windows._parts(spark.range(1), 1_000_000, 500) == 1_000_000 // windows.PIECE_ROWS
+    assert windows._parts(spark.range(1), 100_000_000, 2_000_000) == 200
