@@ -121,3 +121,21 @@ def test_band_join_has_no_nested_loop_and_bounded_copies(spark, plan):
     assert joins.join(points.limit(0), spans, conditions).count() == 0 and joins.join(points, spans.limit(0), conditions, "LEFT").count() == 4000
     both = joins.join(points, points.withColumnRenamed("x", "y"), [{"leftColumn": "p", "rightColumn": "p"}, *[{"leftColumn": "x", "rightColumn": "y", "operator": op} for op in (">=", "<=")]])
     assert both.count() == 4000
+
+
+@pytest.mark.parametrize("kind", ["INNER", "FULL"])
+def test_crowded_bins_are_cut_into_blocks(spark, kind, monkeypatch, plan):
+    """Most points and spans in one bin: every pair is found once, no side is broadcast, and pairs are not written."""
+    points = spark.range(300).selectExpr("id as p", "if(id < 200, 5d, id / 10) as x").repartition(3)
+    spans = spark.range(90).selectExpr("id as s", "if(id < 60, 4d, id + 0d) as lo", "if(id < 60, 6.5d, id + id % 3) as hi")
+    conditions = [{"leftColumn": "x", "rightColumn": "lo", "operator": ">="}, {"leftColumn": "x", "rightColumn": "hi", "operator": "<"}]
+    staged, real = [], joins.stage
+    monkeypatch.setattr(joins, "stage", lambda df, label: (staged.append(label), real(df, label))[1])
+    monkeypatch.setattr(joins.band_join, "__defaults__", (7,))
+    found = joins.join(points, spans, conditions, kind)
+    shown = plan(found)
+    assert rows(found) == rows(points.join(spans, F.expr("x >= lo and x < hi"), joins.JOIN_TYPES[kind]))
+    assert "NestedLoop" not in shown and "band" not in staged and "SortMergeJoin" in shown
+    band = joins.find_band(points, spans, [("x", "lo", ">="), ("x", "hi", "<")])
+    for side in joins._blocks(points, spans, band, 7):
+        assert side.groupBy("__level", "__bin", "__point_part", "__span_part").count().agg(F.max("count")).first()[0] < 60
