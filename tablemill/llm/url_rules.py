@@ -5,8 +5,9 @@ combinations that are frequent among labelled pages, a page of the blocked class
 that token are pruned by support, confidence, lift and significance, and matched by an inverted index: a rule is filed under its rarest
 token, so a page only meets rules of which it has that token, and then has to have all others.
 
-Before mining, tokens below the support go, tokens that stand in exactly the same labelled pages become one (a host implies its labels), and a
-URL keeps those whose share of blocked pages deviates most. Rules are made of kept tokens; pages are judged by all of theirs.
+Before mining, tokens that no rule can hold go, and tokens that stand in exactly the same labelled pages become one (a host implies its labels).
+A token that is a rule by itself is taken out of the combinations, as a page that has it is blocked whatever else it has. All other tokens of
+all labelled pages are mined, however many a URL has.
 """
 
 from __future__ import annotations
@@ -29,9 +30,6 @@ LEAST_SUPPORT, LEAST_ROWS, LEAST_CONFIDENCE = 0.002, 5, 0.6
 #: many pages.
 LEAST_LIFT, LEAST_DEVIATIONS = 2.0, 4.0
 
-#: Tokens of one labelled URL that combinations are made of. A URL of n tokens has 2^n combinations, so this bounds the mining.
-MOST_TOKENS = 10
-
 BLOCKED = "#blocked"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,26 +98,36 @@ def tokens(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
-def kept_tokens(rows: DataFrame, least: int, share: float, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """(row, tokens) for the rows of (row, tokens, blocked) that keep any token.
-
-    A token has to stand in ``least`` rows; of tokens that stand in the same rows (told by a hash over them) the first by name is kept; a row
-    keeps the ``most_tokens`` whose share of blocked rows deviates most from ``share``, measured in standard deviations, the first by name of equals.
-    """
+def counted_tokens(rows: DataFrame, least: int) -> DataFrame:
+    """(token, n, hits), staged, of the tokens of (row, tokens, blocked) that stand in ``least`` rows; of tokens that stand in the same rows (told by a
+    hash over them) the first by name is kept."""
     each = rows.select("row", "blocked", F.explode("tokens").alias("token"))
     counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("hits"), F.bit_xor(F.xxhash64("row")).alias("where")).filter(F.col("n") >= least)
-    alone = counted.groupBy("n", "hits", "where").agg(F.min("token").alias("token"))
+    return stage(counted.groupBy("n", "hits", "where").agg(F.min("token").alias("token")).select("token", "n", "hits"), "tokens")
+
+
+def kept_tokens(rows: DataFrame, counted: DataFrame, share: float, most_tokens: int | None = None) -> DataFrame:
+    """(row, tokens) for the rows of (row, tokens, blocked) that keep any token of ``counted`` (token, n, hits).
+
+    With ``most_tokens``, only for callers who want fewer combinations, a row keeps as many whose share of blocked rows deviates most from ``share``,
+    measured in standard deviations, the first by name of equals.
+    """
+    each = rows.select("row", F.explode("tokens").alias("token"))
     away = F.round(F.abs(F.col("hits") - F.lit(share) * F.col("n")) / F.sqrt("n"), 9)
-    ranked = stage(alone.select("token", F.struct((-away).alias("away"), F.col("token")).alias("rank")), "tokens")
-    best = each.join(broadcast_if_small(ranked), "token").groupBy("row").agg(F.slice(F.sort_array(F.collect_list("rank")), 1, most_tokens).alias("ranks"))
+    ranked = counted.select("token", F.struct((-away).alias("away"), F.col("token")).alias("rank"))
+    ranks = F.sort_array(F.collect_list("rank"))
+    best = each.join(broadcast_if_small(ranked), "token").groupBy("row").agg((ranks if most_tokens is None else F.slice(ranks, 1, most_tokens)).alias("ranks"))
     return best.select("row", F.transform("ranks", lambda r: r["token"]).alias("tokens"))
 
 
 def mine(labelled: DataFrame, least_support: float = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE, least_rows: int = LEAST_ROWS,
-         least_lift: float = LEAST_LIFT, least_deviations: float = LEAST_DEVIATIONS, most_tokens: int = MOST_TOKENS) -> DataFrame:
+         least_lift: float = LEAST_LIFT, least_deviations: float = LEAST_DEVIATIONS, most_tokens: int | None = None) -> DataFrame:
     """Rules (antecedent, filed, confidence, support) from ``labelled`` (tokens, blocked), staged. ``filed`` is the rarest token of the antecedent.
 
     Rows without tokens and with a null ``blocked`` are left out; without any row, and where all rows or none are blocked, there are no rules.
+    A URL has a rule among its tokens if and only if it has one among all combinations: of those that contain a rule of one token only that
+    rule is returned, and a combination has to stand in as many blocked rows as a rule without any other row needs for its deviation.
+    ``most_tokens`` mines all combinations, those of single rules too, of as many tokens a row.
     """
     schema = "antecedent array<string>, filed string, confidence double, support double"
     known = labelled.filter(F.col("blocked").isNotNull() & (F.size("tokens") > 0))
@@ -129,17 +137,28 @@ def mine(labelled: DataFrame, least_support: float = LEAST_SUPPORT, least_confid
         return labelled.sparkSession.createDataFrame([], schema)
     n, share = whole["n"], whole["blocked"] / whole["n"]
     least = max(least_rows, math.ceil(least_support * n))
-    few = rows.select("row", "blocked").join(kept_tokens(rows, least, share, most_tokens), "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    counted, alone = counted_tokens(rows, least), None
+
+    def holds(confidence: Column, count: Column) -> Column:
+        deviations = (confidence - share) / F.sqrt(F.lit(share * (1 - share)) / count)
+        return (confidence >= least_confidence) & (confidence * (1 - share) >= least_lift * share * (1 - confidence)) & (deviations >= least_deviations)
+
+    if most_tokens is None:
+        least = max(least, math.ceil(least_deviations ** 2 * share / (1 - share) - 1e-6))  # the deviation of h blocked rows and no other is sqrt(h * (1 - share) / share)
+        judged = counted.filter(F.col("hits") >= least).withColumn("rule", holds(F.col("hits") / F.col("n"), F.col("n")))
+        alone, counted = judged.filter("rule"), judged.filter("not rule")
+    few = rows.select("row", "blocked").join(kept_tokens(rows, counted, share, most_tokens), "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     items = stage(few.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items")), "transactions")
     partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=least_confidence, numPartitions=partitions).fit(items)
-    deviations = (F.col("confidence") - share) / F.sqrt(F.lit(share * (1 - share)) / (F.col("support") * n / F.col("confidence")))
-    apart = (F.col("confidence") * (1 - share) >= least_lift * share * (1 - F.col("confidence"))) & (deviations >= least_deviations)
+    apart = holds(F.col("confidence"), F.col("support") * n / F.col("confidence"))
     found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCKED))) & apart).select("antecedent", "confidence", "support")
     rules = stage(found, "rules")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     filed = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
     filed = filed.groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("filed"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    if alone is not None:
+        filed = filed.unionByName(alone.select(F.array("token").alias("antecedent"), F.col("token").alias("filed"), (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / n).alias("support")))
     return stage(filed, "filed")
 
 

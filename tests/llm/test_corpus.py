@@ -254,6 +254,28 @@ def test_no_rule_is_missing(spark):
         assert math.isclose(found[key]["confidence"], confidence) and math.isclose(found[key]["support"], support)
 
 
+def test_rules_of_urls_with_many_tokens_are_all_found(spark):
+    """A rule whose tokens are the least telling ones of URLs with many: nothing is dropped, and verdicts are those of all combinations counted one by one."""
+    rng = random.Random(3)
+    labelled = []
+    for i in range(400):
+        tokens = {f"t{k:02d}" for k in range(11) if rng.random() < 0.6} | {t for t in ("x", "y") if rng.random() < 0.5}
+        labelled.append((sorted(tokens), rng.random() < (0.95 if {"x", "y", "t00"} <= tokens else 0.2 + 0.06 * len(tokens & {"t01", "t02", "t03", "t04"}) - 0.1 * len(tokens & {"x", "y"}))))
+    assert max(len(tokens) for tokens, _ in labelled) > 10
+    found = [set(r["antecedent"]) for r in url_rules.mine(spark.createDataFrame(labelled, "tokens array<string>, blocked boolean")).collect()]
+    n, share = len(labelled), sum(b for _, b in labelled) / len(labelled)
+    names = sorted({t for tokens, _ in labelled for t in tokens})
+    bits = [(sum(1 << names.index(t) for t in tokens), b) for tokens, b in labelled]
+    rules = []
+    for mask in range(1, 1 << len(names)):
+        having = [b for row, b in bits if row & mask == mask]
+        hits = sum(having)
+        if hits >= 5 and (c := hits / len(having)) >= 0.6 and c * (1 - share) >= 2 * share * (1 - c) and (c - share) / math.sqrt(share * (1 - share) / len(having)) >= 4:
+            rules.append(mask)
+    assert rules and [any(row & mask == mask for mask in rules) for row, _ in bits] == [any(rule <= set(tokens) for rule in found) for tokens, _ in labelled]
+    assert any({"x", "y"} <= rule for rule in found)
+
+
 @pytest.mark.parametrize("copies", [1, 3, 400])
 def test_a_url_of_many_tokens_does_not_explode(spark, copies):
     long = "http://long.net/x?" + "&".join(f"k{i}=1" for i in range(60))
