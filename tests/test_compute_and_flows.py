@@ -1,5 +1,7 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.operators import compute
 from tablemill.plans import graph
@@ -31,6 +33,29 @@ def test_grouped_with_hot_groups(events):
     assert parts.count() > 3 and sum(r.n for r in parts.collect()) == same.count() > max(r.n for r in parts.collect())
 
 
+def test_small_parts_share_a_call_of_the_worker(spark, monkeypatch):
+    """Many groups in parts of a few rows: a step sees what it would see alone, nulls and large numbers included, and Spark calls the worker for buckets."""
+    table = spark.range(400).selectExpr("nullif(id % 97, 5) as k", "if(id % 11 = 0, null, 9007199254740993 + id) as v", "if(id % 7 = 0, null, id % 2 = 0) as b",
+                                        "if(id % 13 = 0, null, id / 4) as x", "if(id % 5 = 0, null, concat('s', id)) as s", "date '2020-01-01' as d").repartition(5)
+
+    def shown(part):
+        return pd.DataFrame({"k": [None if pd.isna(part.k.iloc[0]) else int(part.k.iloc[0])], "n": [len(part)], "seen": [";".join(sorted(f"{c}:{t}" for c, t in part.dtypes.items()))],
+                             "held": [str(sorted(map(str, part[["v", "b", "x", "s", "d"]].itertuples(index=False, name=None))))]}).astype({"k": object})
+
+    def joined(parts):
+        return pd.DataFrame({"k": [parts.k.iloc[0]], "n": [parts.n.sum()], "seen": [" ".join(sorted(parts.seen))], "held": [" ".join(sorted(parts.held))]})
+
+    schema, calls = "k bigint, n bigint, seen string, held string", []
+    cut = table.withColumn("__p", F.col("v") % 2)
+    one_by_one = cut.groupBy("k", "__p").applyInPandas(shown, schema)
+    real = compute._in_buckets
+    assert rows(real(cut, ["k", "__p"], shown, T.StructType.fromDDL(schema), 3, 7)) == rows(one_by_one)
+    monkeypatch.setattr(compute, "_in_buckets", lambda *a, **more: (calls.append(a[1]), real(*a, **more))[1])
+    found = compute.compute_grouped(table, ["k"], shown, schema, joined, max_rows=3)
+    assert sorted((r.k is None, r.k, r.n) for r in found.collect()) == sorted((r.k is None, r.k, r["count"]) for r in table.groupBy("k").count().collect())
+    assert calls == [["k", "__part"], ["k", "__round"], ["k"]]
+
+
 def test_batches_and_frames(events):
     assert compute.compute_batches(events, lambda b: b[b.v > 80], "k bigint, v bigint").count() == 9
     assert compute.compute_frame(events, lambda df: df.filter("v > 80")).count() == 9
