@@ -139,3 +139,26 @@ def test_crowded_bins_are_cut_into_blocks(spark, kind, monkeypatch, plan):
     band = joins.find_band(points, spans, [("x", "lo", ">="), ("x", "hi", "<")])
     for side in joins._blocks(points, spans, band, 7):
         assert side.groupBy("__level", "__bin", "__point_part", "__span_part").count().agg(F.max("count")).first()[0] < 60
+
+
+@pytest.mark.parametrize("many", ["points", "spans"])
+def test_the_larger_side_of_a_band_stands_in_one_bin(spark, many):
+    """Few rows are copied to the bins of many, whichever side they are: spans of four lengths don't copy the points, nor points the spans."""
+    n_points, n_spans = (4000, 30) if many == "points" else (30, 4000)
+    points = spark.range(n_points).selectExpr("id as p", "id * 37 % 1000 + 0.5d as x")
+    spans = spark.range(n_spans).selectExpr("id as s", "id * 53 % 1000 + 0d as lo", "id * 53 % 1000 + 3 * pow(4, id % 4) as hi")
+    sides = joins._blocks(points, spans, joins.Band("x", "lo", "hi", True), joins.BLOCK_ROWS)
+    assert max(side.count() for side in sides) <= 4000 + 30 and min(side.count() for side in sides) < 3000
+    found = joins.join(points, spans, [{"leftColumn": "x", "rightColumn": "lo", "operator": ">="}, {"leftColumn": "x", "rightColumn": "hi", "operator": "<"}])
+    assert rows(found.select("p", "s")) == rows(points.join(spans, F.expr("x >= lo and x < hi")).select("p", "s"))
+
+
+def test_grids_cover_every_length_once():
+    for levels in ([3], [-20, 17, 18], [*range(-5, 40)], [-40, 0, 900]):
+        for rows_of in (lambda n: 1, lambda n: 10**6, lambda n: 7**n % 10**5 if n > 0 else 5):
+            lengths = [joins._Length(n, rows_of(n), 2.0**n * 0.8) for n in levels]
+            for points in (1, 1000, 10**8):
+                grids = joins._grids(lengths, points, 1e6, -40, joins.BLOCK_ROWS, 64)
+                assert [sum(g.shortest <= n <= g.longest for g in grids) for n in levels] == [1] * len(levels)
+                for g in grids:
+                    assert -40 <= g.level <= g.shortest and (not g.before or g.before * 2.0**g.level >= max(x.most for x in lengths if x.level <= g.longest))
