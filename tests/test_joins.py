@@ -162,3 +162,19 @@ def test_grids_cover_every_length_once():
                 assert [sum(g.shortest <= n <= g.longest for g in grids) for n in levels] == [1] * len(levels)
                 for g in grids:
                     assert -40 <= g.level <= g.shortest and (not g.before or g.before * 2.0**g.level >= max(x.most for x in lengths if x.level <= g.longest))
+
+
+@pytest.mark.parametrize("kind", ["LEFT", "RIGHT", "FULL"])
+def test_outer_band_join_looks_for_each_compared_value_once(spark, kind, monkeypatch):
+    """Rows without a match are found by the values they are compared by: 6 points' and 5 spans' here, nulls aside, whatever the number of rows."""
+    points = spark.range(700).selectExpr("id as p", "if(id % 7 = 6, null, if(id % 7 = 5, double('nan'), id % 7 + 0.5d)) as x", "if(id % 7 = 6, 'a', 'b') as t")
+    spans = spark.range(600).selectExpr("id as s", "if(id % 6 = 5, null, id % 6 * 2d) as lo", "if(id % 6 = 5, 9d, id % 6 * 2 + 1d) as hi", "'b' as u")
+    conditions = [{"leftColumn": a, "rightColumn": b, "operator": op} for a, b, op in (("x", "lo", ">="), ("x", "hi", "<"), ("t", "u", "<="))]
+    staged, real = [], joins.stage
+    monkeypatch.setattr(joins, "stage", lambda df, label: (staged.append((label, real(df, label))), staged[-1][1])[1])
+    found = joins.join(points, spans, conditions[:2], kind)
+    assert rows(found.select("p", "s")) == rows(points.join(spans, F.expr("x >= lo and x < hi"), joins.JOIN_TYPES[kind]).select("p", "s"))
+    assert [df.count() for label, df in staged if label == "values"] == [6, 5]
+    assert all(df.count() <= 6 for label, df in staged if label == "matched")
+    found = joins.join(points, spans, conditions, kind).select("p", "s")
+    assert rows(found) == rows(points.join(spans, F.expr("x >= lo and x < hi and t <= u"), joins.JOIN_TYPES[kind]).select("p", "s"))
