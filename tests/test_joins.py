@@ -178,3 +178,19 @@ def test_outer_band_join_looks_for_each_compared_value_once(spark, kind, monkeyp
     assert all(df.count() <= 6 for label, df in staged if label == "matched")
     found = joins.join(points, spans, conditions, kind).select("p", "s")
     assert rows(found) == rows(points.join(spans, F.expr("x >= lo and x < hi and t <= u"), joins.JOIN_TYPES[kind]).select("p", "s"))
+
+
+def test_blocks_of_a_crowded_bin_grow_with_the_input(spark):
+    """One hot value and spans that all hold it: four times the rows are copied to about four times as many, not sixteen times; each pair still meets once."""
+    def sides(n):
+        points = spark.range(4 * n).selectExpr("id as p", "if(id % 4 = 0, id + 0d, 5d) as x")
+        spans = spark.range(2 * n).selectExpr("id as s", "4d as lo", "if(id % 3 = 0, 6d, 5.5d) as hi")
+        return joins._blocks(points, spans, joins.Band("x", "lo", "hi", True), 2)
+
+    small, large = ([side.count() for side in sides(n)] for n in (100, 400))
+    assert sum(large) < 6 * sum(small)
+    points, spans = sides(400)
+    block = [f"__{c}" for c in joins._BLOCK]
+    met = points.join(spans, block).filter("x >= lo and x < hi")
+    assert met.count() == met.select("p", "s").distinct().count() == 1201 * 800  # the hot ones, and the point at 4
+    assert points.groupBy(block).count().count() >= 8  # enough for every core to have some
