@@ -194,3 +194,18 @@ def test_blocks_of_a_crowded_bin_grow_with_the_input(spark):
     met = points.join(spans, block).filter("x >= lo and x < hi")
     assert met.count() == met.select("p", "s").distinct().count() == 1201 * 800  # the hot ones, and the point at 4
     assert points.groupBy(block).count().count() >= 8  # enough for every core to have some
+
+
+@pytest.mark.parametrize("kind", ["INNER", "FULL"])
+def test_band_join_with_more_bins_than_a_broadcast_holds(spark, kind, monkeypatch):
+    """Only the bins that are cut are looked up then, and rows of the others pass."""
+    points = spark.range(400).selectExpr("id as p", "if(id < 200, 5d, id / 4) as x").repartition(3)
+    spans = spark.range(120).selectExpr("id as s", "if(id < 60, 4d, id + 0d) as lo", "if(id < 60, 6.5d, id + id % 3) as hi")
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(joins.band_join, "__defaults__", (7,))
+    staged, real = [], joins.stage
+    monkeypatch.setattr(joins, "stage", lambda df, label: (staged.append((label, real(df, label))), staged[-1][1])[1])
+    found = joins.join(points, spans, [{"leftColumn": "x", "rightColumn": "lo", "operator": ">="}, {"leftColumn": "x", "rightColumn": "hi", "operator": "<"}], kind)
+    assert rows(found) == rows(points.join(spans, F.expr("x >= lo and x < hi"), joins.JOIN_TYPES[kind]))
+    bins, crowded = (next(df for label, df in staged if label == name).count() for name in ("bins", "crowded"))
+    assert 0 < crowded < bins
